@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, secrets
+from . import bpe, lm_score, pii, quality, secrets
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document, and the verdict of the perplexity bands."""
+    return quality.check(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+
+
 def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document by anchor expansion."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -27,6 +32,12 @@ def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_count(k).alias(f"n_{k}") for k in pii.BASE_KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by unigrams and by logistic context mixing, both learned from the training part."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.held_out(F.col("doc_id")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by byte-level BPE."""
     import public_tokenizers
@@ -34,5 +45,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_pii_anchors, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_quality_perplexity, op5_pii_anchors, op7_context_mixing, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
