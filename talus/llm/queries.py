@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, pii, quality, secrets
+from . import bpe, jaccard_join, lm_score, pii, quality, secrets
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.held_out(F.col("doc_id")))
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document by the chosen-path join."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by byte-level BPE."""
     import public_tokenizers
@@ -45,5 +50,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_quality_perplexity, op5_pii_anchors, op7_context_mixing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_quality_perplexity, op5_pii_anchors, op7_context_mixing, op9_chosen_path_join, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
