@@ -64,23 +64,33 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def paths(tokens: np.ndarray, size: np.ndarray, runs: int = RUNS, levels: int = LEVELS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level, the set, the parent's path and the path of each node that a set reaches."""
+    """For each level, sorted by set: the set, the parent's position among the set's nodes of the level above, the path."""
     start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     share = np.minimum(1.0, 1 / (LAMBDA * np.maximum(size, 1)))
     below = np.where(share >= 1, np.uint64(2**64 - 1), (share * 2.0**64 * (1 - 2**-52)).astype(np.uint64))
-    out: list[list[tuple]] = [[] for _ in range(levels)]
+    nodes: list[list[tuple]] = [[] for _ in range(levels)]
+    reached = [0] * levels
     for run in range(runs):
         at = np.flatnonzero(size)
-        path = np.full(len(at), mix(np.array([run + 1], dtype=np.uint64))[0])
+        path, number = np.full(len(at), mix(np.array([run + 1], dtype=np.uint64))[0]), np.zeros(len(at), dtype=np.int64)
         for level in range(levels):
             of = np.repeat(np.arange(len(at)), size[at])
             token = tokens[_ragged(start[at], size[at])]
             drawn = mix(mix(token) ^ path[of])
             hit = np.flatnonzero(drawn <= below[at][of])
-            parent, at = path[of[hit]], at[of[hit]]
-            path = mix(drawn[hit] + parent * np.uint64(3))
-            out[level].append((at, parent, path))
-    return [tuple(np.concatenate([x[k] for x in level]) for k in range(3)) for level in out]
+            at, parent, path = at[of[hit]], number[of[hit]], mix(drawn[hit] + path[of[hit]] * np.uint64(3))
+            number = reached[level] + np.arange(len(at))
+            reached[level] += len(at)
+            nodes[level].append((at, parent, path))
+    out, place = [], np.zeros(1, dtype=np.int64)
+    for level in nodes:
+        at, parent, path = (np.concatenate([x[k] for x in level]) for k in range(3))
+        order = np.argsort(at, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(size)))]).astype(np.int64)
+        out.append((at[order], place[parent[order]], path[order]))
+        place = np.zeros(len(at), dtype=np.int64)
+        place[order] = np.arange(len(at)) - first[at[order]]
+    return out
 
 
 def sketches(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -98,16 +108,15 @@ def _signature(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _lists(at: np.ndarray, n: int, *values: np.ndarray) -> pa.Array:
-    """A list for each of n rows with the values of those entries whose row is at; a struct<p, q> of two, else plain."""
-    order = np.argsort(at, kind="stable")
+def _lists(at: np.ndarray, n: int, path: np.ndarray, parent: np.ndarray | None = None) -> pa.Array:
+    """A list for each of n sets of its nodes: paths, or structs of the parent's position p and the path q."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32))
-    arrays = [pa.array(v[order].view(np.int64)) for v in values]
-    return pa.ListArray.from_arrays(offsets, arrays[0] if len(arrays) == 1 else pa.StructArray.from_arrays(arrays, names=["p", "q"]))
+    q = pa.array(path.view(np.int64))
+    return pa.ListArray.from_arrays(offsets, q if parent is None else pa.StructArray.from_arrays([pa.array(parent.astype(np.int32)), q], names=["p", "q"]))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """id, text, sig, size, sketch, k1 (paths), k2, k3 (parent p and path q) of every row."""
+    """id, text, sig, size, sketch, k1 (paths), k2, k3 (position p of the parent in the list above, and path q) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,25 +127,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) ->
                 ends = np.cumsum(size)
                 levels = paths(tokens, size)
                 columns = [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array([_signature(x) for x in np.split(tokens, ends[:-1])], type=pa.binary()), pa.array(size, type=pa.int64()), pa.array([x.tobytes() for x in sketches(tokens, size)], type=pa.binary())]
-                columns += [_lists(levels[0][0], n, levels[0][2]), *(_lists(at, n, parent, path) for at, parent, path in levels[1:])]
+                columns += [_lists(levels[0][0], n, levels[0][2]), *(_lists(at, n, path, parent) for at, parent, path in levels[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "sig", "size", "sketch", "k1", "k2", "k3"])
 
-    pair = "array<struct<p:bigint,q:bigint>>"
+    pair = "array<struct<p:int,q:bigint>>"
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, text string, {_SIG}, size long, sketch binary, k1 array<bigint>, k2 {pair}, k3 {pair}")
 
 
 def buckets(sets: DataFrame, small: int = SMALL) -> DataFrame:
-    """(sig, bucket, n): the buckets in which each set is to be compared, and their sizes."""
+    """(sig, bucket, n): the buckets in which each set is to be compared, and their sizes.
+
+    Each level's nodes and sizes are staged, since the nodes in use and the next level both depend on them.
+    """
     out = []
+    above = F.col("k1")
     level = sets.select("sig", F.explode("k1").alias("bucket"))
-    for depth in (1, 2, 3):
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        final = depth == LEVELS
-        out.append(level.join(sizes if final else sizes.where(F.col("n") <= small), "bucket"))
-        if not final:
+    for depth in range(1, LEVELS + 1):
+        sizes = stage(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-sizes")
+        out.append(level.join(sizes if depth == LEVELS else sizes.where(F.col("n") <= small), "bucket").select("sig", "bucket", "n"))
+        if depth < LEVELS:
             large = sizes.where(F.col("n") > small).select(F.col("bucket").alias("p"))
-            level = sets.select("sig", F.explode(f"k{depth + 1}").alias("k")).select("sig", "k.p", F.col("k.q").alias("bucket")).join(large, "p").select("sig", "bucket")
-    return reduce(DataFrame.unionByName, [x.select("sig", "bucket", "n") for x in out])
+            children = F.transform(f"k{depth + 1}", lambda x, up=above: F.struct(F.get(up, x["p"]).alias("p"), x["q"].alias("q")))
+            above = F.transform(f"k{depth + 1}", lambda x: x["q"])
+            level = sets.select("sig", F.explode(children).alias("k")).select("sig", "k.p", F.col("k.q").alias("bucket"))
+            level = stage(level.join(large, "p").select("sig", "bucket"), "jaccard-level")
+    return reduce(DataFrame.unionByName, out)
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
