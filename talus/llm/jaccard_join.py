@@ -134,23 +134,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) ->
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, text string, {_SIG}, size long, sketch binary, k1 array<bigint>, k2 {pair}, k3 {pair}")
 
 
+def _children(sets: DataFrame, depth: int) -> DataFrame:
+    """(sig, p, bucket): the nodes of the level below depth, with their parents' paths."""
+    above = F.col("k1") if depth == 1 else F.transform(f"k{depth}", lambda x: x["q"])
+    below = F.transform(f"k{depth + 1}", lambda x: F.struct(F.get(above, x["p"]).alias("p"), x["q"].alias("q")))
+    return sets.select("sig", F.explode(below).alias("k")).select("sig", "k.p", F.col("k.q").alias("bucket"))
+
+
 def buckets(sets: DataFrame, small: int = SMALL) -> DataFrame:
     """(sig, bucket, n): the buckets in which each set is to be compared, and their sizes.
 
     Each level's nodes and sizes are staged, since the nodes in use and the next level both depend on them.
     """
     out = []
-    above = F.col("k1")
     level = sets.select("sig", F.explode("k1").alias("bucket"))
     for depth in range(1, LEVELS + 1):
         sizes = stage(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-sizes")
         out.append(level.join(sizes if depth == LEVELS else sizes.where(F.col("n") <= small), "bucket").select("sig", "bucket", "n"))
         if depth < LEVELS:
             large = sizes.where(F.col("n") > small).select(F.col("bucket").alias("p"))
-            children = F.transform(f"k{depth + 1}", lambda x, up=above: F.struct(F.get(up, x["p"]).alias("p"), x["q"].alias("q")))
-            above = F.transform(f"k{depth + 1}", lambda x: x["q"])
-            level = sets.select("sig", F.explode(children).alias("k")).select("sig", "k.p", F.col("k.q").alias("bucket"))
-            level = stage(level.join(large, "p").select("sig", "bucket"), "jaccard-level")
+            level = stage(_children(sets, depth).join(large, "p").select("sig", "bucket"), "jaccard-level")
     return reduce(DataFrame.unionByName, out)
 
 
