@@ -84,10 +84,9 @@ def cutoff(rows: DataFrame, page: str, day: str, oldest: Column) -> DataFrame:
 
     A scan stops after the first page whose newest date is older than the cutoff.
     """
-    pages = rows.groupBy(page).agg((F.max(day) < oldest).alias("old"))
-    first = pages.where("old").agg(F.min(page).alias("stop"))
+    stop = rows.groupBy(page).agg((F.max(day) < oldest).alias("old")).where("old").agg(F.min(page)).first()[0]
     kept = rows.where(F.col(day).isNull() | (F.col(day) >= oldest))
-    return kept.join(F.broadcast(first)).where(F.col("stop").isNull() | (F.col(page) <= F.col("stop"))).drop("stop")
+    return kept if stop is None else kept.where(F.col(page) <= stop)
 
 
 def deferred(rows: DataFrame, key: Sequence[str], order: str, limited: Column) -> DataFrame:
