@@ -22,14 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, texts
+from .common import text_chunks
 
 #: Bytes of the longest piece that is encoded in a numpy lane.
 LANES = 64
 #: Pieces that a worker remembers; the table is emptied beyond this.
 REMEMBERED = 400_000
 #: Characters handled at a time, and characters of the longest piece that is remembered.
-CHUNK, REMEMBERED_CHARS = 2_000_000, 64
+CHUNK, REMEMBERED_CHARS = 1_000_000, 64
 NONE = np.iinfo(np.int64).max
 
 
@@ -200,7 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
         for batch in batches:
-            for first, part in chunks(texts(batch.column(1)), CHUNK):
+            for first, part in text_chunks(batch.column(1), CHUNK):
                 ids = enc.encode(part)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
@@ -217,7 +217,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         enc = _encoder(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for first, part in chunks(texts(batch.column(1)), CHUNK):
+            for first, part in text_chunks(batch.column(1), CHUNK):
                 ids = enc.encode(part)
                 columns = [batch.column(0).slice(first, len(part)), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(enc.decode(x)) for x in ids])]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,13 +43,35 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def chunks(items: list[str], limit: int) -> Iterator[tuple[int, list[str]]]:
-    """(offset, texts) of consecutive runs of at most limit characters; a longer text is a run of its own."""
+def _runs(sizes: list[int], limit: int, rows: int) -> Iterator[tuple[int, int]]:
     first, total = 0, 0
-    for i, x in enumerate(items):
-        if total and total + len(x) > limit:
-            yield first, items[first:i]
+    for i, n in enumerate(sizes):
+        if i > first and (total + n > limit or i - first == rows):
+            yield first, i
             first, total = i, 0
-        total += len(x)
-    if first < len(items):
-        yield first, items[first:]
+        total += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def chunks(items: list[str], limit: int) -> Iterator[tuple[int, list[str]]]:
+    """(offset, texts) of consecutive runs of at most limit characters; a longer text is a run of its own."""
+    for a, b in _runs(list(map(len, items)), limit, len(items)):
+        yield a, items[a:b]
+
+
+def text_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
+    """(offset, texts) of runs of rows of at most limit bytes; only one run at a time is held as Python objects."""
+    for a, b in _runs(_sizes(column), limit, 4000):
+        yield a, texts(column.slice(a, b - a))
+
+
+def byte_chunks(column: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """text_chunks() in UTF-8, A-Z in lower case."""
+    column = column.cast(pa.binary())
+    for a, b in _runs(_sizes(column), limit, 4000):
+        yield a, [(x or b"").lower() for x in column.slice(a, b - a).to_pylist()]
+
+
+def _sizes(column: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import byte_chunks
 from .shingles import mix, words
 
 #: Edits a word of the item that still count as a leak; shortest item, in words.
@@ -32,7 +32,7 @@ TARGET_EDITS, TARGET_RECALL = 0.1, 0.95
 WALKS, SAMPLED, ANCHOR = 2, 4, 8
 #: Steps of a walk, and of the walks for items of fewer than LONG words.
 STEPS, SHORT_STEPS, LONG = 28, 6, 15
-BLOCK, CHUNK = 4096, 2_000_000
+BLOCK, CHUNK = 4096, 1_000_000
 _TABLE = 20
 
 
@@ -163,17 +163,6 @@ class Index:
         return least // unit, first - np.searchsorted(of, rows[:, 0])
 
 
-def _parts(items: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, total = 0, 0
-    for i, x in enumerate(items):
-        if total and total + len(x) > CHUNK:
-            yield first, items[first:i]
-            first, total = i, 0
-        total += len(x)
-    if first < len(items):
-        yield first, items[first:]
-
-
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     rows = items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator()
     while block := list(islice(rows, BLOCK)):
@@ -197,7 +186,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, part in _parts([x.encode().lower() for x in texts(batch.column(1))]):
+                for first, part in byte_chunks(batch.column(1), CHUNK):
                     if hits := shared.value.scan(part):
                         text, item, start, edits = zip(*hits, strict=True)
                         columns = [batch.column(0).take(pa.array([first + t for t in text])), pa.array([shared.value.ids[i] for i in item], type=item_type), pa.array(start, type=pa.int64()), pa.array([len(shared.value.words[i]) for i in item], type=pa.int64()), pa.array(edits, type=pa.int64())]
@@ -216,7 +205,7 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for first, part in _parts([x.encode().lower() for x in texts(batch.column(at))]):
+                for first, part in byte_chunks(batch.column(at), CHUNK):
                     keep[[first + hit[0] for hit in shared.value.scan(part)]] = False
                 yield batch.filter(pa.array(keep))
 

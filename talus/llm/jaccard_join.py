@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import byte_chunks, stage
 from .shingles import mix, shingle_sets
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,7 +35,7 @@ SMALL, TILE = 100, 400
 #: Bins of a sketch, and standard errors that it may fall short of the similarity.
 BINS, ERRORS = 64, 4.0
 #: Bytes of texts handled at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _SIG = "sig binary"
 
 
@@ -47,17 +47,6 @@ def recall(similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVEL
     return 1 - (1 - p) ** runs
 
 
-def _parts(items: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    first, total = 0, 0
-    for i, x in enumerate(items):
-        if i > first and (total + len(x) > CHUNK or i - first == 4000):
-            yield first, items[first:i]
-            first, total = i, 0
-        total += len(x)
-    if first < len(items):
-        yield first, items[first:]
-
-
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start[i] .. start[i] + size[i] - 1, one range after the other."""
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -121,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in _parts([x.encode().lower() for x in texts(batch.column(1))]):
+            for first, part in byte_chunks(batch.column(1), CHUNK):
                 n = len(part)
                 tokens, size = shingle_sets(part, k)
                 ends = np.cumsum(size)
@@ -225,7 +214,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches):
         own = _owned(group)
         tokens, size = [], group["size"].to_numpy()
-        for _, part in _parts([x.encode().lower() for x in texts(group["text"])]):
+        for _, part in byte_chunks(group["text"].combine_chunks(), CHUNK):
             tokens.append(shingle_sets(part, SHINGLE)[0])
         words, code = np.unique(np.concatenate(tokens), return_inverse=True)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])

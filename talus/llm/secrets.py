@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import text_chunks
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = BASE_KINDS + ("crf",)
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 #: Bytes handled at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 B, I, O = range(3)
 #: Generated training files, their seed, and passes over them.
 TRAIN_FILES, TRAIN_SEED, TRAIN_STEPS = 700, 7, 150
@@ -315,7 +315,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, part in chunks(texts(batch.column(1)), CHUNK):
+            for first, part in text_chunks(batch.column(1), CHUNK):
                 spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in scan(part, field)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(spans, type=_SPANS)], names=[id_col, "spans"])
 
@@ -333,7 +333,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
-            for _, part in chunks(texts(batch.column(at)), CHUNK):
+            for _, part in text_chunks(batch.column(at), CHUNK):
                 out += [_replaced(x, s) for x, s in zip(part, scan(part, field), strict=True)]
             old = batch.column(at)
             out = [x if ok else None for x, ok in zip(out, old.is_valid().to_pylist(), strict=True)]

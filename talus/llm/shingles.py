@@ -37,7 +37,7 @@ def words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     start, end = edges[::2], edges[1::2]
     bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
     text = np.searchsorted(bounds, start, side="right") - 1
-    up, down = _powers(max(1 << 22, 1 << len(raw).bit_length()))
+    up, down = _powers(max(1 << 20, 1 << len(raw).bit_length()))
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
     hashed = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     return hashed, start, end, text
