@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_chunks
 from .shingles import mix, words
@@ -179,7 +180,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {items.schema[item_col].dataType.simpleString()}, first_word long, n_words long, edits long"
-    item_type = pa.int64() if "long" in schema.split(item_col)[1].split(",")[0] or "bigint" in schema.split(item_col)[1].split(",")[0] else None
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     out = spark.createDataFrame([], schema)
     for index in _blocks(items, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)

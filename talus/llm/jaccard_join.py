@@ -315,4 +315,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = join(docs, id_col, text_col)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates([id_col, text_col])
