@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -96,6 +97,67 @@ def content_integrity(title_words: Column, text: Column, shortest: int = 400, sh
     return F.struct(coverage.alias("coverage"), ((F.length(text) >= shortest) & (coverage >= share)).alias("ok"))
 
 
+def header_split(text: Column, names: Sequence[str]) -> Column:
+    """struct<place, rest>: the longest of the names that a header holds, and what comes after it."""
+    place, rest = F.lit(""), F.lit("")
+    for n in sorted(names, key=lambda n: (len(n), n)):  # the longest is asked first, so it is built last
+        p = f"(?i)\\b({re.escape(n)})\\b"
+        hit = blank(text).rlike(p)
+        place = F.when(hit, F.initcap(F.regexp_extract(text, p, 1))).otherwise(place)
+        rest = F.when(hit, clean_text(F.regexp_extract(text, p + "(?s)(.*)$", 2))).otherwise(rest)
+    return F.struct(place.alias("place"), rest.alias("rest"))
+
+
+def shown_range(text: Column) -> Column:
+    """struct<first, last, total, expected> of "shown 1-10 of 53"; nulls where a page does not say."""
+    p = r"(?i)shown\s+([0-9]+)\s*[-\u2013]\s*([0-9]+)\s+of\s+([0-9]+)"
+    a, b, n = (F.nullif(F.regexp_extract(blank(text), p, k), F.lit("")).cast("int") for k in (1, 2, 3))
+    return F.struct(a.alias("first"), b.alias("last"), n.alias("total"), F.when(b >= a, b - a + 1).when(b < a, 0).alias("expected"))
+
+
+def body_kind(body: Column) -> Column:
+    """PDF, HTML, EMPTY or OTHER by the first bytes."""
+    head = F.coalesce(F.try_to_binary(F.hex(F.substring(body, 1, 1024)), F.lit("hex")), F.lit(b""))
+    text = F.lower(F.trim(F.decode(head, "ISO-8859-1")))
+    return F.when(F.length(head) == 0, "EMPTY").when(text.startswith("%pdf-"), "PDF").when(text.rlike("^(<!doctype html|<html|<head|<body|<\\?xml[^>]*>\\s*<html)") | text.rlike("<(html|body|div|p)\\b"), "HTML").otherwise("OTHER")
+
+
+def next_page(html: Column, base: Column) -> Column:
+    """The link to the next page, absolute: on the same host, and on the listing's own path if one is; null if none.
+
+    A link is one to the next page by rel="next" or by its words; one that is disabled is none.
+    """
+    anchors = F.regexp_extract_all(blank(html), F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
+    word = r"(?is)^<a\s[^>]*\brel=[\"'][^\"']*\bnext\b|(?:>|\b(?:aria-label|title)=[\"'])\s*(?:(?:next|more|suivant|siguiente|weiter)\b|[\u203a\u00bb](?=\s*<))"
+    off = r"(?is)^<a\s[^>]*(?:aria-disabled=[\"']true|class=[\"'][^\"']*\bdisabled\b|href=[\"'](?:#|javascript:))"
+    site = F.regexp_extract(base, "^([A-Za-z]+://[^/?#]+)", 1)
+    path = lambda u: F.regexp_replace(F.regexp_extract(u, "^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/$", "")
+
+    def absolute(a):
+        href = unescape(F.regexp_extract(a, r"(?is)\bhref=[\"']([^\"']*)", 1))
+        folder = F.regexp_replace(F.regexp_extract(base, "^([^?#]*)", 1), "(?<=[^/:])/[^/]*$", "")
+        return F.when(href.rlike("^[A-Za-z]+://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href)).otherwise(F.concat(folder, F.lit("/"), href))
+
+    urls = F.filter(F.transform(F.filter(anchors, lambda a: a.rlike(word) & ~a.rlike(off)), absolute), lambda u: F.regexp_extract(u, "^([A-Za-z]+://[^/?#]+)", 1) == site)
+    return F.coalesce(F.try_element_at(F.filter(urls, lambda u: path(u) == path(base)), F.lit(1)), F.try_element_at(urls, F.lit(1)))
+
+
+def identity_match(title_words: Column, company_words: Column, text: Column, cues: Sequence[str], shortest: int = 220) -> Column:
+    """Whether a fetched text is about the record and not a general page of its site.
+
+    Words of five letters or more in the title that are not the company's must be there (two, or half of them, or one of
+    nine letters) beside two cues; a title without such words takes three cues and one of the company's first four words.
+    """
+    t, long_ = F.lower(blank(text)), lambda w: F.filter(w, lambda x: F.length(x) >= 5)
+    sig = F.array_except(F.array_distinct(long_(title_words)), long_(company_words))
+    hit = F.filter(sig, lambda w: F.contains(t, w))
+    n_cues = sum((F.when(t.rlike(p), 1).otherwise(0) for p in cues), F.lit(0))
+    company = F.slice(long_(company_words), 1, 4)
+    own = (n_cues >= 2) & ((F.size(hit) >= 2) | (F.size(hit) >= 0.5 * F.size(sig)) | F.exists(hit, lambda w: F.length(w) >= 9))
+    general = (n_cues >= 3) & ((F.size(company) == 0) | F.exists(company, lambda w: F.contains(t, w)))
+    return (F.length(blank(text)) >= shortest) & F.when(F.size(sig) > 0, own).otherwise(general)
+
+
 def rank_links(links: DataFrame, key: Sequence[str], href: str, cues: Sequence[tuple[str, int]], most: int, excluded: str | None = None) -> DataFrame:
     """The most relevant links of each key: weights of the cues they match; ties by href; each link once."""
     points = sum((F.when(F.lower(F.col(href)).rlike(p), w).otherwise(0) for p, w in cues), F.lit(0))
@@ -132,8 +194,6 @@ class _Tree(HTMLParser):
 def scoped_blocks(pages: DataFrame, key: str, html: str, marker: str, entity: str, levels: int = 6) -> DataFrame:
     """For each link whose target matches entity, the text of its smallest ancestor within levels that holds the marker and
     no other entity. Position in the tree has no form in built-in functions, so this is a vectorised walk of each page."""
-    import re
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []

@@ -39,6 +39,12 @@ def source_status(error: Column, coverage: Column, detail: Column) -> Column:
     return F.when(F.coalesce(error, F.lit("")) != "", "ERROR").when(coverage & detail, "OK").otherwise("PARTIAL")
 
 
+def hard_error(fetched: Column, n_errors: Column, warning: Column, otherwise: str) -> Column:
+    """The error text of a scan that fetched nothing and met errors: such a run failed, it is not merely incomplete."""
+    failed = (F.coalesce(fetched, F.lit(0)) == 0) & (F.coalesce(n_errors, F.lit(0)) > 0)
+    return F.when(failed, F.coalesce(F.nullif(warning, F.lit("")), F.lit(otherwise))).otherwise("")
+
+
 def coverage_complete(complete: Column, n_errors: Column, truncated: Column) -> Column:
     return F.coalesce(complete, F.lit(False)) & (F.coalesce(n_errors, F.lit(0)) == 0) & (F.coalesce(truncated, F.lit(0)) == 0)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, extract, rules, scoring, text
+from ..functions import dates, extract, nested, rules, scoring, text
 from ..operators import audit, cache, dedup, state, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,6 +488,71 @@ def title_token_integrity(t):
     return x.select("doc_id", "e.item_id", F.round("e.c.coverage", 4).alias("coverage"))
 
 
+_NESTED = lambda: F.concat(F.lit('{"type": "'), "event_type", F.lit('", "inner": {"idUser": '), F.col("user_id").cast("string"), F.lit(', "p": '), "props", F.lit('}, "tags": ["x", "", "X"], "live": true}'))
+_K = "json_extract_string(props, '$.k')"
+
+
+@_query(f"SELECT event_id, 'type' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'inner.idUser', user_id::VARCHAR FROM events UNION ALL SELECT event_id, 'inner.p.k', {_K} FROM events WHERE {_K} <> '' UNION ALL SELECT event_id, 'tags[0]', 'x' FROM events UNION ALL SELECT event_id, 'tags[2]', 'X' FROM events UNION ALL SELECT event_id, 'live', 'true' FROM events")
+def json_flatten(t):
+    """Events as nested JSON, and its scalar leaves."""
+    return t("events").select("event_id", F.explode(nested.json_leaves(_NESTED())).alias("x")).select("event_id", "x.path", "x.value")
+
+
+@_query(f"SELECT event_id, concat_ws(chr(10), 'Kind: ' || event_type, CASE WHEN {_K} <> '' THEN 'K: ' || {_K} END, 'Tags: x') AS body FROM events")
+def json_render(t):
+    x = t("events").select("event_id", nested.json_leaves(_NESTED()).alias("leaves"))
+    return x.select("event_id", nested.render(F.col("leaves"), {"type": "Kind"}).alias("body"))
+
+
+@_query("SELECT p_partkey, p_name AS title, p_brand AS organisation, p_type || ', ES' AS place FROM part")
+def json_ld_object(t):
+    """Parts written as linked data below other objects, and found again."""
+    html = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Page"}, {"@type": ["Thing", "JobPosting"], "title": "'), "p_name", F.lit('", "hiringOrganization": {"name": "'), "p_brand", F.lit('"}, "jobLocation": {"address": {"addressLocality": "'), "p_type", F.lit('", "addressCountry": {"name": "ES"}}}}]}</script>'))
+    x = t("part").select("p_partkey", nested.linked_object(html, "JobPosting").alias("o"))
+    return x.select("p_partkey", nested.named(F.col("o"), "title").alias("title"), nested.named(F.col("o"), "hiringOrganization").alias("organisation"), nested.places(F.col("o")).alias("place"))
+
+
+@_query("SELECT page_id, regexp_extract(lower(url), '^([a-z]+)://', 1) || '://' || regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '') || regexp_replace(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN regexp_extract(url, '#(.+)$', 1) <> '' THEN '#' || lower(regexp_replace(regexp_extract(url, '#(.+)$', 1), '/+$', '')) ELSE '' END AS page FROM pages")
+def url_page_key(t):
+    return t("pages").select("page_id", text.page_url(F.col("url")).alias("page"))
+
+
+@_query("SELECT c_custkey, n_name AS place, c_name AS rest FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def header_split(t):
+    """Headers of segment, nation and name, split at the nation; nations are a dimension of a few rows."""
+    n = t("nation")
+    head = F.concat_ws(" ", "c_mktsegment", "n_name", "c_name")
+    x = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", extract.header_split(head, [r["n_name"] for r in n.toLocalIterator()]).alias("h"))
+    return x.select("c_custkey", F.when(F.lower("h.place") == F.lower("n_name"), F.col("n_name")).alias("place"), "h.rest")
+
+
+@_query("SELECT o_orderkey, (1 + o_custkey % 50)::INT AS first, (10 + o_custkey % 50)::INT AS last, o_custkey::INT AS total, 10 AS expected FROM orders")
+def listing_counts(t):
+    said = F.format_string("Jobs shown %d\u2013%d of %d", 1 + F.col("o_custkey") % 50, 10 + F.col("o_custkey") % 50, F.col("o_custkey"))
+    return t("orders").select("o_orderkey", extract.shown_range(said).alias("r")).select("o_orderkey", "r.*")
+
+
+@_query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'PDF' WHEN page_id % 3 = 1 THEN 'EMPTY' WHEN html = '' THEN 'EMPTY' WHEN regexp_matches(lower(substr(html, 1, 1024)), '<(html|body|div|p)\\b') THEN 'HTML' ELSE 'OTHER' END AS kind FROM pages")
+def body_kind(t):
+    body = F.when(F.col("page_id") % 3 == 0, F.lit("%PDF-1.4 x")).when(F.col("page_id") % 3 == 1, F.lit("")).otherwise(F.col("html"))
+    return t("pages").select("page_id", extract.body_kind(F.encode(body, "UTF-8")).alias("kind"))
+
+
+@_query("SELECT user_id, CASE WHEN count_if(event_type = 'purchase') = 0 AND count_if(value < 20) > 0 THEN 'all failed' ELSE '' END AS error FROM events GROUP BY user_id")
+def hard_error_promotion(t):
+    g = t("events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("ok"), F.count_if(F.col("value") < 20).alias("bad"))
+    return g.select("user_id", audit.hard_error(F.col("ok"), F.col("bad"), F.lit(""), "all failed").alias("error"))
+
+
+@_query()
+def title_continuity(t):
+    """Consecutive parts of a brand whose names clearly differ; the ratio has no SQL form."""
+    from pyspark.sql import Window
+
+    was = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return t("part").select("p_partkey", "p_name", was.alias("was")).select("p_partkey", text.titles_differ(F.coalesce("was", F.lit("")), F.col("p_name")).alias("differs"))
+
+
 @_query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def manifest_sha256(t):
     return audit.manifest(t("documents"), "doc_id", "text")

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from talus.functions import dates, extract, rules, scoring, text
+from talus.functions import dates, extract, nested, rules, scoring, text
 from talus.operators import audit, cache, dedup, state, views
 from talus.sources import payloads
 
@@ -165,3 +165,45 @@ def test_payloads(spark, tmp_path):
     assert "extra" in next(tmp_path.joinpath("none").glob("*.csv")).read_text()
     with pytest.raises(ValueError):
         payloads.publish(rows.limit(0), f"file://{tmp_path}/p", "d", "r", 0)
+
+
+def test_nested_json(spark):
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    rows = spark.createDataFrame([(1, '{"dsPuesto": "x  y", "idOferta": 4, "ok": true, "list": [{"ds_nota": 1.5}, null, ""], "dspuesto": "X y"}'), (2, "{broken"), (3, None), (4, deep), (5, '"solo"')], "id int, j string")
+    got = {r["id"]: r for r in rows.select("id", nested.json_leaves("j").alias("l")).select("id", "l", nested.render(F.col("l"), {"dsPuesto": "Position", "dspuesto": "Position"}).alias("r")).collect()}
+    assert [x["path"] for x in got[1]["l"]] == ["dsPuesto", "idOferta", "ok", "list[0].ds_nota", "dspuesto"]
+    assert got[1]["r"] == "Position: x y\nNota: 1.5" and got[2]["l"] == got[3]["l"] == [] and got[3]["r"] == ""
+    assert got[5]["l"][0]["value"] == "solo" and len(got[4]["l"]) <= 1
+    long_ = rows.limit(1).select(nested.json_leaves(F.lit('{"dsFunciones": "' + "f" * 50 + '", "dsPerfil": "' + "p" * 50 + '"}')).alias("l"))
+    assert long_.select(nested.substantive(F.col("l"), ("dsfunciones", "dsperfil"))).first()[0] and not long_.select(nested.substantive(F.col("l"), ("dsperfil",))).first()[0]
+
+
+def test_linked_data(spark):
+    html = '<script type="application/ld+json">{bad</script><script type=\'application/ld+json\'>[{"x": {"@type": ["A", "jobposting"], "hiringOrganization": "Org", "jobLocation": [{"address": {"addressLocality": "L", "addressRegion": "L", "addressCountry": {"name": "C"}}}, {"address": {"addressLocality": "L", "addressCountry": "C"}}, {}]}}]</script>'
+    pages = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(nested.linked_object(F.col("html"), "JobPosting").alias("o"))
+    got = pages.select(nested.named(F.col("o"), "hiringOrganization"), nested.places(F.col("o"))).collect()
+    assert [tuple(r) for r in got] == [("Org", "L, C"), ("", ""), ("", "")]
+
+
+def test_page_operators(spark):
+    split = one(spark, extract.header_split(F.lit("JOB | Papua New Guinea | Org"), ["Guinea", "New Guinea", "Papua New Guinea"]))
+    assert split["place"] == "Papua New Guinea" and split["rest"] == "| Org"
+    assert one(spark, extract.shown_range(F.lit(None).cast("string")))["expected"] is None
+    kinds = [one(spark, extract.body_kind(F.lit(b))) for b in (b"%PDF-1.7", b" <!DOCTYPE html>", b"\xff\xfe", b"")]
+    assert kinds == ["PDF", "HTML", "OTHER", "EMPTY"]
+    base = F.lit("https://a.org/jobs/list?p=1")
+    for html, want in [("<a href='/other?p=2'>Next</a><a class='x' rel='next' href='?p=2&amp;q=1'>2</a>", "https://a.org/jobs/list?p=2&q=1"), ("<a href='https://b.org/x'>next</a>", None), ("<a class='disabled' href='?p=2'>next</a>", None), ("<a href='more.html'>\u203a</a>", "https://a.org/jobs/more.html"), ("<a href='?p=9'>nextdoor</a>", None), ("", None)]:
+        assert one(spark, extract.next_page(F.lit(html), base)) == want
+    assert [one(spark, text.page_url(F.lit(u))) for u in ("HTTPS://www.A.org:80/x/?q=1#Ver/7/", "a.org", "")] == ["https://a.org/x#ver/7", "https://a.org", ""]
+    words = lambda *w: F.array(*map(F.lit, w)) if w else F.array().cast("array<string>")
+    body = F.lit("requirements and duties for the genomics analyst position at the institute; deadline soon. " * 4)
+    cues = ["requirements", "duties", "deadline"]
+    assert one(spark, extract.identity_match(words("genomics", "analyst"), words("institute"), body, cues))
+    assert not one(spark, extract.identity_match(words("oncology", "nurse"), words("institute"), body, cues))
+    assert one(spark, extract.identity_match(words("job"), words("institute"), body, cues)) and not one(spark, extract.identity_match(words("job"), words("hospital"), body, cues))
+    assert one(spark, audit.hard_error(F.lit(0), F.lit(2), F.lit(""), "all failed")) == "all failed" and one(spark, audit.hard_error(F.lit(1), F.lit(2), F.lit("w"), "x")) == ""
+
+
+def test_titles_differ(spark):
+    rows = spark.createDataFrame([("Data manager (m/f)", "data manager [x]"), ("Data manager", "manager data"), ("Data manager", "Oncology nurse"), ("", "x"), (None, "x")], "a string, b string")
+    assert [r[0] for r in rows.select(text.titles_differ(F.col("a"), F.col("b"))).collect()] == [False, False, True, False, False]
