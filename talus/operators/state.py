@@ -7,10 +7,15 @@ and ranked aliases.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import TITLES_ALIKE, title_core, titles_differ
+from .lineage import cut
+
 OPEN = ("OPEN", "OPEN_UNTIL_FILLED")
 SIMHASH_DISTANCE = 14
 
@@ -26,18 +31,98 @@ def state_id(alias: Column) -> Column:
     return F.concat(F.lit("job_"), F.substring(F.sha1(alias), 1, 20))
 
 
+def checked(state: DataFrame, version: int, known: Sequence[int]) -> DataFrame:
+    """state, if its version is known and it has a state's columns; anything else is an error, never an empty history."""
+    lacking = [c for c in ("state_id", "aliases", "first_seen", "last_seen", "times_seen", "last_snapshot") if c not in state.columns]
+    if version not in known or lacking:
+        raise ValueError(f"state version {version} lacks {lacking}" if lacking else f"unknown state version {version}")
+    return state
+
+
 def alias_index(state: DataFrame) -> DataFrame:
     """(alias, state_id) of the aliases that name one state row only."""
     each = state.select("state_id", F.explode("aliases").alias("alias")).distinct()
     return each.groupBy("alias").agg(F.count("*").alias("n"), F.first("state_id").alias("state_id")).where("n = 1").drop("n")
 
 
-def match(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """rows (ord, aliases) with the state_id they match or null: the hit of least rank; strong aliases (0, 1) shut out weak."""
+def _ranked(least: int, most: int) -> Column:
+    return F.transform(F.filter("aliases", lambda x: x["rank"].between(least, most)), lambda x: x["alias"])
+
+
+def match(rows: DataFrame, index: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """rows (ord, aliases) with the state_id they match or null: the hit of least rank; strong aliases (0, 1) shut out weak.
+
+    With state (then rows have a snapshot with a title) an id that a source has given to another record is no hit: one
+    whose state row has other URLs and a clearly different title. reused tells of such a row.
+    """
     strong = F.exists("aliases", lambda x: x["rank"] <= 1)
     each = rows.select("ord", F.explode(F.filter("aliases", lambda x: (x["rank"] <= 1) | ~strong)).alias("x")).select("ord", "x.rank", "x.alias")
-    hits = each.join(index, "alias").groupBy("ord").agg(F.min_by("state_id", F.struct("rank", "alias")).alias("state_id"))
-    return rows.join(hits, "ord", "left")
+    hits = each.join(index, "alias")
+    if state is not None:
+        was = state.select("state_id", F.filter("aliases", lambda x: x.startswith("url|")).alias("old_urls"), F.coalesce("last_snapshot.title", F.lit("")).alias("old_title"))
+        own = rows.select("ord", _ranked(1, 1).alias("urls"), F.coalesce("snapshot.title", F.lit("")).alias("title"))
+        other = hits.where("rank = 0").join(was, "state_id").join(own, "ord").where("size(urls) > 0 AND size(old_urls) > 0 AND NOT arrays_overlap(urls, old_urls)")
+        other = other.where(titles_differ(F.col("old_title"), F.col("title"))).select("ord", "alias").distinct()
+        hits = hits.join(other, ["ord", "alias"], "left_anti")
+        rows = rows.join(other.select("ord", F.lit(True).alias("reused")).distinct(), "ord", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+    best = hits.groupBy("ord").agg(F.min_by("state_id", F.struct("rank", "alias")).alias("state_id"))
+    return rows.join(best, "ord", "left")
+
+
+def split_claims(claims: list[dict]) -> list[dict]:
+    """Which of the records that match one state row are other records, in order of ord.
+
+    A claim has ids, urls (its strong aliases), held (those that the state row has) and core (of its title). The first one
+    is the state row's own. A later one is split off if it shares no identity with those before it, or if it has the id of
+    one of them with other URLs and a clearly different title; then the id stays with both, so that it is ambiguous from
+    the next run on. Later claims follow the aliases that went with a part. Each split has its parent, the aliases that
+    leave the parent (gone), and the alias that names it (seed).
+    """
+    parts: list[dict] = [{"claimed": None, "seen": []}]
+    moved: dict[str, int | None] = {}
+    out = []
+    for c in sorted(claims, key=lambda c: c["ord"]):
+        strong = [*c["ids"], *c["urls"]]
+        own = set(c["ids"] or strong)
+        at = next((moved.get(x, 0) for x in strong if (moved[x] is not None if x in moved else x in c["held"])), 0)
+        reuse = any(set(ids) & set(c["ids"]) and urls and c["urls"] and not set(urls) & set(c["urls"]) and _differ(core, c["core"]) for ids, urls, core in parts[at]["seen"])
+        apart = parts[at]["claimed"] is not None and not own & parts[at]["claimed"]
+        found = {"part": at, "parent": None, "seed": parts[at].get("seed"), "gone": None}
+        if reuse or apart:
+            found = {"part": len(parts), "parent": at, "seed": min(c["urls"]) if reuse else strong[0], "gone": [x for x in strong if not (reuse and x in c["ids"])]}
+            parts.append({"claimed": set(), "seen": [], "seed": found["seed"]})
+            for x in strong:
+                moved[x] = None if reuse and x in c["ids"] and moved.get(x, at) == at else found["part"]
+        part = parts[found["part"]]
+        part["claimed"] = (part["claimed"] or set()) | own
+        part["seen"].append((c["ids"], c["urls"], c["core"]))
+        out.append(c | found)
+    return out
+
+
+def _differ(a: str, b: str) -> bool:
+    return bool(a and b and a != b and set(a.split()) != set(b.split()) and SequenceMatcher(None, a, b).ratio() < TITLES_ALIKE)
+
+
+_CLAIM = ("state_id", "strong", "core")
+
+
+def splits(matched: DataFrame) -> DataFrame:
+    """state_id, strong, core, part, parent, seed and gone of the claims of each state row that several differing ones make.
+
+    matched: state_id, ord, strong, ids, urls, held, core. Equal claims share one row, and only state rows with differing
+    claims are looked at, so that a fold holds the distinct identities of one state row and no record's text.
+    """
+    claims = matched.where("state_id IS NOT NULL AND size(strong) > 0").groupBy(*_CLAIM).agg(F.min("ord").alias("ord"), *(F.first(c).alias(c) for c in ("ids", "urls", "held")))
+    several = claims.groupBy("state_id").agg(F.count("*").alias("n")).where("n > 1").select("state_id")
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.to_dict("records")
+        for r in rows:
+            r |= {c: list(r[c]) for c in ("ids", "urls", "held", "strong")}
+        return pd.DataFrame([r for r in split_claims(rows) if r["part"]], columns=[*_CLAIM, "part", "parent", "seed", "gone"]).astype({"part": "int32", "parent": "Int32"})
+
+    return claims.join(several, "state_id", "left_semi").groupBy("state_id").applyInPandas(fold, "state_id string, strong array<string>, core string, part int, parent int, seed string, gone array<string>")
 
 
 def change_reasons(old: str, new: str, fields: Sequence[str], identity: Sequence[str] = ("title", "company"), degraded: Column | None = None, both_resolved: Column | None = None) -> Column:
@@ -78,23 +163,38 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     """(rows with seen_status, change_reasons and state_id; the next state).
 
     rows: ord, aliases, and snapshot (a struct with the fields). State rows that no record matches stay as they are. A new
-    record's id comes from its first alias, numbered where several new records share it. Of several records that match one
-    state row the last one's snapshot stays, and each counts.
+    record's id comes from its first alias (from its URL, if its id was another record's), numbered past the ids that are
+    there. Of several records that match one state row each counts and is compared with the one before it, and the last
+    one's snapshot stays; those that split_claims() tells apart get a state row of their own, which takes over first_seen.
     """
-    joined = match(rows, alias_index(state)).join(state.select("state_id", "first_seen", "times_seen", F.col("last_snapshot").alias("old"), F.col("aliases").alias("old_aliases")), "state_id", "left")
+    titled = "title" in rows.schema["snapshot"].dataType.names
+    none = F.array().cast("array<string>")
+    x = match(rows, alias_index(state), state) if titled else match(rows, alias_index(state)).withColumn("reused", F.lit(False))
+    x = x.join(state.select("state_id", "first_seen", "times_seen", F.col("last_snapshot").alias("old"), F.col("aliases").alias("old_aliases")), "state_id", "left")
+    core = title_core(F.col("snapshot.title")) if titled else F.lit("")
+    x = cut(x.withColumn("strong", _ranked(0, 1)).withColumn("core", core))
+    found = cut(splits(x.select("state_id", "ord", "strong", _ranked(0, 0).alias("ids"), _ranked(1, 1).alias("urls"), F.array_intersect("strong", F.coalesce("old_aliases", none)).alias("held"), "core")))
+    gone = found.where("gone IS NOT NULL").groupBy("state_id", F.col("parent").alias("part")).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    x = x.join(found.select(*_CLAIM, "part", "seed"), list(_CLAIM), "left").withColumn("part", F.coalesce("part", F.lit(0))).join(gone, ["state_id", "part"], "left")
+
     known = F.col("first_seen").isNotNull()
-    reasons = F.when(known, change_reasons("old", "snapshot", fields)).otherwise(F.array().cast("array<string>"))
-    base = state_id(F.coalesce(F.try_element_at(F.transform("aliases", lambda x: x["alias"]), F.lit(1)), F.to_json("snapshot")))
-    seen = joined.withColumn("change_reasons", reasons).withColumn("known", known).withColumn("base", F.when(known, F.col("state_id")).otherwise(base))
-    nth = F.row_number().over(Window.partitionBy("base", "known").orderBy("ord"))
-    seen = seen.withColumn("nth", nth)
-    new_id = F.when(F.col("known") | (F.col("nth") == 1), F.col("base")).otherwise(F.concat("base", F.lit("_"), (F.col("nth") - 1).cast("string")))
+    run = Window.partitionBy(F.coalesce("state_id", F.col("ord").cast("string")), "part").orderBy("ord")
+    x = x.withColumn("known", known).withColumn("old", F.coalesce(F.when(known, F.lag("snapshot").over(run)), F.when(F.col("part") == 0, F.col("old")))).withColumn("head", F.min("ord").over(run))
+    reasons = F.when(F.col("old").isNotNull(), change_reasons("old", "snapshot", fields)).otherwise(none)
+    url = F.array_min(_ranked(1, 1))
+    first = F.when(F.col("reused") & url.isNotNull(), url).otherwise(F.coalesce(F.try_element_at(F.transform("aliases", lambda a: a["alias"]), F.lit(1)), F.to_json("snapshot")))
+    base = F.when(known & (F.col("part") == 0), F.col("state_id")).otherwise(state_id(F.coalesce("seed", first)))
+    x = x.withColumn("change_reasons", reasons).withColumn("fresh", ~known | (F.col("part") > 0)).withColumn("base", base)
+    taken = state.groupBy(F.regexp_replace("state_id", "^(job_[0-9a-f]{20})_[0-9]+$", "$1").alias("base")).agg(F.count("*").alias("taken"))
+    x = x.join(taken, "base", "left").withColumn("nth", F.dense_rank().over(Window.partitionBy("base", "fresh").orderBy("head")) - 1 + F.coalesce("taken", F.lit(0)))
+    new_id = F.when(~F.col("fresh") | (F.col("nth") == 0), F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("nth").cast("string")))
     status = transition(F.col("known"), F.col("old.application_status"), F.col("snapshot.application_status"), F.col("change_reasons"))
-    seen = seen.withColumn("state_id", new_id).withColumn("seen_status", status)
-    own = F.transform("aliases", lambda x: x["alias"])
+    seen = cut(x.withColumn("state_id", new_id).withColumn("seen_status", status))
+    own = F.transform("aliases", lambda a: a["alias"])
+    before = F.when(F.col("part") == 0, F.col("old_aliases"))
     now = seen.groupBy("state_id").agg(
-        F.array_distinct(F.concat(F.coalesce(F.first("old_aliases"), F.array().cast("array<string>")), F.flatten(F.collect_list(own)))).alias("aliases"), F.coalesce(F.first("first_seen"), day).alias("first_seen"), day.alias("last_seen"),
-        (F.coalesce(F.first("times_seen"), F.lit(0)) + F.count("*")).cast("int").alias("times_seen"), F.max_by("snapshot", "ord").alias("last_snapshot"),
+        F.array_distinct(F.concat(F.array_except(F.coalesce(F.first(before), none), F.coalesce(F.first("gone"), none)), F.flatten(F.collect_list(own)))).alias("aliases"), F.coalesce(F.first("first_seen"), day).alias("first_seen"), day.alias("last_seen"),
+        (F.coalesce(F.first(F.when(F.col("part") == 0, F.col("times_seen"))), F.lit(0)) + F.count("*")).cast("int").alias("times_seen"), F.max_by("snapshot", "ord").alias("last_snapshot"),
     )
     kept = state.join(now.select("state_id"), "state_id", "left_anti")
     return seen.select(*rows.columns, "state_id", "seen_status", "change_reasons"), kept.unionByName(now)

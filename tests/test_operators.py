@@ -207,3 +207,55 @@ def test_page_operators(spark):
 def test_titles_differ(spark):
     rows = spark.createDataFrame([("Data manager (m/f)", "data manager [x]"), ("Data manager", "manager data"), ("Data manager", "Oncology nurse"), ("", "x"), (None, "x")], "a string, b string")
     assert [r[0] for r in rows.select(text.titles_differ(F.col("a"), F.col("b"))).collect()] == [False, False, True, False, False]
+
+
+def _state_frames(spark):
+    snap = "struct<title:string,company:string,location:string,application_deadline:string,application_status:string>"
+    s = f"state_id string, aliases array<string>, first_seen string, last_seen string, times_seen int, last_snapshot {snap}"
+    return s, f"ord long, aliases array<struct<rank:int,alias:string>>, snapshot {snap}"
+
+
+def test_state_reused_ids_and_splits(spark):
+    held, given = _state_frames(spark)
+    snap = lambda t: (t, "c", "l", "", "OPEN")
+    s0 = spark.createDataFrame([
+        ("job_a", ["id|s|1", "url|u1"], "d0", "d0", 1, snap("data manager")),
+        ("job_b", ["id|s|2", "id|s|3", "url|u2", "url|u3"], "d0", "d0", 4, snap("clinical trials officer")),
+        ("job_c", ["id|s|4", "url|u4", "url|u5"], "d0", "d0", 2, snap("project lead")),
+    ], held)
+    day = spark.createDataFrame([
+        (1, [(0, "id|s|1"), (1, "url|u9")], snap("oncology nurse")),  # a source's id given to another record
+        (2, [(0, "id|s|2"), (1, "url|u2")], snap("clinical trials officer")),
+        (3, [(0, "id|s|3"), (1, "url|u3")], snap("library assistant")),  # two records held as one
+        (4, [(0, "id|s|3"), (1, "url|u3")], snap("library assistant")),
+        (5, [(0, "id|s|4"), (1, "url|u4")], snap("project lead")),
+        (6, [(0, "id|s|4"), (1, "url|u5")], snap("kitchen porter")),  # one id, other URL and title, both held
+    ], given)
+    seen, s1 = state.advance(s0, day, F.lit("d1"))
+    got = {r["ord"]: (r["state_id"], r["seen_status"], r["change_reasons"]) for r in seen.collect()}
+    sid = lambda a: spark.range(1).select(state.state_id(F.lit(a))).first()[0]
+    assert got[1] == (sid("url|u9"), "NEW", []) and got[2] == ("job_b", "SEEN", []) and got[5] == ("job_c", "SEEN", [])
+    assert got[3] == got[4] == (sid("id|s|3"), "SEEN", []) and got[6] == (sid("url|u5"), "SEEN", [])
+    now = {r["state_id"]: (r["aliases"], r["first_seen"], r["last_seen"], r["times_seen"]) for r in s1.collect()}
+    assert now == {
+        "job_a": (["id|s|1", "url|u1"], "d0", "d0", 1), got[1][0]: (["id|s|1", "url|u9"], "d1", "d1", 1),
+        "job_b": (["id|s|2", "url|u2"], "d0", "d1", 5), got[3][0]: (["id|s|3", "url|u3"], "d0", "d1", 2),
+        "job_c": (["id|s|4", "url|u4"], "d0", "d1", 3), got[6][0]: (["id|s|4", "url|u5"], "d0", "d1", 1),
+    }
+
+
+def test_state_ids_never_collide_and_rows_follow_each_other(spark):
+    held, given = _state_frames(spark)
+    snap = lambda t: (t, "c", "l", "", "OPEN")
+    empty = spark.createDataFrame([], held)
+    twice = spark.createDataFrame([(1, [(3, "x")], snap("u")), (2, [(3, "x")], snap("u"))], given)
+    _, s1 = state.advance(empty, twice, F.lit("d1"))
+    _, s2 = state.advance(s1, twice, F.lit("d2"))
+    assert s2.count() == s2.select("state_id").distinct().count() == 4
+    known = spark.createDataFrame([(1, [(0, "id|s|1")], snap("a")), (2, [(0, "id|s|1")], snap("b")), (3, [(0, "id|s|1")], snap("b"))], given)
+    _, k1 = state.advance(empty, known.where("ord = 1"), F.lit("d1"))
+    seen, k2 = state.advance(k1, known, F.lit("d2"))
+    assert [(r["seen_status"], r["change_reasons"]) for r in seen.orderBy("ord").collect()] == [("SEEN", []), ("MATERIALLY_CHANGED", ["title"]), ("SEEN", [])]
+    assert k2.select("times_seen", "last_snapshot.title").collect()[0][:] == (4, "b")
+    with pytest.raises(ValueError):
+        state.checked(k2, 9, (1, 2))
