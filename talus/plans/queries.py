@@ -155,13 +155,18 @@ def greedy_resolution(t):
 
 @_query()
 def fuzzy_title_ratio(t):
-    """Customers' names within a segment and nation that are much alike, by the exact sequence ratio."""
-    c = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.substring("c_name", -2, 2).alias("tail"))
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("c_nationkey", "c_mktsegment", "tail")]).where(F.col("a.c_custkey") < F.col("b.c_custkey"))
-    pairs = pairs.where(text.bag_bound(F.col("a.c_name"), F.col("b.c_name")) >= 0.9)
-    out = pairs.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"), text.sequence_ratio(F.col("a.c_name"), F.col("b.c_name")).alias("ratio"))
-    return out.where(F.col("ratio") >= 0.9)
+    """Customers' names within a segment and nation that are much alike, by the exact sequence ratio.
+
+    Names pair up by their rarest characters (text.ratio_prefix), which loses no pair of that ratio.
+    """
+    c = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").where("c_name is not null")
+    keyed = text.ratio_prefix(c, ["c_custkey"], "c_name", 0.9)
+    a, b = keyed.alias("a"), keyed.alias("b")
+    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("c_nationkey", "c_mktsegment", "_gram")]).where(F.col("a.c_custkey") < F.col("b.c_custkey"))
+    pairs = pairs.where(text.length_bound(F.col("a.c_name"), F.col("b.c_name")) >= 0.9)
+    pairs = pairs.select(F.col("a.c_custkey").alias("a"), F.col("b.c_custkey").alias("b"), F.col("a.c_name").alias("x"), F.col("b.c_name").alias("y")).distinct()
+    pairs = pairs.where(text.bag_bound(F.col("x"), F.col("y")) >= 0.9)
+    return pairs.select("a", "b", text.sequence_ratio(F.col("x"), F.col("y")).alias("ratio")).where(F.col("ratio") >= 0.9)
 
 
 #: Neutral sample rules over the synthetic vocabulary.

@@ -259,3 +259,22 @@ def test_state_ids_never_collide_and_rows_follow_each_other(spark):
     assert k2.select("times_seen", "last_snapshot.title").collect()[0][:] == (4, "b")
     with pytest.raises(ValueError):
         state.checked(k2, 9, (1, 2))
+
+
+def test_ratio_prefix_loses_no_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    r = random.Random(3)
+    names = ["", "", "a", "a", "é", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaa"]
+    for _ in range(40):
+        x = [r.choice("aab c1é") for _ in range(r.randint(1, 40))]
+        names += ["".join(x), "".join(c for c in x if r.random() > 0.1), "".join("z" if r.random() < 0.1 else c for c in x)]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, s string")
+    for least in (0.9, 0.96):
+        keyed = text.ratio_prefix(df, ["k"], "s", least)
+        a, b = keyed.alias("a"), keyed.alias("b")
+        got = {tuple(x) for x in a.join(b, F.col("a._gram") == F.col("b._gram")).where("a.k < b.k").select("a.k", "b.k").distinct().collect()}
+        want = {(i, j) for (i, x), (j, y) in combinations(enumerate(names), 2) if max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) >= least}
+        assert want and want <= got

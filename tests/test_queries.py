@@ -36,3 +36,16 @@ def test_query(spark, duck, name):
     at = {d[0]: i for i, d in enumerate(want.description)}
     assert sorted(at) == columns
     assert rows == sorted((tuple(plain(r[at[c]]) for c in columns) for r in want.fetchall()), key=repr)
+
+
+def test_fuzzy_title_ratio_loses_no_pair(spark):
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect()
+    same = [(a, b) for a, b in combinations(rows, 2) if (a.c_nationkey, a.c_mktsegment) == (b.c_nationkey, b.c_mktsegment)]
+    want = {(a.c_custkey, b.c_custkey): r for a, b in same if (r := SequenceMatcher(None, a.c_name, b.c_name).ratio()) >= 0.9}
+    got = QUERIES["fuzzy_title_ratio"](spark, sf).collect()
+    assert len(got) == len(want)
+    assert {(x.a, x.b): pytest.approx(x.ratio) for x in got} == want
