@@ -2,10 +2,11 @@
 
 The CGK random walk writes, at step j, the word at its position and then moves on by a random bit that depends on j and
 the word. Texts of small edit distance give outputs of small Hamming distance, since the walks fall into step again behind
-an edit. A repeat samples K of the walk's outputs; two windows collide if these agree. Walks start at every word of a
-document, each the start of an item-sized window, and, for the items, at an anchor every ANCHOR words, so that every part
-of an item can give it away. REPEATS is set by repeats() for the target recall. Each collision proposes a window of the
-item's size, which is verified by the exact edit distance in words (banded, over all proposals of a batch at once).
+an edit. A repeat samples outputs of a walk of its own; two windows collide if these agree. Walks start at every word of a
+document, each the start of an item-sized window, and, for the items, at anchors every word or two, so that every stretch
+between two edits can give an item away. The shorter an item, the shorter its walks (TIERS). Each collision proposes a
+window of the item's size, which is verified by the exact edit distance in words (banded, over all proposals of a batch at
+once).
 
 The walk is a gather and an add for each word and step in numpy; signatures are looked up in a bit table, then in a sorted
 array. Items are taken in blocks of BLOCK, each broadcast by itself, so what is broadcast has a fixed bound.
@@ -28,48 +29,39 @@ from .shingles import mix, words
 
 #: Edits a word of the item that still count as a leak; shortest item, in words.
 EDITS, SHORTEST = 0.2, 5
-#: Edit rate and recall that the number of repeats is set for.
-TARGET_EDITS, TARGET_RECALL = 0.1, 0.95
-WALKS, SAMPLED, ANCHOR = 2, 4, 8
-#: Steps of a walk, and of the walks for items of fewer than LONG words.
-STEPS, SHORT_STEPS, LONG = 28, 6, 15
+#: Words of an item from which the tier holds, repeats, steps of a walk, outputs sampled of it, words from anchor to anchor.
+#: Set by measured recall at one edit in ten and in five words; a test holds it for every length.
+TIERS = ((30, 8, 28, 4, 2), (15, 10, 14, 4, 1), (10, 8, 8, 3, 1), (SHORTEST, 6, 4, 2, 1))
+STEPS = max(x[2] for x in TIERS)
 BLOCK, CHUNK = 4096, 1_000_000
 _TABLE = 20
 
 
-def repeats(edits: float = TARGET_EDITS, target: float = TARGET_RECALL, sampled: int = SAMPLED) -> int:
-    """Repeats after which an anchor collides with probability target; an edited word spoils three outputs on average."""
-    p = (1 - min(0.95, 3 * edits)) ** sampled
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - p)))
-
-
 def _samples(n: int, steps: int, sampled: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(walk, steps) of each repeat; one step out of each of as many equal stretches."""
+    """(walk, steps) of each repeat, which has a walk of its own; one step out of each of as many equal stretches."""
     r = np.random.default_rng(steps)
     cuts = np.linspace(0, steps, sampled + 1).astype(int)
-    return [(i % WALKS, tuple(int(r.integers(a, b)) for a, b in zip(cuts, cuts[1:], strict=False))) for i in range(n)]
+    return [(i, tuple(int(r.integers(a, b)) for a, b in zip(cuts, cuts[1:], strict=False))) for i in range(n)]
 
 
-LONG_SAMPLES = _samples(repeats(), STEPS, SAMPLED)
-SHORT_SAMPLES = _samples(6, SHORT_STEPS, 3)
+def walk(hashed: np.ndarray, start: np.ndarray, samples: list) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each repeat, a signature of each start and the first and last position that it read.
 
-
-def walk(hashed: np.ndarray, start: np.ndarray, samples: list, steps: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each repeat, a signature of each start and the last position that it read. hashed must go on steps words."""
-    sig = [np.zeros(len(start), dtype=np.uint64) for _ in samples]
-    last = [start] * len(samples)
-    for w in range(WALKS):
+    hashed must go on for the steps of a walk.
+    """
+    sig, first, last = [], [], []
+    for w, steps in samples:
         bits = mix(hashed ^ np.uint64(0xA5A5A5A5 + w))
-        at = start.copy()
-        for j in range(steps):
-            of = [i for i, (v, s) in enumerate(samples) if v == w and j in s]
-            if of:
-                read = hashed[at]
-                for i in of:
-                    sig[i] = (sig[i] + read) * np.uint64(0x9E3779B97F4A7C15)
-                    last[i] = at.copy()
-            at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-    return [mix(s) for s in sig], last
+        at, s = start.copy(), np.zeros(len(start), dtype=np.uint64)
+        for j in range(steps[-1] + 1):
+            if j in steps:
+                s = (s + hashed[at]) * np.uint64(0x9E3779B97F4A7C15)
+                if j == steps[0]:
+                    first.append(at.copy())
+            at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64) if j < steps[-1] else 0
+        sig.append(mix(s))
+        last.append(at)
+    return sig, first, last
 
 
 class Index:
@@ -82,20 +74,24 @@ class Index:
         self.ids, self.words = ids, [hashed[a : a + k] for a, k in zip(first, n, strict=True)]
         padded = np.concatenate([hashed, np.zeros(STEPS + 1, dtype=np.uint64)])
         self.tiers = []
-        for samples, steps, least, most in ((LONG_SAMPLES, STEPS, LONG, None), (SHORT_SAMPLES, SHORT_STEPS, SHORTEST, LONG)):
-            own = [(i, a) for i, k in enumerate(n) if k >= least and (most is None or k < most) for a in range(0, max(1, int(k) - steps // 2 + 1), ANCHOR)]
+        most = None
+        for least, n_repeats, steps, sampled, every in TIERS:
+            own = [(i, a) for i, k in enumerate(n) if k >= least and (most is None or k < most) for a in range(0, int(k), every)]
+            most = least
             if not own:
                 continue
+            samples = _samples(n_repeats, steps, sampled)
             item, anchor = (np.array(x, dtype=np.int64) for x in zip(*own, strict=True))
-            sigs, last = walk(padded, first[item] + anchor, samples, steps)
+            sigs, begin, last = walk(padded, first[item] + anchor, samples)
             tables = []
-            for s, end in zip(sigs, last, strict=True):
-                inside = end < first[item] + n[item]
+            for s, a, end in zip(sigs, begin, last, strict=True):
+                # A signature of a single word would collide wherever that word is.
+                inside = (end < first[item] + n[item]) & (end > a)
                 order = np.argsort(s[inside], kind="stable")
                 bits = np.zeros(1 << _TABLE, dtype=bool)
                 bits[(s[inside] >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-                tables.append((np.packbits(bits), s[inside][order], item[inside][order], anchor[inside][order]))
-            self.tiers.append((samples, steps, tables))
+                tables.append((np.packbits(bits), s[inside][order], item[inside][order].astype(np.int32), anchor[inside][order].astype(np.int32)))
+            self.tiers.append((samples, tables))
 
     def scan(self, part: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) of each item found in each text, at its best window."""
@@ -105,8 +101,8 @@ class Index:
             return []
         padded = np.concatenate([hashed, np.zeros(STEPS + 1, dtype=np.uint64)])
         found = []
-        for samples, steps, tables in self.tiers:
-            sigs, _ = walk(padded, np.arange(n), samples, steps)
+        for samples, tables in self.tiers:
+            sigs, _, _ = walk(padded, np.arange(n), samples)
             for s, (bits, keys, item, anchor) in zip(sigs, tables, strict=True):
                 at = np.flatnonzero(np.unpackbits(bits).view(bool)[(s >> np.uint64(64 - _TABLE)).astype(np.int64)])
                 a, b = np.searchsorted(keys, s[at]), np.searchsorted(keys, s[at], side="right")

@@ -65,6 +65,32 @@ def test_op1_finds_planted_items_by_exact_distance(spark, docs, empty):
     assert decontaminate.remove(docs, table).columns == docs.columns
 
 
+def edited(r, item, n, spread):
+    """n words of the item replaced, dropped or added to, at random places or evenly spread."""
+    out = list(item)
+    places = [(i + 1) * len(item) // (n + 1) for i in range(n)] if spread else sorted(r.sample(range(len(item)), n))
+    for at in reversed(places):
+        kind = r.choice("rda")
+        out[at : at + (kind != "a")] = [] if kind == "d" else [f"new{r.random()}"]
+    return out
+
+
+@pytest.mark.parametrize("spread", [False, True])
+@pytest.mark.parametrize("rate", [0.1, 0.2])
+def test_op1_recall_of_every_length(rate, spread):
+    r, low = random.Random(5), {}
+    for n in range(decontaminate.SHORTEST, 60):
+        items = [[f"w{r.randint(0, 5000)}" for _ in range(n)] for _ in range(100)]
+        index = decontaminate.Index(list(range(100)), [" ".join(x) for x in items])
+        padding = lambda: [f"p{r.randint(0, 5000)}" for _ in range(20)]
+        n_edits = min(max(1, round(rate * n)), math.floor(decontaminate.EDITS * n))
+        hits = {(t, i) for t, i, _, _ in index.scan([" ".join([*padding(), *edited(r, x, n_edits, spread), *padding()]).encode() for x in items])}
+        recall = sum((i, i) in hits for i in range(100)) / 100
+        if recall < 0.95:
+            low[n] = recall
+    assert not low
+
+
 def base_secrets(text):
     out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
