@@ -263,8 +263,8 @@ def _base(raw: bytes, low: bytes, hexes: list[tuple[int, int]]) -> list[tuple[st
 def scan(items: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans of each text as (kind, start, end) in code points, by start, then kind as listed.
 
-    A stretch of tokens that the field tags and that no base span touches is a span of kind crf, without the quotes and
-    brackets around it.
+    A stretch of tokens that the field tags and that does not lie inside one base span is a span of kind crf, without the
+    quotes and brackets around it; it may overlap base spans, which stay.
     """
     parts = [x.encode() + b"\n" for x in items]
     raw, bounds = b"".join(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))]).astype(np.int64)
@@ -296,7 +296,7 @@ def scan(items: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
                 a += 1
             while a < b and part[b - 1] in b"\"')]}>`,;.":
                 b -= 1
-            if a < b and not any(x < b and a < y for _, x, y in base):
+            if a < b and not any(x <= a and b <= y for _, x, y in base):
                 spans.append(("crf", a, b))
         if spans and len(part) != len(items[i]) + 1:  # to code points
             point = np.concatenate([[0], np.cumsum((np.frombuffer(part, dtype=np.uint8) & 0xC0) != 0x80)])
