@@ -278,3 +278,14 @@ def test_ratio_prefix_loses_no_pair(spark):
         got = {tuple(x) for x in a.join(b, F.col("a._gram") == F.col("b._gram")).where("a.k < b.k").select("a.k", "b.k").distinct().collect()}
         want = {(i, j) for (i, x), (j, y) in combinations(enumerate(names), 2) if max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio()) >= least}
         assert want and want <= got
+
+
+def test_candidate_edges_lose_no_close_title(spark):
+    words = [f"word{i:02}" for i in range(26)]
+    changed = [f"wort{i:02}" if i in (5, 15) else w for i, w in enumerate(words)]
+    body = " ".join(f"body{i}" for i in range(300))
+    rows = [(1, "s", "", " ".join(words), "c", "", "", " ".join(words) + " " + body, []), (2, "t", "", " ".join(changed), "d", "", "", " ".join(changed) + " " + body, []), (3, "t", "", " ".join(changed), "d", "", "", "different " * 50, [])]
+    df = spark.createDataFrame(rows, "ord long, source string, id string, title string, company string, location string, url string, detail string, refs array<string>")
+    whole = dedup.greedy_fold([r.asDict() for r in df.collect()])
+    assert whole == {1: 1, 2: 1, 3: 3}
+    assert {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df, dedup.connected(dedup.candidate_edges(df))).collect()} == whole

@@ -49,3 +49,11 @@ def test_fuzzy_title_ratio_loses_no_pair(spark):
     got = QUERIES["fuzzy_title_ratio"](spark, sf).collect()
     assert len(got) == len(want)
     assert {(x.a, x.b): pytest.approx(x.ratio) for x in got} == want
+
+
+def test_greedy_resolution_equals_one_fold_over_all(spark):
+    from talus.operators import dedup
+    from talus.plans.queries import _listings, _table
+
+    rows = [r.asDict() for r in _listings(lambda name: _table(spark, SF, name)).collect()]
+    assert {x["ord"]: x["rep"] for x in QUERIES["greedy_resolution"](spark, SF).collect()} == dedup.greedy_fold(rows)
