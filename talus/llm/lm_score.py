@@ -121,29 +121,29 @@ class Mixer:
 
     def __init__(self, order: np.ndarray, key: np.ndarray, n: np.ndarray):
         """order and key (slot * 256 + byte) of each counted context and byte, with its count."""
-        self.ones, self.seen = [], []
+        self.ones, self.zeros = [], []
         for k, slots in enumerate(SLOTS):
             own = order == k
-            leaf = np.bincount(key[own], weights=n[own], minlength=slots * 256).astype(np.float32).reshape(slots, 256)
-            one, seen = np.zeros((slots, 256), dtype=np.float32), np.zeros((slots, 256), dtype=np.float32)
+            leaf = np.bincount(key[own], weights=n[own], minlength=slots * 256).reshape(slots, 256)
+            # Zeros and ones apart: each keeps 24 bits whatever the other is, and neither can fall below none.
+            one, zero = np.zeros((slots, 256), dtype=np.float32), np.zeros((slots, 256), dtype=np.float32)
             for depth in range(7, -1, -1):
                 pair = leaf.reshape(slots, 1 << depth, 2)
-                one[:, 1 << depth : 2 << depth] = pair[:, :, 1]
+                zero[:, 1 << depth : 2 << depth], one[:, 1 << depth : 2 << depth] = pair[:, :, 0], pair[:, :, 1]
                 leaf = pair.sum(2)
-                seen[:, 1 << depth : 2 << depth] = leaf
-            self.ones.append(one), self.seen.append(seen)
+            self.ones.append(one), self.zeros.append(zero)
         inputs = len(SLOTS) + 1
         self.weights = np.tile(np.append(np.full(inputs - 1, 1 / (inputs - 1)), 0.0), (8 * 6 * 6, 1))
         self.map = np.tile(_squash(np.linspace(-8, 8, MAP_STEPS + 1)), (256, 1))
         self.frozen: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _predict(one: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.log((one + PRIOR) / (seen - one + PRIOR)), np.minimum(5, np.log2(seen + 1) / 2).astype(np.uint8)
+    def _predict(one: np.ndarray, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.log((one + PRIOR) / (zero + PRIOR)), np.minimum(5, np.log2(one + zero + 1) / 2).astype(np.uint8)
 
     def freeze(self) -> Mixer:
         while self.ones:
-            x, sure = self._predict(self.ones.pop(0), self.seen.pop(0))
+            x, sure = self._predict(self.ones.pop(0), self.zeros.pop(0))
             self.frozen.append((x.astype(np.float16), sure))
         return self
 
@@ -154,8 +154,8 @@ class Mixer:
             if own is None:
                 x[:, k], s = (t[slot, node] for t in self.frozen[k])
             else:
-                one, seen = self.ones[k][slot, node] - own, self.seen[k][slot, node] - 1
-                x[:, k], s = self._predict(np.maximum(one, 0), np.maximum(seen, 0))
+                one, zero = self.ones[k][slot, node] - own, self.zeros[k][slot, node] - (1 - own)
+                x[:, k], s = self._predict(np.maximum(one, 0.0), np.maximum(zero, 0.0))
             sure.append(s.astype(np.int64))
         return x, (depth * 6 + sure[-1]) * 6 + sure[-2]
 

@@ -255,6 +255,17 @@ def test_op7_bits_are_a_distribution(spark):
     assert -mixer.log10(seen).mean() * math.log2(10) < 3  # bits a byte on new text; 8 before training
 
 
+def test_op7_contexts_beyond_24_bits():
+    for n in (1 << 20, (1 << 24) + 2, 1 << 40):
+        gram = np.array([0x6161616161, 0x6161616162])
+        slots = lm_score._slots(gram)
+        order, key = np.repeat(np.arange(4), 2), np.concatenate([s * 256 + (gram & 0xFF) for s in slots])
+        mixer = lm_score.Mixer(order, key, np.tile([n, 1], 4))
+        mixer.train(gram, np.array([n, 1]))
+        assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.map).all()
+        assert mixer.freeze().log10(gram)[0] > -0.1
+
+
 def test_op8_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 2, None, None), (None, 0, "x", "y"), (2, None, "a", "late"), (2, 300, "a", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("own", F.lit("clash")).withColumn("segment", F.lit("clash"))
