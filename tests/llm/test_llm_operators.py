@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import bpe, chat, decontaminate, jaccard_join, licenses, lm_score, pii, quality, secrets, warc
+from talus.llm import bpe, chat, decontaminate, jaccard_join, licenses, lm_score, pii, quality, recall, secrets, warc
 
 WORDS = "the of and in house river mountain green yellow paper stone window garden letter summer winter evening morning travel forest".split()
 #: Columns whose names clash with those that the operators use inside.
@@ -262,10 +262,99 @@ def test_op7_contexts_beyond_24_bits():
         order, key = np.repeat(np.arange(4), 2), np.concatenate([s * 256 + (gram & 0xFF) for s in slots])
         mixer = lm_score.Mixer(order, key, np.tile([n, 1], 4))
         mixer.train(gram, np.array([n, 1]))
-        assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.map).all()
+        hits, tries = mixer.outcomes(gram, np.array([n, 1]))
+        assert np.isfinite(mixer.weights).all() and (hits <= tries).all() and tries.sum() == pytest.approx(8 * (n + 1))
         assert mixer.freeze().log10(gram)[0] > -0.1
 
 
+def _units(text):
+    return re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text) + [re.search(rb"[\x20\x09-\x0D]*$", text)[0] + b"\0"]
+
+
+def test_op7_recalled_bits_against_a_plain_loop():
+    """Answers, repeats and the adaptive mix of recall.py, one text and one bit at a time."""
+    r = random.Random(8)
+    lines = [prose(r, r.randint(1, 8)).encode() for _ in range(12)]
+    texts = [b" \n".join(r.choice(lines) for _ in range(r.randint(0, 6))) + r.choice([b"", b" "]) for _ in range(40)] + [b"", b"  ", b"x"]
+    train = [i % 4 > 0 for i in range(len(texts))]
+    first, hashed, n_units = recall.units(texts)
+    plain = [_units(t) for t in texts]
+    assert n_units.tolist() == list(map(len, plain))
+    seen, follow = {}, defaultdict(Counter)
+    for u, h in zip([u for p in plain for u in p], hashed, strict=True):
+        assert seen.setdefault(u, h) == h
+    pairs_of = [[(tuple(([None, None, *p])[j : j + 2]), u) for j, u in enumerate(p)] for p in plain]
+    for p, learn in zip(pairs_of, train, strict=True):
+        for c, u in p if learn else ():
+            follow[c][u] += 1
+    entry = recall.contexts(hashed, n_units)
+    learn = np.repeat(train, n_units)
+    known = np.unique(entry)
+    assert (recall.unpack(recall.pack(known), len(known)) == known).all()
+    n = np.array([(learn & (entry == e)).sum() for e in known], dtype=np.uint32)
+    import pyarrow as pa
+
+    table = pa.table({"bucket": pa.array([3], pa.int32()), "block": [9], "n": pa.array([len(known)], pa.int32()), "entries": [recall.pack(known)], "counts": [pa.compress(n.tobytes(), codec="zstd", asbytes=True)]})
+    out = recall.answer(table).to_pylist()
+    byte = np.frombuffer(out[0]["answer"], dtype=np.uint8)[np.searchsorted(known, entry)]
+    within, at, tries = recall.repeats(entry, n_units), 0, Counter()
+    for p in pairs_of:
+        last = {}
+        for c, u in p:
+            total = sum(follow[c].values())
+            assert (byte[at] > 0) == (total > 0)
+            if total:
+                most = max(follow[c].values())
+                assert (byte[at] - 1) >> 1 == recall.classes(np.array([most]), np.array([total]))[0]
+                leaders = [x for x, k in follow[c].items() if k == most]
+                if len(leaders) == 1:
+                    assert (byte[at] & 1 == 0) == (leaders[0] == u)
+            assert within[at] == (0 if c not in last else 1 + (last[c] == u))
+            last[c] = u
+            at += 1
+    for c, by in follow.items():
+        for u, k in by.items():
+            rest = by - Counter({u: 1})
+            if rest:
+                tries[int(recall.classes(np.array([max(rest.values())]), np.array([sum(rest.values())]))[0])] += k
+    assert {x["class"]: x["tries"] for x in out[1:]} == dict(tries)
+    begin = recall.starts(*(np.bincount([x["class"] for x in out[1:]], [x[c] for x in out[1:]], minlength=recall.CLASSES) for c in ("tries", "hits")))
+    spelled = -np.random.default_rng(0).random(len(entry)) * 9
+    got = recall.score(byte, within, spelled, n_units, begin)
+    at = 0
+    for i, size in enumerate(n_units):
+        weight, ones, count, past, want = np.tile(recall.START, (8, 1)), np.full((2, 8), recall.PRIOR), np.full((2, 8), 2 * recall.PRIOR), [0, 0], 0.0
+        for j in range(at, at + size):
+            asks = [(0, byte[j] & 1 == 0, begin[(int(byte[j]) - 1) >> 1])] if byte[j] else []
+            asks += [(1, within[j] == 2, begin[-1])] if within[j] else []
+            for kind, y, x in asks:
+                q = ones[kind, past[kind]] / count[kind, past[kind]]
+                z, gate = np.array([x, math.log(q / (1 - q)), 1]), kind * 4 + past[kind] % 4
+                p = 1 / (1 + math.exp(-weight[gate] @ z))
+                want += math.log10(p if y else 1 - p)
+                weight[gate] += recall.RATE * (y - p) * z
+                ones[kind, past[kind]] += y
+                count[kind, past[kind]] += 1
+                past[kind] = (past[kind] * 2 + int(y)) % 8
+                if y:
+                    break
+            else:
+                want += spelled[j]
+        assert got[i] == pytest.approx(want, abs=1e-6)
+        at += size
+
+
+def test_op7_texts_that_training_holds_score_better(spark):
+    r = random.Random(4)
+    rows = [(i, prose(r, 60)) for i in range(60)]
+    copies = [(1000 + i, rows[i][1]) for i in range(30)] + [(2000 + i, prose(r, 60)) for i in range(30)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    got = {x["doc_id"]: x for x in lm_score.score(docs, F.col("doc_id") >= 1000).collect()}
+    copied, new = ([got[k + i]["bits_per_byte"] for i in range(30)] for k in (1000, 2000))
+    assert 2 * max(copied) < min(new) < 1.1  # the words are of 21 parts, 9 bits a word of some 12 bytes
+    assert all(x["score"] > x["base_score"] for i, x in got.items() if 1000 <= i < 2000)
+
+
 def test_op8_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 2, None, None), (None, 0, "x", "y"), (2, None, "a", "late"), (2, 300, "a", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("own", F.lit("clash")).withColumn("segment", F.lit("clash"))
