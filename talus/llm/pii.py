@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import text_chunks
 
 #: Base kinds in their order, then the kinds that cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -33,6 +33,8 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Bytes of text that are held as Python objects at a time.
+CHUNK = 1_000_000
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _AUTHORITY = re.compile(r"[^\s/?#@\"'<>]+@[^\s/?#\"'<>]+")
 _IBAN = re.compile(r"[\s:#=.-]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
@@ -94,7 +96,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
                     found["phone"].append(m.span())
         elif kind == ":":
             start = at - 2
-            while start > over["url"] and text[start - 1] in _SCHEME and at - start < 32:
+            while start > over["url"] and text[start - 1] in _SCHEME:
                 start -= 1
             if start < at - 2 and text[start].isalpha() and (m := _AUTHORITY.match(text, at + 1)):
                 found["url"].append((start, m.end()))
@@ -118,14 +120,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Personal data in every text: id and spans (kind, start, end in code points; by kind as listed, then start).
 
     A row for each row. A null or empty text has no spans. Texts are read whole, whatever their length; repeated rows
-    give equal results; other columns are ignored.
+    give equal results; other columns are ignored. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(x)] for x in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, type=_SPANS)], names=[id_col, "spans"])
+            for first, part in text_chunks(batch.column(1), CHUNK):
+                spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(x)] for x in part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(spans, type=_SPANS)], names=[id_col, "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, spans {SPANS}")
 
