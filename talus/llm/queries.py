@@ -28,8 +28,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and found again through the capture index."""
     pages = table(spark, sf_dir, "pages")
-    folder, top = warc.archive(spark, pages)
-    return warc.lookup(warc.capture_keys(pages), top, folder).drop("payload")
+    folder, top, captures = warc.archive(spark, pages)
+    return warc.lookup(warc.capture_keys(pages), top, folder, warc.reading_tasks(captures)).drop("payload")
 
 
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stage
 
-LINES = 2000
+#: Lines of a block; captures of an index shard and of a lookup task, which also ends at so many bytes of records.
+LINES, SHARD, READ = 2000, 500_000, 32_000_000
 LEVEL = 5
 OPEN_FILES = 16
 
@@ -87,7 +88,7 @@ def parse(member: bytes) -> dict:
 def write(pages: DataFrame, folder: str, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record for each row and return (key, page_id, file, offset, length), staged.
 
-    A null payload is empty. Of equal payloads of min_payload bytes or more, rows with the least id are responses, the
+    Ids are whole numbers. A null payload is empty; payloads of any length are written whole. Of equal payloads of min_payload bytes or more, rows with the least id are responses, the
     others revisits; smaller payloads are all responses. A null id is greater than any other. Repeated rows with the least
     id are responses each. Other columns are ignored; an empty table writes no records.
     """
@@ -122,7 +123,12 @@ def write(pages: DataFrame, folder: str, min_payload: int = 0, date: str = "2024
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Write the index's shards and directories; return the top level (first_key, shard), a row for each shard."""
+    """Write the index's shards and directories; return the top level (first_key, shard), a row for each shard.
+
+    A shard holds about SHARD captures. Repeated keys stay, one line each. An empty table gives an index without shards, in
+    which nothing is found.
+    """
+    shards = max(1, -(-captures.count() // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines: list[str] = []
@@ -147,7 +153,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
                 d.write("\n".join(directory).encode())
             yield pa.RecordBatch.from_arrays([pa.array([directory[0].split("\t")[0]]), pa.array([name])], names=["first_key", "shard"])
 
-    return stage(captures.select("key", "file", "offset", "length").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "first_key string, shard string"), "warc-top")
+    return stage(captures.select("key", "file", "offset", "length").repartitionByRange(shards, "key").sortWithinPartitions("key").mapInArrow(run, "first_key string, shard string"), "warc-top")
 
 
 def _block(out, directory: list[str], keys: list[str], lines: list[str], at: int) -> int:
@@ -203,11 +209,13 @@ class Reader:
             shard += 1
 
 
-def lookup(keys: DataFrame, top: DataFrame, folder: str, key_col: str = "key") -> DataFrame:
+def lookup(keys: DataFrame, top: DataFrame, folder: str, tasks: int, key_col: str = "key") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of each capture whose key is asked for.
 
-    The keys are sorted over the cluster like the index, so that a task reads its blocks one after the other. The top level
-    that each task gets has a row for each shard, i.e. for each task that wrote the index.
+    The keys are sorted over the cluster like the index, so that a task reads its blocks one after the other; tasks is into
+    how many ranges, since a key is small whatever its record is (reading_tasks()). A key asked for more than once, null
+    included, counts once; unknown keys give no row, and no keys an empty result. The top level that each task gets has a
+    row for each shard.
     """
     shared = keys.sparkSession.sparkContext.broadcast(sorted(((r[0], r[1]) for r in top.collect()), key=lambda r: r[0].encode()))
 
@@ -220,7 +228,7 @@ def lookup(keys: DataFrame, top: DataFrame, folder: str, key_col: str = "key") -
                 columns = [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    wanted = keys.select(F.col(key_col).alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
+    wanted = keys.select(F.col(key_col).alias("key")).distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return wanted.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -234,7 +242,13 @@ def capture_keys(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).cast("long"), url_col).mapInArrow(run, "key string")
 
 
-def archive(spark: SparkSession, pages: DataFrame, **columns: str) -> tuple[str, DataFrame]:
-    """Write pages and their index to a fresh shared folder: the folder and the index's top level."""
+def reading_tasks(captures: DataFrame) -> int:
+    """Into how many tasks a lookup of all captures is to be cut: READ bytes of compressed records each."""
+    return max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ))
+
+
+def archive(spark: SparkSession, pages: DataFrame, **columns: str) -> tuple[str, DataFrame, DataFrame]:
+    """Write pages and their index to a fresh shared folder: the folder, the index's top level and the captures."""
     folder = shared_dir(spark, "warc")
-    return folder, build_index(write(pages, folder, **columns), folder)
+    captures = write(pages, folder, **columns)
+    return folder, build_index(captures, folder), captures
