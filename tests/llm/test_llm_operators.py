@@ -217,6 +217,23 @@ def test_op6_canonical_texts(spark, docs, empty):
     assert licenses.find(docs).count() == docs.count() and licenses.find(empty).count() == 0
 
 
+def test_op6_customary_layouts_and_neighbouring_spellings(spark):
+    import textwrap
+
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 72) for p in t.split("\n\n"))
+    rows, want = [], {}
+    for name, text, titles in licenses.WHOLE:
+        for title in ("", *titles):
+            rows.append((len(rows), f"{title}\n\nCopyright (c) 2019-2024, A. Holder <a@example.org>\nCopyright 2020 B\nAll".removesuffix("All") + wrap(text)))
+            want[len(rows) - 1] = name
+    got = {r["doc_id"]: r["license"] for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    one = spark.createDataFrame([("favour favour labour licence licence",)], "t string").select(licenses.canonical(F.col("t"))).first()[0]
+    assert one == " favor favor labor license license "
+    found = licenses.find(spark.createDataFrame([(1, "x\n// SPDX-License-Identifier: MIT\nReleased under the MIT licence.\nLicensed under CC BY-SA 4.0\nall licensed"), (2, None)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["notices"] for r in found.collect()} == {1: "CC-BY-SA-4.0,MIT", 2: ""}
+
+
 def test_op7_unigrams_and_learning(docs, empty):
     held = lm_score.held_out(F.col("doc_id"))
     got = lm_score.score(docs, held).collect()
