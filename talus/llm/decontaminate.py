@@ -27,13 +27,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import byte_chunks
 from .shingles import mix, words
 
-#: Edits a word of the item that still count as a leak; shortest item, in words.
+#: Edits a word of the item that still count as a leak; shortest item that is walked (shorter ones allow no edit).
 EDITS, SHORTEST = 0.2, 5
 #: Words of an item from which the tier holds, repeats, steps of a walk, outputs sampled of it, words from anchor to anchor.
 #: Set by measured recall at one edit in ten and in five words; a test holds it for every length.
 TIERS = ((30, 8, 28, 4, 2), (15, 10, 14, 4, 1), (10, 8, 8, 3, 1), (SHORTEST, 6, 4, 2, 1))
 STEPS = max(x[2] for x in TIERS)
 BLOCK, CHUNK = 4096, 1_000_000
+#: Proposals that are gathered before they are verified.
+PROPOSALS = 500_000
 _TABLE = 20
 
 
@@ -64,6 +66,29 @@ def walk(hashed: np.ndarray, start: np.ndarray, samples: list) -> tuple[list[np.
     return sig, first, last
 
 
+def _windows(hashed: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k words that follow each other."""
+    out = np.zeros(max(0, len(hashed) - k + 1), dtype=np.uint64)
+    for j in range(k):
+        out = (out + hashed[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(out)
+
+
+def _matches(sig: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in sig, place in the sorted keys) of all that are equal, about PROPOSALS at a time."""
+    a, b = np.searchsorted(keys, sig), np.searchsorted(keys, sig, side="right")
+    at = np.flatnonzero(b > a)
+    a, k = a[at], (b - a)[at]
+    total = np.cumsum(k)
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PROPOSALS, side="right")))
+        n = k[first:last]
+        entry = np.repeat(a[first:last] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield np.repeat(at[first:last], n), entry
+        first = last
+
+
 class Index:
     """Signatures of a block of items."""
 
@@ -92,6 +117,14 @@ class Index:
                 bits[(s[inside] >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
                 tables.append((np.packbits(bits), s[inside][order], item[inside][order].astype(np.int32), anchor[inside][order].astype(np.int32)))
             self.tiers.append((samples, tables))
+        # Items too short for a walk allow no edit: their whole hash is looked up instead.
+        self.short = {}
+        for k in range(1, SHORTEST):
+            own = np.flatnonzero(n == k)
+            if len(own):
+                keys = _windows(np.concatenate([self.words[i] for i in own]), k)[:: k]
+                order = np.argsort(keys, kind="stable")
+                self.short[k] = keys[order], own[order].astype(np.int32)
 
     def scan(self, part: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, edits) of each item found in each text, at its best window."""
@@ -100,29 +133,33 @@ class Index:
         if not n:
             return []
         padded = np.concatenate([hashed, np.zeros(STEPS + 1, dtype=np.uint64)])
-        found = []
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, (keys, item) in self.short.items():
+            for at, entry in _matches(_windows(padded[: n + k - 1], k), keys) if n >= k else ():
+                inside = (at + k <= n) & (of[np.minimum(at + k - 1, n - 1)] == of[at])
+                at, entry = at[inside], entry[inside]
+                same = np.array([np.array_equal(hashed[x : x + k], self.words[i]) for x, i in zip(at, item[entry], strict=True)], dtype=bool)
+                for x, i in zip(at[same].tolist(), item[entry[same]].tolist(), strict=True):
+                    best.setdefault((int(of[x]), i), (0, int(x - np.searchsorted(of, of[x]))))
         for samples, tables in self.tiers:
             sigs, _, _ = walk(padded, np.arange(n), samples)
+            proposals: list[np.ndarray] = []
             for s, (bits, keys, item, anchor) in zip(sigs, tables, strict=True):
-                at = np.flatnonzero(np.unpackbits(bits).view(bool)[(s >> np.uint64(64 - _TABLE)).astype(np.int64)])
-                a, b = np.searchsorted(keys, s[at]), np.searchsorted(keys, s[at], side="right")
-                at, a, b = at[b > a], a[b > a], b[b > a]
-                k = b - a
-                entry = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]).astype(np.int64), k) + np.arange(k.sum())
-                found.append(np.stack([np.repeat(at, k), np.repeat(at, k) - anchor[entry], item[entry]], axis=1))
-        if not found:
-            return []
-        hits = np.concatenate(found)
-        if not len(hits):
-            return []
-        text = of[hits[:, 0]]
-        # One proposal for each item and start; starts that differ by an edit or two come out of the same band.
-        order = np.unique(np.stack([text, hits[:, 2], hits[:, 1]], axis=1), axis=0)
-        return self._verified(hashed, of, order)
+                maybe = np.flatnonzero(np.unpackbits(bits).view(bool)[(s >> np.uint64(64 - _TABLE)).astype(np.int64)])
+                for at, entry in _matches(s[maybe], keys):
+                    at = maybe[at]
+                    # One proposal for each item and start; starts that differ by an edit or two come out of the same band.
+                    proposals.append(np.unique(np.stack([of[at].astype(np.int64), item[entry], at - anchor[entry]], axis=1), axis=0))
+                    if sum(map(len, proposals)) > PROPOSALS:
+                        self._verify(best, hashed, of, np.unique(np.concatenate(proposals), axis=0))
+                        proposals = []
+            if proposals:
+                self._verify(best, hashed, of, np.unique(np.concatenate(proposals), axis=0))
+        return [(text, item, s, e) for (text, item), (e, s) in sorted(best.items())]
 
-    def _verified(self, hashed: np.ndarray, of: np.ndarray, proposals: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def _verify(self, best: dict[tuple[int, int], tuple[int, int]], hashed: np.ndarray, of: np.ndarray, proposals: np.ndarray) -> None:
+        """Take the proposals within the allowed edits into best, which holds (edits, start) by text and item."""
         size = np.array([len(x) for x in self.words])
-        best: dict[tuple[int, int], tuple[int, int]] = {}
         for n in np.unique(size[proposals[:, 1]]):
             own = proposals[size[proposals[:, 1]] == n]
             for a in range(0, len(own), 20_000):
@@ -131,7 +168,6 @@ class Index:
                 ok = edits <= math.floor(EDITS * n)
                 for (text, item, _), e, s in zip(rows[ok].tolist(), edits[ok].tolist(), start[ok].tolist(), strict=True):
                     best[text, item] = min(best.get((text, item), (e, s)), (e, s))
-        return [(text, item, s, e) for (text, item), (e, s) in sorted(best.items())]
 
     def _distance(self, hashed: np.ndarray, of: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Least edit distance between the item and a window that starts at the proposal, give or take the allowed edits.
@@ -170,8 +206,9 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """id, item id, first_word, n_words and edits of every item that a text holds within EDITS edits a word.
 
     A row for each document row and item, at the window of fewest edits, then the first. Words are runs of anything but
-    ASCII white space, A-Z in lower case. Items of fewer than SHORTEST words, null ones included, are never found, nor is
-    anything in a null or empty text. Repeated documents or items give repeated rows. Other columns are ignored. No
+    ASCII white space, A-Z in lower case. Items of fewer than SHORTEST words allow no edit and are found by a hash of all
+    their words. Items without words, null ones included, are never found, nor is anything in a null or empty text. Texts
+    are read whole, whatever their length. Repeated documents or items give repeated rows. Other columns are ignored. No
     document or no item: no row.
     """
     spark = docs.sparkSession
@@ -194,7 +231,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with its columns, whose text holds no item by the rule of find()."""
+    """The rows of docs, with its columns, whose text holds no item by the rule of find().
+
+    Null and empty texts hold none and stay, as do all rows if there are no items; of repeated rows all stay or all go.
+    Other columns are handed through, whatever their names.
+    """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for index in _blocks(items.select(F.lit(0).alias("_id"), item_text_col), "_id", item_text_col):
         shared = spark.sparkContext.broadcast(index)
