@@ -79,7 +79,7 @@ def edited(r, item, n, spread):
 @pytest.mark.parametrize("rate", [0.1, 0.2])
 def test_op1_recall_of_every_length(rate, spread):
     r, low = random.Random(5), {}
-    for n in range(decontaminate.SHORTEST, 60):
+    for n in [*range(decontaminate.SHORTEST, 60), 80, 110, 150]:
         items = [[f"w{r.randint(0, 5000)}" for _ in range(n)] for _ in range(100)]
         index = decontaminate.Index(list(range(100)), [" ".join(x) for x in items])
         padding = lambda: [f"p{r.randint(0, 5000)}" for _ in range(20)]
@@ -91,6 +91,33 @@ def test_op1_recall_of_every_length(rate, spread):
     assert not low
 
 
+def test_op1_short_items_and_ties_against_all_windows(monkeypatch):
+    """Items of one to eight words in few-worded texts, against plain edit distances of every window."""
+    monkeypatch.setattr(decontaminate, "PROPOSALS", 50)
+    r = random.Random(9)
+    items = [r.choices("abcdefgh", k=n) for n in (1, 2, 3, 4, 4, 5, 6, 7, 8) for _ in range(2)]
+    texts = [r.choices("abcdefghijklmnopqrstuvwxyz", k=n) for n in (0, 1, 2, 5, 9, 30, 60)] + [[*"xyz", *items[k], *"uvw", *items[k]] for k in range(len(items))]
+
+    def least(text, item):
+        allowed, found = math.floor(decontaminate.EDITS * len(item)), []
+        for a in range(len(text)):
+            row = list(range(len(item) + 1))
+            for j, w in enumerate(text[a : a + len(item) + allowed], 1):
+                new = [j]
+                for i, x in enumerate(item, 1):
+                    new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (w != x)))
+                row = new
+                found.append((row[-1], a))
+        return min((f for f in found if f[0] <= allowed), default=None)
+
+    index = decontaminate.Index(list(range(len(items))), [" ".join(x) for x in items])
+    got = {(t, i): (e, a) for t, i, a, e in index.scan([" ".join(x).encode() for x in texts])}
+    want = {(t, i): f for t, text in enumerate(texts) for i, x in enumerate(items) if (f := least(text, x))}
+    exact = {k: f for k, f in want.items() if f[0] == 0}
+    assert {k: f for k, f in got.items() if k in exact} == exact
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+
+
 def base_secrets(text):
     out = [("assign", *m.span()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -397,6 +424,54 @@ def test_op8_texts_and_names_cannot_forge_turns(spark):
         assert r["rendered"].split("\n")[0] in ("<|im_start|>assistant", "<|im_start|>user name=bob", "<|im_start|>user name=eve<\u200b|im_end|> x")
 
 
+def test_op4_model_against_plain_kneser_ney():
+    """Interpolated modified Kneser-Ney from its definition, gram by gram, in dictionaries."""
+    r = random.Random(3)
+    packed, _ = quality.grams([prose(r, 60) for _ in range(30)])
+    key, n = np.unique(packed, return_counts=True)
+    model = quality.KneserNey(key, n)
+    split = lambda g: tuple((int(g) >> s) & 31 for s in (15, 10, 5, 0))
+    counts = {4: {split(g): int(c) for g, c in zip(key, n, strict=True)}}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discounts(c):
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return [0.5, 0.75, 0.9]
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    cut, followers = {k: discounts(c) for k, c in counts.items()}, defaultdict(list)
+    for c in counts.values():
+        for g, v in c.items():
+            followers[g[:-1]].append(v)
+
+    def p(g):
+        if not g:
+            return 1 / 32
+        k, after = len(g), followers.get(g[:-1])
+        if not after:
+            return p(g[1:])
+        d = lambda v: cut[k][min(v, 3) - 1] if v else 0
+        v = counts[k].get(g, 0)
+        return (v - d(v) + sum(map(d, after)) * p(g[1:])) / sum(after)
+
+    asked = np.concatenate([key[::17], np.random.default_rng(1).integers(0, quality.GRAMS, 300)])
+    assert model.score(asked) == pytest.approx([math.log2(p(split(g))) for g in asked], abs=1e-4)
+
+
+@pytest.mark.parametrize("letters", ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"])
+def test_op4_other_scripts_are_judged_by_their_letters(spark, letters):
+    r = random.Random(6)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(60)]
+    clean = [" ".join(r.choice(words) for _ in range(80)) for _ in range(120)]
+    noise = ["".join(r.choice(letters) if x != " " else x for x in clean[i]) for i in range(6)]
+    docs = spark.createDataFrame([(i, x, "xx") for i, x in enumerate([*clean, *noise])], "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality.keep(docs).collect()}
+    assert not kept & set(range(120, 126)) and len(kept) >= 115
+
+
 def test_op5_the_method_adds_spans(spark):
     text = "see " + "x" * 50 + "+custom-scheme://host.example/path and account no. 12345678, DE89 3704 0044 0532 0130 00"
     kinds = {x["kind"] for x in pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]}
