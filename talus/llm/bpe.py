@@ -202,15 +202,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for first, part in text_chunks(batch.column(1), CHUNK):
                 ids = enc.encode(part)
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), tokens, pa.array([enc.decode(x) for x in ids], type=pa.binary())], names=[id_col, "tokens", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), _lists(ids), pa.array([enc.decode(x) for x in ids], type=pa.binary())], names=[id_col, "tokens", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, tokens array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() reduced to id, n_tokens, ids_sha256 and decoded_sha256 before the rows leave the worker."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_tokens: bool = False) -> DataFrame:
+    """encode() reduced to id, n_tokens, ids_sha256 and decoded_sha256 before the rows leave the worker.
+
+    with_tokens adds tokens array<int>, the ids themselves. Rows are treated as by encode().
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +221,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             for first, part in text_chunks(batch.column(1), CHUNK):
                 ids = enc.encode(part)
                 columns = [batch.column(0).slice(first, len(part)), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(enc.decode(x)) for x in ids])]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(columns + [_lists(ids)] * with_tokens, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["tokens"] * with_tokens)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_tokens)
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))

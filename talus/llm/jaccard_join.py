@@ -214,7 +214,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches):
         own = _owned(group)
         tokens, size = [], group["size"].to_numpy()
-        for _, part in byte_chunks(group["text"].combine_chunks(), CHUNK):
+        for _, part in ((0, part) for piece in group["text"].chunks for _, part in byte_chunks(piece, CHUNK)):
             tokens.append(shingle_sets(part, SHINGLE)[0])
         words, code = np.unique(np.concatenate(tokens), return_inverse=True)
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
