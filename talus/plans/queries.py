@@ -240,17 +240,29 @@ _AS_OF = "1998-06-01"
 
 @_query(f"SELECT l_orderkey, min(l_shipdate)::DATE::VARCHAR AS deadline, count(DISTINCT l_shipdate::DATE) > 1 AS conflict, CASE WHEN min(l_shipdate)::DATE >= DATE '{_AS_OF}' THEN 'OPEN' ELSE 'CLOSED' END AS status FROM lineitem GROUP BY l_orderkey")
 def date_candidates_min(t):
-    days = F.collect_set(F.to_date("l_shipdate"))
-    x = t("lineitem").groupBy("l_orderkey").agg(F.min(F.to_date("l_shipdate")).alias("d"), (F.size(days) > 1).alias("conflict"))
+    day = F.to_date("l_shipdate")
+    x = t("lineitem").groupBy("l_orderkey").agg(F.min(day).alias("d"), (F.min(day) < F.max(day)).alias("conflict"))
     return x.select("l_orderkey", F.date_format("d", "yyyy-MM-dd").alias("deadline"), "conflict", F.when(F.col("d") >= F.to_date(F.lit(_AS_OF)), "OPEN").otherwise("CLOSED").alias("status"))
 
 
-@_query(f"SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= DATE '{_AS_OF}' THEN 'OPEN' ELSE 'CLOSED' END AS status, o_orderdate::DATE::VARCHAR AS deadline FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1997-01-01' AND DATE '2001-12-31'")
+#: Notices in three languages: one for each remainder of the order's key; the last four have no deadline.
+_NOTICES = (
+    ("Closing date: {}.", "d MMMM yyyy"), ("Closes: {} - Barcelona.", "MMM d, yyyy"), ("Published 01/02/1998. Deadline for applications: {}", "dd/MM/yyyy"), ("How to apply: by post, until {}.", "d MMMM yyyy"),
+    ("Please submit your application through the site by {}", "yyyy-MM-dd"), ("Fecha límite de presentación: {}", "dd.MM.yyyy"), ("Plazo de solicitud del 01/01/1998 al {}", "dd-MM-yyyy"), ("Termini de presentació: {}", "d/M/yyyy"),
+    ("The contract runs until {}.", "d MMMM yyyy"), ("Applications remain open until a candidate is selected. Start {}", "dd/MM/yyyy"), ("Plazo de solicitud cerrado. Inicio {}", "dd/MM/yyyy"), ("Deadline: see site. Published {}", "dd/MM/yyyy"),
+)
+
+
+@_query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % {len(_NOTICES)} AS k, o_orderdate::DATE AS d, year(o_orderdate::DATE) BETWEEN 1997 AND 2001 AS near FROM orders)
+SELECT o_orderkey, CASE WHEN k = 9 THEN 'OPEN_UNTIL_FILLED' WHEN k = 10 THEN 'CLOSED' WHEN k > 7 OR NOT near THEN 'UNKNOWN' WHEN d >= DATE '{_AS_OF}' THEN 'OPEN' ELSE 'CLOSED' END AS status, CASE WHEN k < 8 AND near THEN d::VARCHAR ELSE '' END AS deadline FROM o""")
 def availability_asof(t):
-    """Orders as notices with their date as deadline in words, read back from the text."""
-    o = t("orders").where(F.to_date("o_orderdate").between("1997-01-01", "2001-12-31"))
-    notice = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(". Closing date: "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("."))
-    x = o.select("o_orderkey", dates.availability(notice, F.to_date(F.lit(_AS_OF))).alias("a"))
+    """Orders as notices in several forms with their date in words, read back from the text; years far from the day count as none."""
+    key = F.col("o_orderkey") % len(_NOTICES)
+    notice = F.lit("")
+    for k, (form, pattern) in enumerate(_NOTICES):
+        before, after = form.split("{}")
+        notice = F.when(key == k, F.concat(F.lit(before), F.date_format("o_orderdate", pattern), F.lit(after))).otherwise(notice)
+    x = t("orders").select("o_orderkey", notice.alias("notice")).select("o_orderkey", dates.availability(F.col("notice"), F.to_date(F.lit(_AS_OF))).alias("a"))
     return x.select("o_orderkey", "a.status", "a.deadline")
 
 

@@ -49,11 +49,22 @@ def test_sequence_ratio_depends_on_order_and_is_bounded(spark):
 
 @pytest.mark.parametrize("notice,status,deadline,conflict", [
     ("Deadline: 3 March 2026", "CLOSED", "2026-03-03", False),
-    ("Apply by 2026-09-01. Closing date 05/09/2026", "OPEN", "2026-09-01", True),
-    ("Plazo: 31 de febrero de 2026", "UNKNOWN", "", False),
-    ("Deadline 1 May 2040", "UNKNOWN", "", False),
-    ("Open until filled", "OPEN_UNTIL_FILLED", "", False),
-    ("No longer accepting; open until filled", "CLOSED", "", False),
+    ("Closes: 2026-09-01. Closing date 05/09/2026", "OPEN", "2026-09-01", True),
+    ("Fecha límite: 31 de febrero de 2026", "UNKNOWN", "", False),
+    ("Deadline: 1 May 2040", "UNKNOWN", "", False),
+    ("Open until a suitable candidate is found", "OPEN_UNTIL_FILLED", "", False),
+    ("Applications will remain open until a candidate is selected.", "OPEN_UNTIL_FILLED", "", False),
+    ("Applications closed; applications considered on a rolling basis", "CLOSED", "", False),
+    ("Plazo de solicitud cerrado", "CLOSED", "", False), ("Estado: en subsanación", "CLOSED", "", False), ("Termini de sol·licitud tancat", "CLOSED", "", False),
+    ("Fecha límite: 30 de agosto de 2026", "OPEN", "2026-08-30", False), ("FECHA LÍMITE  lunes, 3 setiembre 2026", "OPEN", "2026-09-03", False),
+    ("Barcelona Closes: Sep 6, 2026 Research role.", "OPEN", "2026-09-06", False), ("How to apply: Until 31st August 2026", "OPEN", "2026-08-31", False),
+    ("Plazo de solicitud del 20/07/2026 al 31/07/2026", "OPEN", "2026-07-31", False), ("Termini de presentació: 30/09/2026", "OPEN", "2026-09-30", False),
+    ("Termini de recepció de candidatures: 5 de març de 2026", "CLOSED", "2026-03-05", False),
+    ("Contract hasta el 31 de diciembre de 2026", "UNKNOWN", "", False), ("Deadline: see site. Published 01/02/2026", "UNKNOWN", "", False),
+    ("Application Deadline 25 Aug 5206 - 15:00. The application deadline is 25\n August   2026 at 3 p.m.", "OPEN", "2026-08-25", False),
+    ("Application Deadline 15 Sep 2026. Submission and deadline: candidates submit applications by September 3, 2026.", "OPEN", "2026-09-03", True),
+    ("Application Deadline 30 Sep 2026 - 23:59 STATUS: EXPIRED", "OPEN", "2026-09-30", False), ("Deadline: Please send all papers by 30/09/2026", "OPEN", "2026-09-30", False),
+    ("Deadline: 30.09-2026", "UNKNOWN", "", False), ("Research role in Spain.", "UNKNOWN", "", False),
     (None, "UNKNOWN", "", False),
 ])
 def test_availability(spark, notice, status, deadline, conflict):
