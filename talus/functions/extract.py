@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import blank, clean_text
+from .text import blank, clean_text, fold_accents
 
 _DROP = "script|style|nav|header|footer|aside|form|button"
 
@@ -148,7 +148,7 @@ def identity_match(title_words: Column, company_words: Column, text: Column, cue
     Words of five letters or more in the title that are not the company's must be there (two, or half of them, or one of
     nine letters) beside two cues; a title without such words takes three cues and one of the company's first four words.
     """
-    t, long_ = F.lower(blank(text)), lambda w: F.filter(w, lambda x: F.length(x) >= 5)
+    t, long_ = fold_accents(text), lambda w: F.filter(w, lambda x: F.length(x) >= 5)
     sig = F.array_except(F.array_distinct(long_(title_words)), long_(company_words))
     hit = F.filter(sig, lambda w: F.contains(t, w))
     n_cues = sum((F.when(t.rlike(p), 1).otherwise(0) for p in cues), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import blank, clean_text
+from .text import blank, clean_text, fold_accents
 
 LEAVES = ArrayType(StructType([StructField(c, StringType()) for c in ("path", "value", "kind")]))
 
@@ -73,10 +73,14 @@ def render(leaves: Column, labels: Mapping[str, str] | None = None, prefix: str
     return F.substring(F.array_join(first, "\n"), 1, most)
 
 
-def substantive(leaves: Column, strong: tuple[str, ...], each: int = 40, total: int = 220) -> Column:
-    """Two strong fields of each characters or more, or one of total: enough to judge a record by."""
+def substantive(leaves: Column, strong: tuple[str, ...], each: int = 40, total: int = 220, body: Column | None = None, cues: tuple[str, ...] = (), long: int = 1100) -> Column:
+    """Two strong fields of each characters or more, or one of total, or a body of long characters with two of the cues:
+    enough to judge a record by."""
+    folded = F.lit("") if body is None else fold_accents(body)
+    hits = sum((F.when(folded.rlike(p), 1).otherwise(0) for p in cues), F.lit(0))
+    rendered = (F.length(folded) >= long) & (hits >= 2)
     sizes = F.transform(F.filter(leaves, lambda x: F.lower(leaf_name(x["path"])).isin(*strong) & (F.length(clean_text(x["value"])) >= each)), lambda x: F.length(clean_text(x["value"])))
-    return (F.size(sizes) >= 2) | ((F.size(sizes) == 1) & (F.coalesce(F.array_max(sizes), F.lit(0)) >= total))
+    return (F.size(sizes) >= 2) | ((F.size(sizes) == 1) & (F.coalesce(F.array_max(sizes), F.lit(0)) >= total)) | rendered
 
 
 @F.pandas_udf(StringType())

@@ -14,11 +14,28 @@ def row_sources(provenance: Column, source: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(F.filter(F.split(F.coalesce(source, F.lit("")), "\\+"), lambda x: x != ""))
 
 
-def contribution(rows: DataFrame, sources: str, act: Column) -> DataFrame:
-    """A row a source: records, those of no other source, shared ones, actionable ones and share of exclusive records."""
+def contribution(rows: DataFrame, sources: str, act: Column, configured: DataFrame | None = None) -> DataFrame:
+    """A row a source: records, those of no other source, shared ones, actionable ones and share of exclusive records.
+
+    configured (source): each source that it names has a row, with zeros where no record has it.
+    """
     each = rows.select(F.explode(sources).alias("source"), F.size(sources).alias("n"), act.alias("act"))
     out = each.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("n") == 1).alias("exclusive"), F.count_if(F.col("n") > 1).alias("shared"), F.count_if("act").alias("actionable"), F.count_if(F.col("act") & (F.col("n") == 1)).alias("exclusive_actionable"))
-    return out.withColumn("exclusive_share", F.round(F.col("exclusive") / F.col("total"), 4))
+    if configured is not None:
+        out = configured.select("source").distinct().join(out, "source", "full").na.fill(0)
+    return out.withColumn("exclusive_share", F.round(ratio(F.col("exclusive"), F.col("total"), 0.0), 4))
+
+
+def partners(rows: DataFrame, sources: str) -> DataFrame:
+    """(source, partners): for each source, how many records it shares with each other one, as a map by name."""
+    o = overlap(rows, sources, F.lit(False))
+    both = o.select(F.col("a").alias("source"), F.col("b").alias("other"), "n").unionByName(o.select(F.col("b").alias("source"), F.col("a").alias("other"), "n"))
+    return both.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("other", "n")))).alias("partners"))
+
+
+def measured(rows: DataFrame, by: str, measures: Mapping[str, Column]) -> DataFrame:
+    """Any number of conditional counts of each group, in one pass."""
+    return rows.groupBy(by).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in measures.items()))
 
 
 def overlap(rows: DataFrame, sources: str, act: Column) -> DataFrame:
@@ -90,9 +107,9 @@ def cutoff(rows: DataFrame, page: str, day: str, oldest: Column) -> DataFrame:
 
     A scan stops after the first page whose newest date is older than the cutoff.
     """
-    stop = rows.groupBy(page).agg((F.max(day) < oldest).alias("old")).where("old").agg(F.min(page)).first()[0]
+    stop = rows.groupBy(page).agg((F.max(day) < oldest).alias("old")).where("old").agg(F.min(page)).scalar()
     kept = rows.where(F.col(day).isNull() | (F.col(day) >= oldest))
-    return kept if stop is None else kept.where(F.col(page) <= stop)
+    return kept.where(F.col(page) <= F.coalesce(stop, F.col(page)))
 
 
 def deferred(rows: DataFrame, key: Sequence[str], order: str, limited: Column) -> DataFrame:

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset and all runs on one machine a temporary one takes its place; on a cluster that is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return base or "file://" + tempfile.mkdtemp(prefix="talus-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once into the folder that the cluster names in spark.checkpoint.dir (a temporary one where it is unset)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talus-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

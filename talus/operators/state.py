@@ -147,6 +147,14 @@ def sticky(old: Column, new: Column, degraded: Column) -> Column:
     return F.when(degraded & old.isNotNull(), old).otherwise(new)
 
 
+def stored(snapshot: Column, trusted: Column, names: Sequence[str], identity: Sequence[str] = ("title", "company")) -> Column:
+    """What is kept of a snapshot: where its detail is not resolved, the fields of the last one that was (null if none was),
+    but for names of its own where these are not blank."""
+    degraded = trusted.isNotNull() & ~F.coalesce(snapshot["resolved"], F.lit(False))
+    own = lambda f: F.coalesce(F.nullif(snapshot[f], F.lit("")), trusted[f]) if f in identity else trusted[f]
+    return F.struct(*(F.when(degraded, own(f)).otherwise(snapshot[f]).alias(f) for f in names))
+
+
 def transition(known: Column, was_status: Column, status: Column, reasons: Column, degraded: Column | None = None) -> Column:
     """NEW, REOPENED (was closed, is open, not degraded), MATERIALLY_CHANGED or SEEN."""
     degraded = F.lit(False) if degraded is None else degraded
@@ -160,9 +168,12 @@ def fold_days(observations: DataFrame, key: str, day: str) -> DataFrame:
 
 
 def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str] = ("title", "company", "location", "application_deadline", "application_status")) -> tuple[DataFrame, DataFrame]:
-    """(rows with seen_status, change_reasons and state_id; the next state).
+    """(rows with seen_status, change_reasons, state_events and state_id; the next state).
 
-    rows: ord, aliases, and snapshot (a struct with the fields). State rows that no record matches stay as they are. A new
+    rows: ord, aliases, and snapshot (a struct with the fields). A snapshot with a field resolved (whether its detail was
+    found) is compared with what is stored: a record whose detail was known and is not found today is degraded, keeps the
+    stored detail, changes only by its title or company and is never reopened; state_events tells of details found and
+    lost. Without that field every snapshot stands as it is. State rows that no record matches stay as they are. A new
     record's id comes from its first alias (from its URL, if its id was another record's), numbered past the ids that are
     there. Of several records that match one state row each counts and is compared with the one before it, and the last
     one's snapshot stays; those that split_claims() tells apart get a state row of their own, which takes over first_seen.
@@ -179,8 +190,22 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
 
     known = F.col("first_seen").isNotNull()
     run = Window.partitionBy(F.coalesce("state_id", F.col("ord").cast("string")), "part").orderBy("ord")
-    x = x.withColumn("known", known).withColumn("old", F.coalesce(F.when(known, F.lag("snapshot").over(run)), F.when(F.col("part") == 0, F.col("old")))).withColumn("head", F.min("ord").over(run))
-    reasons = F.when(F.col("old").isNotNull(), change_reasons("old", "snapshot", fields)).otherwise(none)
+    names = rows.schema["snapshot"].dataType.names
+    mine = F.when(F.col("part") == 0, F.col("old"))
+    x = x.withColumn("known", known).withColumn("was", F.coalesce(F.when(known, F.lag("snapshot").over(run)), mine)).withColumn("head", F.min("ord").over(run))
+    if "resolved" in names:
+        earlier = F.last(F.when(F.col("snapshot.resolved"), F.col("snapshot")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+        x = x.withColumn("trusted", F.coalesce(F.when(known, earlier), F.when(mine["resolved"], mine)))
+        x = x.withColumn("old", F.when(F.col("was").isNotNull(), stored(F.col("was"), F.col("trusted"), names)))
+        x = x.withColumn("stored", stored(F.col("snapshot"), F.when(F.col("old.resolved"), F.col("old")), names))
+        found_before, found_now = (F.coalesce(F.col(f"{c}.resolved"), F.lit(False)) for c in ("old", "snapshot"))
+        degraded, event = found_before & ~found_now, F.when(F.col("old").isNotNull(), quality_event(found_before, found_now))
+    else:
+        x = x.withColumn("old", F.col("was")).withColumn("stored", F.col("snapshot"))
+        degraded, event = F.lit(False), F.lit(None).cast("string")
+    x = x.withColumn("degraded", degraded).withColumn("state_events", F.array_compact(F.array(event)))
+    both = F.col("old.resolved") & F.col("snapshot.resolved") if {"resolved", "recommendation", "simhash"} <= set(names) else None
+    reasons = F.when(F.col("old").isNotNull(), change_reasons("old", "snapshot", fields, degraded=F.col("degraded"), both_resolved=both)).otherwise(none)
     url = F.array_min(_ranked(1, 1))
     first = F.when(F.col("reused") & url.isNotNull(), url).otherwise(F.coalesce(F.try_element_at(F.transform("aliases", lambda a: a["alias"]), F.lit(1)), F.to_json("snapshot")))
     base = F.when(known & (F.col("part") == 0), F.col("state_id")).otherwise(state_id(F.coalesce("seed", first)))
@@ -188,13 +213,13 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     taken = state.groupBy(F.regexp_replace("state_id", "^(job_[0-9a-f]{20})_[0-9]+$", "$1").alias("base")).agg(F.count("*").alias("taken"))
     x = x.join(taken, "base", "left").withColumn("nth", F.dense_rank().over(Window.partitionBy("base", "fresh").orderBy("head")) - 1 + F.coalesce("taken", F.lit(0)))
     new_id = F.when(~F.col("fresh") | (F.col("nth") == 0), F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("nth").cast("string")))
-    status = transition(F.col("known"), F.col("old.application_status"), F.col("snapshot.application_status"), F.col("change_reasons"))
+    status = transition(F.col("known"), F.col("old.application_status"), F.col("snapshot.application_status"), F.col("change_reasons"), F.col("degraded"))
     seen = cut(x.withColumn("state_id", new_id).withColumn("seen_status", status))
     own = F.transform("aliases", lambda a: a["alias"])
     before = F.when(F.col("part") == 0, F.col("old_aliases"))
     now = seen.groupBy("state_id").agg(
         F.array_distinct(F.concat(F.array_except(F.coalesce(F.first(before), none), F.coalesce(F.first("gone"), none)), F.flatten(F.collect_list(own)))).alias("aliases"), F.coalesce(F.first("first_seen"), day).alias("first_seen"), day.alias("last_seen"),
-        (F.coalesce(F.first(F.when(F.col("part") == 0, F.col("times_seen"))), F.lit(0)) + F.count("*")).cast("int").alias("times_seen"), F.max_by("snapshot", "ord").alias("last_snapshot"),
+        (F.coalesce(F.first(F.when(F.col("part") == 0, F.col("times_seen"))), F.lit(0)) + F.count("*")).cast("int").alias("times_seen"), F.max_by("stored", "ord").alias("last_snapshot"),
     )
     kept = state.join(now.select("state_id"), "state_id", "left_anti")
-    return seen.select(*rows.columns, "state_id", "seen_status", "change_reasons"), kept.unionByName(now)
+    return seen.select(*rows.columns, "state_id", "seen_status", "change_reasons", "state_events"), kept.unionByName(now)

@@ -12,15 +12,16 @@ from ..functions.scoring import rank
 PRIMARY = ("STRONG_APPLY", "APPLY", "REVIEW")
 
 
-def standard_views(recommendation: Column, status: Column, seen: Column, has_event: Column) -> dict[str, Column]:
-    """The views' predicates."""
+def standard_views(recommendation: Column, status: Column, seen: Column, has_event: Column, resolved: Column) -> dict[str, Column]:
+    """The views' predicates. has_event: any event of detail quality; resolved: the detail was found at last, which alone
+    brings a known record up again."""
     r, a, s = (F.coalesce(c, F.lit("")) for c in (recommendation, status, seen))
-    event = F.coalesce(has_event, F.lit(False))
+    event, resolved = F.coalesce(has_event, F.lit(False)), F.coalesce(resolved, F.lit(False))
     primary, low, unresolved, open_ = r.isin(*PRIMARY), r == "LOW_PRIORITY", r == "NEEDS_DETAIL_REVIEW", a != "CLOSED"
     actionable = (primary | low | unresolved) & open_
     return {
         "all_evaluated": ~unresolved, "needs_detail_review": unresolved, "primary": primary, "low": low, "skipped": r == "SKIP", "closed": a == "CLOSED", "actionable_primary": primary & open_, "actionable_low": low & open_, "actionable": actionable,
-        "daily_actionable": actionable & (s.isin("NEW", "MATERIALLY_CHANGED", "REOPENED") | event), "new_actionable": actionable & (s == "NEW"), "changed_or_reopened": s.isin("MATERIALLY_CHANGED", "REOPENED"), "seen_unchanged": (s == "SEEN") & ~event, "state_quality_events": event, "all_canonical": F.lit(True),
+        "daily_actionable": actionable & (s.isin("NEW", "MATERIALLY_CHANGED", "REOPENED") | resolved), "new_actionable": actionable & (s == "NEW"), "changed_or_reopened": s.isin("MATERIALLY_CHANGED", "REOPENED"), "seen_unchanged": (s == "SEEN") & ~event, "state_quality_events": event, "all_canonical": F.lit(True),
     }
 
 
@@ -36,10 +37,19 @@ def ranked(rows: DataFrame, recommendation: str, score: str, title: str) -> Data
 
 
 def top_n(rows: DataFrame, order: Sequence[Column], n: int, group: Sequence[str]) -> DataFrame:
-    """The first n rows of each group, with place and with truncated, the number of rows left out."""
-    w = Window.partitionBy(*group)
-    counted = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("truncated", F.greatest(F.lit(0), F.count("*").over(w) - n))
-    return counted.where(F.col("place") <= n)
+    """The first n rows of each group, with place and with truncated, the number of rows left out.
+
+    Places alone decide, so that each task keeps n rows of a group before the shuffle; the groups are counted apart, which
+    adds up before its own shuffle.
+    """
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= n)
+    counts = rows.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.greatest(F.lit(0), F.count("*") - n).alias("truncated"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    if not group:  # one row of counts
+        return first.withColumn("truncated", counts.scalar())
+    return first.join(counts, same).drop(*(f"_{g}" for g in group))
 
 
 def triage(text: Column, reject: str, role: str, domain: str, distant: str, protected: str) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, nested, rules, scoring, text
 from ..operators import audit, cache, dedup, state, views
+from ..operators.lineage import cut, shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,12 +109,9 @@ SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, round(count(*) / least(
 def near_dup_pairs(t):
     """Pairs of different texts of a language by containment: equal texts are one record, so that copies make no pairs."""
     d = t("documents").groupBy(F.sha1(text.normalize(F.col("text"))).alias("k"), "lang").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    s = _shingled(d, "doc_id", "lang")
-    a, b = s.alias("a"), s.alias("b")
-    c = F.col("shared") / F.least("n", "m")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    pairs = pairs.groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("shared"))
-    return pairs.where(c >= 0.78).select("a", "b", "shared", F.round(c, 4).alias("containment"))
+    h = F.transform(text.shingles(text.tokens(text.normalize(F.col("text")))), lambda x: F.xxhash64(x))
+    s = cut(d.select("doc_id", "lang", h.alias("hs")).where("size(hs) > 0"))
+    return dedup.contained_pairs(s, "doc_id", "hs", 0.78, ["lang"]).select("a", "b", "shared", F.round("containment", 4).alias("containment"))
 
 
 _SIMHASH = """WITH w AS (SELECT doc_id, string_split(""" + _TEXT + """, ' ') AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 15))::BIGINT AS h FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM w WHERE len(w) >= 25)),
@@ -130,20 +128,17 @@ def simhash_md5(t):
     return _simhashes(t)
 
 
-@_query(_SIMHASH + ", e AS (SELECT DISTINCT simhash FROM s), p AS (SELECT a.simhash AS a, b.simhash AS b FROM e a JOIN e b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3) SELECT a, b, bit_count(xor(a, b))::INT AS distance FROM p")
-def simhash_neighbors(t):
-    """Pairs of different simhashes within 3 bits: of four equal parts, at least one agrees."""
-    e = _simhashes(t).where("simhash is not null").select("simhash").distinct()
-    parts = e.select("simhash", F.posexplode(F.array(*(F.shiftrightunsigned("simhash", 15 * i).bitwiseAND((1 << 15) - 1) for i in range(4)))).alias("i", "part"))
-    a, b = parts.alias("a"), parts.alias("b")
-    near = text.hamming(F.col("a.simhash"), F.col("b.simhash"))
-    return a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.simhash") < F.col("b.simhash"))).where(near <= 3).select(F.col("a.simhash").alias("a"), F.col("b.simhash").alias("b"), near.alias("distance")).distinct()
+@_query(_SIMHASH + "SELECT doc_id, coalesce(bit_count(xor(simhash, lag(simhash) OVER (PARTITION BY lang ORDER BY doc_id))), 0)::INT AS distance FROM documents LEFT JOIN s USING (doc_id)")
+def simhash_distance(t):
+    """Bits in which a document's simhash differs from that of the one before it in its language."""
+    d = cut(t("documents").select("doc_id", "lang").join(_simhashes(t), "doc_id"))
+    return d.select("doc_id", text.hamming(F.col("simhash"), F.lag("simhash").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("distance"))
 
 
 def _listings(t) -> DataFrame:
     """Documents as listing records: the first line is the title."""
     d = t("documents")
-    return d.select(F.col("doc_id").alias("ord"), "source", F.lit("").alias("id"), text.normalize(_title()).alias("title"), F.col("lang").alias("company"), F.lit("").alias("location"), F.lit("").alias("url"), text.normalize(F.col("text")).alias("detail"), F.filter(text.reference_tokens(F.col("text")), lambda x: F.length(x) > 24).alias("refs"))
+    return d.select(F.col("doc_id").alias("ord"), "source", F.lit("").alias("id"), text.normalize(_title()).alias("title"), F.col("lang").alias("company"), F.lit("").alias("location"), F.lit("").alias("url"), text.normalize(F.col("text")).alias("detail"), text.reference_tokens(_title()).alias("refs"))
 
 
 @_query()
@@ -272,26 +267,27 @@ def availability_override(t):
     return t("orders").select("o_orderkey", own.alias("own"), dates.override_unknown(own, F.when(F.col("o_totalprice") > 100000, "OPEN_UNTIL_FILLED")).alias("status"))
 
 
-_PREV_CURR = """WITH p AS (SELECT o_orderkey AS k, o_orderstatus AS s, floor(o_totalprice / 1000) AS v FROM orders WHERE o_orderkey % 3 <> 0), c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'O' ELSE o_orderstatus END AS s, floor(o_totalprice / 1000) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 5 <> 0) """
+_PREV_CURR = """WITH p AS (SELECT o_orderkey AS k, o_orderstatus AS s, floor(o_totalprice / 1000) AS v FROM orders), c AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'O' ELSE o_orderstatus END AS s, floor(o_totalprice / 1000) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS v FROM orders) """
 
 
 @_query(_PREV_CURR + """SELECT k, CASE WHEN p.k IS NULL THEN 'NEW' WHEN p.s = 'F' AND c.s = 'O' THEN 'REOPENED' WHEN p.s <> c.s OR p.v <> c.v THEN 'MATERIALLY_CHANGED' ELSE 'SEEN' END AS status, CASE WHEN p.k IS NULL THEN '' ELSE concat_ws(',', CASE WHEN p.s <> c.s THEN 'application_status' END, CASE WHEN p.v <> c.v THEN 'price' END) END AS reasons FROM c LEFT JOIN p USING (k)""")
 def state_transition(t):
-    """Two snapshots of orders that differ by rule, classified."""
+    """All orders, and all of them a day later, where some have changed and some go by a new key."""
     o = t("orders")
     named = lambda s: F.when(s == "F", "CLOSED").when(s == "O", "OPEN").otherwise("UNKNOWN")
     price, k = F.floor(F.col("o_totalprice") / 1000), F.col("o_orderkey")
-    was = o.where(k % 3 != 0).select(k.alias("k"), F.struct(named(F.col("o_orderstatus")).alias("application_status"), price.alias("price")).alias("old"))
-    now = o.where(k % 5 != 0).select(k.alias("k"), F.struct(named(F.when(k % 7 == 0, "O").otherwise(F.col("o_orderstatus"))).alias("application_status"), (price + F.when(k % 11 == 0, 1).otherwise(0)).alias("price")).alias("new"))
+    was = o.select(k.alias("k"), F.struct(named(F.col("o_orderstatus")).alias("application_status"), price.alias("price")).alias("old"))
+    now = o.select(F.when(k % 5 == 0, -k).otherwise(k).alias("k"), F.struct(named(F.when(k % 7 == 0, "O").otherwise(F.col("o_orderstatus"))).alias("application_status"), (price + F.when(k % 11 == 0, 1).otherwise(0)).alias("price")).alias("new"))
     j = now.join(was, "k", "left")
     known = F.col("old").isNotNull()
     reasons = F.when(known, state.change_reasons("old", "new", ["application_status", "price"])).otherwise(F.array().cast("array<string>"))
     return j.select("k", state.transition(known, F.col("old.application_status"), F.col("new.application_status"), reasons).alias("status"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@_query("SELECT props AS alias, min(user_id) AS state_id FROM events GROUP BY props HAVING count(DISTINCT user_id) = 1")
+@_query("SELECT ts::DATE::VARCHAR || '|' || event_type || '|' || props AS alias, min(user_id) AS state_id FROM events GROUP BY 1 HAVING count(DISTINCT user_id) = 1")
 def state_ambiguous_alias(t):
-    s = t("events").groupBy(F.col("user_id").alias("state_id")).agg(F.collect_set("props").alias("aliases"))
+    """Aliases of day, kind and properties that name one user only."""
+    s = t("events").groupBy(F.col("user_id").alias("state_id")).agg(F.collect_set(F.concat_ws("|", F.to_date("ts").cast("string"), "event_type", "props")).alias("aliases"))
     return state.alias_index(s).select("alias", "state_id")
 
 
@@ -301,12 +297,37 @@ def state_fold_days(t):
     return x.select("user_id", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"), "times_seen")
 
 
+_ORDER = "struct<title:string,company:string,location:string,application_deadline:string,application_status:string,resolved:boolean>"
+
+
+@_query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 <> 0 AS known, o_orderkey % 4 <> 0 AS r1, o_orderkey % 7 <> 0 AS r2, o_orderpriority AS l1, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderpriority END AS l2,
+  CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS s1, CASE WHEN o_orderkey % 6 = 0 THEN 'OPEN' WHEN o_orderstatus = 'F' THEN 'CLOSED' ELSE 'OPEN' END AS s2 FROM orders),
+d AS (SELECT *, known AND r1 AND NOT r2 AS degraded, known AND NOT (r1 AND NOT r2) AND l1 <> l2 AS moved, known AND NOT (r1 AND NOT r2) AND s1 <> s2 AS turned FROM o)
+SELECT k, CASE WHEN NOT known THEN 'NEW' WHEN s1 = 'CLOSED' AND s2 = 'OPEN' AND NOT degraded THEN 'REOPENED' WHEN moved OR turned THEN 'MATERIALLY_CHANGED' ELSE 'SEEN' END AS seen_status,
+  concat_ws(',', CASE WHEN moved THEN 'location' END, CASE WHEN turned THEN 'application_status' END) AS reasons, CASE WHEN known AND NOT r1 AND r2 THEN 'DETAIL_RESOLVED' WHEN degraded THEN 'DETAIL_UNRESOLVED' ELSE '' END AS event,
+  CASE WHEN degraded THEN l1 || s1 ELSE l2 || s2 END AS kept, CASE WHEN known THEN 2 ELSE 1 END AS times_seen FROM d""")
+def state_advance(t):
+    """All orders on two days, taken into a seen history: new keys, changes, details found and lost."""
+    k, spark = F.col("o_orderkey"), t("orders").sparkSession
+    status = F.when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("OPEN")
+
+    def day(key, location, status, resolved):
+        snapshot = F.struct(F.concat(F.lit("Order "), k.cast("string")).alias("title"), F.col("o_custkey").cast("string").alias("company"), location.alias("location"), F.to_date("o_orderdate").cast("string").alias("application_deadline"), status.alias("application_status"), resolved.alias("resolved"))
+        alias = F.struct(F.lit(0).alias("rank"), F.concat(F.lit("id|orders|"), key.cast("string")).alias("alias"))
+        return t("orders").select(k.alias("ord"), F.array(alias).alias("aliases"), snapshot.cast(_ORDER).alias("snapshot"))
+
+    empty = spark.createDataFrame([], f"state_id string, aliases array<string>, first_seen string, last_seen string, times_seen int, last_snapshot {_ORDER}")
+    _, first = state.advance(empty, day(k, F.col("o_orderpriority"), status, k % 4 != 0), F.lit("1"))
+    later = day(F.when(k % 5 == 0, -k - 1).otherwise(k), F.when(k % 11 == 0, "X").otherwise(F.col("o_orderpriority")), F.when(k % 6 == 0, "OPEN").otherwise(status), k % 7 != 0)
+    seen, second = state.advance(cut(first), later, F.lit("2"))
+    x = seen.join(second.select("state_id", "times_seen", "last_snapshot"), "state_id")
+    return x.select(F.col("ord").alias("k"), "seen_status", F.array_join("change_reasons", ",").alias("reasons"), F.array_join("state_events", ",").alias("event"), F.concat("last_snapshot.location", "last_snapshot.application_status").alias("kept"), "times_seen")
+
+
 _LAGGED = "WITH e AS (SELECT event_id, user_id, value, lag(value) OVER w AS old FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
 
 
 def _lagged(t) -> DataFrame:
-    from pyspark.sql import Window
-
     return t("events").select("event_id", "user_id", "value", F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("old"))
 
 
@@ -371,12 +392,12 @@ _SEEN = "CASE o_orderkey % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'SEEN' WHEN 2 THEN 'M
 _ACT = "((r IN ('STRONG_APPLY','APPLY','REVIEW') OR r IN ('LOW_PRIORITY','NEEDS_DETAIL_REVIEW')) AND a <> 'CLOSED')"
 
 
-@_query(f"WITH x AS (SELECT o_orderkey, {_REC} AS r, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS a, {_SEEN} AS s, o_orderkey % 9 = 0 AS e FROM orders) " + " UNION ALL ".join(f"SELECT '{v}' AS view, o_orderkey FROM x WHERE {p}" for v, p in {
+@_query(f"WITH x AS (SELECT o_orderkey, {_REC} AS r, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS a, {_SEEN} AS s, o_orderkey % 9 = 0 AS e, o_orderkey % 18 = 0 AS d FROM orders) " + " UNION ALL ".join(f"SELECT '{v}' AS view, o_orderkey FROM x WHERE {p}" for v, p in {
     "all_evaluated": "r <> 'NEEDS_DETAIL_REVIEW'", "needs_detail_review": "r = 'NEEDS_DETAIL_REVIEW'", "primary": "r IN ('STRONG_APPLY','APPLY','REVIEW')", "low": "r = 'LOW_PRIORITY'", "skipped": "r = 'SKIP'", "closed": "a = 'CLOSED'", "actionable_primary": "r IN ('STRONG_APPLY','APPLY','REVIEW') AND a <> 'CLOSED'", "actionable_low": "r = 'LOW_PRIORITY' AND a <> 'CLOSED'", "actionable": _ACT,
-    "daily_actionable": _ACT + " AND (s IN ('NEW','MATERIALLY_CHANGED','REOPENED') OR e)", "new_actionable": _ACT + " AND s = 'NEW'", "changed_or_reopened": "s IN ('MATERIALLY_CHANGED','REOPENED')", "seen_unchanged": "s = 'SEEN' AND NOT e", "state_quality_events": "e", "all_canonical": "true"}.items()))
+    "daily_actionable": _ACT + " AND (s IN ('NEW','MATERIALLY_CHANGED','REOPENED') OR d)", "new_actionable": _ACT + " AND s = 'NEW'", "changed_or_reopened": "s IN ('MATERIALLY_CHANGED','REOPENED')", "seen_unchanged": "s = 'SEEN' AND NOT e", "state_quality_events": "e", "all_canonical": "true"}.items()))
 def view_routing(t):
-    o = t("orders").select("o_orderkey", F.expr(_REC).alias("r"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END").alias("a"), F.expr(_SEEN).alias("s"), (F.col("o_orderkey") % 9 == 0).alias("e"))
-    return views.route(o, views.standard_views(F.col("r"), F.col("a"), F.col("s"), F.col("e")), ["o_orderkey"])
+    o = t("orders").select("o_orderkey", F.expr(_REC).alias("r"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END").alias("a"), F.expr(_SEEN).alias("s"), (F.col("o_orderkey") % 9 == 0).alias("e"), (F.col("o_orderkey") % 18 == 0).alias("d"))
+    return views.route(o, views.standard_views(F.col("r"), F.col("a"), F.col("s"), F.col("e"), F.col("d")), ["o_orderkey"])
 
 
 _LAST = "2024-01-30"
@@ -564,8 +585,6 @@ def hard_error_promotion(t):
 @_query()
 def title_continuity(t):
     """Consecutive parts of a brand whose names clearly differ; the ratio has no SQL form."""
-    from pyspark.sql import Window
-
     was = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     return t("part").select("p_partkey", "p_name", was.alias("was")).select("p_partkey", text.titles_differ(F.coalesce("was", F.lit("")), F.col("p_name")).alias("differs"))
 
@@ -575,35 +594,34 @@ def manifest_sha256(t):
     return audit.manifest(t("documents"), "doc_id", "text")
 
 
-@_query("WITH e AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0) SELECT doc_id, CASE WHEN f.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'extra' WHEN e.h = f.h THEN 'ok' ELSE 'changed' END AS verdict FROM e FULL JOIN f USING (doc_id)")
+@_query("WITH e AS (SELECT doc_id, sha256(text) AS h FROM documents), f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END) AS h FROM documents) SELECT doc_id, CASE WHEN f.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'extra' WHEN e.h = f.h THEN 'ok' ELSE 'changed' END AS verdict FROM e FULL JOIN f USING (doc_id)")
 def manifest_verify(t):
-    d = t("documents")
-    e = audit.manifest(d.where("doc_id % 3 <> 0"), "doc_id", "text")
-    f = audit.manifest(d.where("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text"))), "doc_id", "text")
-    return audit.verify(e, f, "doc_id")
+    """All documents against all of them, where some have another text and some another key."""
+    d, k = t("documents"), F.col("doc_id")
+    other = d.select(F.when(k % 4 == 0, -k - 1).otherwise(k).alias("doc_id"), F.when(k % 5 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return audit.verify(audit.manifest(d, "doc_id", "text"), audit.manifest(other, "doc_id", "text"), "doc_id")
 
 
 @_query("WITH d AS (SELECT sha1(text) AS k, min(doc_id) AS doc_id, any_value(" + _TEXT + ") AS n, max(coalesce(quality, 0)) AS q FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1), s AS (SELECT doc_id, least(q * 60 + 4 * (" + " + ".join(f"CASE WHEN {_any('n', [p])} THEN 1 ELSE 0 END" for p in _SIGNALS) + "), 100) AS score FROM d), b AS (SELECT *, CASE WHEN score >= 90 THEN 'STRONG_APPLY' WHEN score >= 80 THEN 'APPLY' WHEN score >= 65 THEN 'REVIEW' WHEN score >= 50 THEN 'LOW_PRIORITY' ELSE 'SKIP' END AS recommendation FROM s) SELECT doc_id, score, recommendation FROM b WHERE recommendation <> 'SKIP'")
 def actionable_ranked(t):
     """The flagship: distinct documents, matched, scored, bucketed, and the actionable ones in rank order."""
-    d = t("documents").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
-    d = d.groupBy(F.sha1("text").alias("k")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max(F.coalesce("quality", F.lit(0))).alias("q"))
+    # The text is matched and digested before the shuffles, so that neither it nor its normal form travels.
     n = text.normalize(F.col("text"))
-    hits = sum((F.when(F.col("n").rlike(p), 1).otherwise(0) for p in _SIGNALS), F.lit(0))
-    d = d.select("doc_id", "q", n.alias("n")).select("doc_id", F.least(F.col("q") * 60 + 4 * hits, F.lit(100)).alias("score"))
+    hits = sum((F.when(n.rlike(p), 1).otherwise(0) for p in _SIGNALS), F.lit(0))
+    d = t("documents").select("doc_id", F.sha1("text").alias("k"), hits.alias("hits")).join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    d = d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("hits").alias("hits"), F.max(F.coalesce("quality", F.lit(0))).alias("q"))
+    d = d.select("doc_id", F.least(F.col("q") * 60 + 4 * F.col("hits"), F.lit(100)).alias("score"))
     d = d.withColumn("recommendation", scoring.bucket(F.col("score"))).where(views.actionable(F.col("recommendation"), F.lit("OPEN")))
     return d.orderBy(scoring.rank(F.col("recommendation")), F.desc("score"), "doc_id")
 
 
 def stream_seen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, folded into a versioned seen history batch by batch."""
-    import tempfile
     import uuid
 
     from ..streaming.seen import SeenHistory
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="talus-")
-    folder = f"{base.rstrip('/')}/seen-{uuid.uuid4().hex}"
+    folder = f"{shared_base(spark).rstrip('/')}/seen-{uuid.uuid4().hex}"
     events = _table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     events.repartition(4).write.option("maxRecordsPerFile", 5000).parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")

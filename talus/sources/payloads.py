@@ -61,8 +61,11 @@ def write_views(rows: DataFrame, views: dict[str, Column], folder: str) -> None:
 
 
 def publish(rows: DataFrame, folder: str, day: str, run_id: str, expected: int) -> None:
-    """Write a run below its day, after its rows were counted: a run of another number of rows, or of none, is refused."""
+    """Write a run below its day, after its rows were counted: a run of another number of rows, or of none, is refused.
+
+    A run that is published again replaces itself, so a retry leaves no row twice.
+    """
     n = rows.count()
     if n != expected or not n:
         raise ValueError(f"{n} rows where {expected} were expected")
-    rows.withColumn("day", F.lit(day)).withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("day", "run_id").parquet(folder)
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/day={day}/run_id={run_id}")

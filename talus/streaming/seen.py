@@ -25,14 +25,13 @@ class SeenHistory:
             both = self.version(n - 1).unionByName(new)
             new = both.groupBy(self.key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("times_seen").alias("times_seen"))
         new.write.mode("overwrite").parquet(f"{self.folder}/v={n}")
-        self.last = n
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
-        """Take in all that the stream has now; the state after it."""
-        self.last = -1
+        """Take in all that the stream has now; the state after it. Without anything new it is the state of the last run."""
         query = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-        return self.version(self.last)
+        latest = self.spark.read.option("basePath", self.folder).option("mergeSchema", False).parquet(f"{self.folder}/v=*").select(F.max("v")).first()[0]
+        return self.version(latest)
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 day", late: str = "2 days") -> DataFrame:

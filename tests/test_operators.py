@@ -137,7 +137,7 @@ def test_reopened_outranks_changed(spark):
 
 def test_views_and_topn(spark):
     rows = spark.createDataFrame([(1, "APPLY", "OPEN", "NEW"), (2, "SKIP", "CLOSED", "SEEN"), (3, None, None, None)], "id int, r string, a string, s string")
-    got = {(x["view"], x["id"]) for x in views.route(rows, views.standard_views(F.col("r"), F.col("a"), F.col("s"), F.lit(None).cast("boolean")), ["id"]).collect()}
+    got = {(x["view"], x["id"]) for x in views.route(rows, views.standard_views(F.col("r"), F.col("a"), F.col("s"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")), ["id"]).collect()}
     assert ("new_actionable", 1) in got and ("closed", 2) in got and ("all_canonical", 3) in got and ("actionable", 3) not in got
     assert views.top_n(rows, [F.col("id")], 2, []).first()["truncated"] == 1
 
