@@ -35,7 +35,7 @@ def html_text(html: Column) -> Column:
 
 def html_links(html: Column) -> Column:
     """Targets of links in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(blank(html), F.lit('(?is)<a\\s[^>]*?href="([^"]*)"'), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(blank(html), F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"), F.lit(1)))
 
 
 def table_rows(html: Column) -> Column:
@@ -97,6 +97,74 @@ def content_integrity(title_words: Column, text: Column, shortest: int = 400, sh
     return F.struct(coverage.alias("coverage"), ((F.length(text) >= shortest) & (coverage >= share)).alias("ok"))
 
 
+def detail_matches(title_words: Column, text: Column, index_markers: Sequence[str]) -> Column:
+    """Whether a fetched text may be the page of a title, whose specific words are given.
+
+    A general index of offers needs half of the words, a page of fewer than 700 characters two fifths of two words or more;
+    without any such word an index needs 400 characters. Nothing is no page.
+    """
+    t = F.lower(clean_text(text))
+    n = F.size(title_words)
+    share = F.when(n > 0, F.size(F.filter(title_words, lambda w: F.contains(t, w))) / n).otherwise(1.0)
+    index = has_marker(t, index_markers) if index_markers else F.lit(False)
+    short = (F.length(t) < 700) & (n >= 2) & (share < 0.4)
+    return (t != "") & F.when(n > 0, ~(index & (share < 0.5)) & ~short).otherwise((F.length(t) >= 400) | ~index)
+
+
+def detail_status(kind: Column, failed: Column, text: Column, matches: Column, attachment: Column | None = None, shell: Column | None = None) -> Column:
+    """The status of a resolved detail, from what was fetched: its body_kind(), a failure, its text, whether it matches its
+    title, the status of an attachment that stood in for it, and whether the page is a mere shell around one."""
+    attached = F.lit("") if attachment is None else blank(attachment)
+    shell = F.lit(False) if shell is None else F.coalesce(shell, F.lit(False))
+    return (
+        F.when(blank(failed) != "", F.concat(F.lit("FETCH_FAILED: "), failed)).when(attached == "OK_PDF", "OK_PDF_ATTACHMENT").when(attached.startswith("OK"), "OK_ATTACHMENT")
+        .when(clean_text(text) == "", "EMPTY_DETAIL").when(~F.coalesce(matches, F.lit(False)), "DETAIL_MISMATCH").when(shell, "ATTACHMENT_UNRESOLVED").when(kind == "PDF", "OK_PDF").otherwise("OK_HTML")
+    )
+
+
+def main_html(html: Column) -> Column:
+    """The part of a page that is its content: the first main, else article, else element of that role, else body, else all."""
+    h = blank(html)
+    of = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
+    return F.coalesce(of(r"(?is)<main\b[^>]*>(.*?)</main>"), of(r"(?is)<article\b[^>]*>(.*?)</article>"), of(r"(?is)<[a-z]+\b[^>]*\brole=[\"']main[\"'][^>]*>(.*)"), of(r"(?is)<body\b[^>]*>(.*?)</body>"), h)
+
+
+def main_text(html: Column) -> Column:
+    """html_text() of main_html()."""
+    return html_text(main_html(html))
+
+
+def title_block(pages: DataFrame, key: str, html: str, title: str, least: int = 500, most: int = 30_000, levels: int = 5) -> DataFrame:
+    """(key, block): the text of the smallest container around the title, within levels, of least to most characters; the
+    whole content where the title is not found in such a one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, page, name in zip(frame[key], frame["_main"], frame[title]):
+                tree = _Tree()
+                tree.feed(page or "")
+                nodes, wanted, block = tree.nodes, " ".join((name or "").lower().split()), None
+                texts = [" ".join(" ".join(n[2]).split()) for n in nodes] if wanted else []
+                for i, n in enumerate(nodes if wanted else ()):
+                    if block is None and n[0] in ("h1", "h2", "h3", "div", "section") and wanted in texts[i].lower():
+                        up = i
+                        for _ in range(levels):
+                            if up < 0:
+                                break
+                            if least <= len(texts[up]) <= most:
+                                block = texts[up]
+                                break
+                            up = nodes[up][1]
+                out.append((k, " ".join(" ".join(nodes[0][2]).split()) if block is None else block))
+            yield pd.DataFrame(out, columns=[key, "block"])
+
+    cleaned = main_html(F.col(html))
+    for tag in _DROP.split("|"):
+        cleaned = F.regexp_replace(cleaned, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
+    return pages.select(key, cleaned.alias("_main"), title).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, block string")
+
+
 def header_split(text: Column, names: Sequence[str]) -> Column:
     """struct<place, rest>: the longest of the names that a header holds, and what comes after it."""
     place, rest = F.lit(""), F.lit("")

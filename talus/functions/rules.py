@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 Rules = Mapping[str, Sequence[str]]
 
 
@@ -68,3 +70,58 @@ def cascade(first: Mapping[str, Column], otherwise: str) -> Column:
     for name, condition in first.items():
         out = (out.when if out is not None else F.when)(F.coalesce(condition, F.lit(False)), name)
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
+
+
+def hits(text: Column, patterns: Sequence[str]) -> Column:
+    """How many of the patterns match."""
+    return sum((F.when(text.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0))
+
+
+def demanded(text: Column, demands: Sequence[str], signals: Sequence[str], least: int) -> Column:
+    """A demand is stated, and at least so many signals of what it is about are there: neither alone is a gap."""
+    return any_of(text, demands) & (hits(text, signals) >= least)
+
+
+def without_negated(text: Column, negations: Sequence[str], instead: str = " optional ") -> Column:
+    """The text with phrases that deny a demand ("not required") replaced, so that their words are no demand."""
+    return F.regexp_replace(text, "|".join(f"(?:{n})" for n in negations), instead)
+
+
+def section(text: Column, headings: Sequence[str], ends: Sequence[str], most: int = 1400) -> Column:
+    """What follows the first of the headings, up to one of the ends, the text's end, or most characters; else empty."""
+    start, stop = ("|".join(f"(?:{x})" for x in xs) for xs in (headings, ends))
+    return F.regexp_extract(text, f"(?s)(?:{start})(.{{0,{most}}}?)(?=(?:{stop})|$)", 1)
+
+
+def qualification_gaps(text: Column, rules: Rules, negations: Sequence[str], headings: Sequence[str], ends: Sequence[str], markers: Sequence[str], chars: int = 160) -> Column:
+    """Labels whose patterns stand in the section of what is demanded, or near a marker of demand, negated demands aside."""
+    t = without_negated(text, negations)
+    part, demand = section(t, headings, ends), "|".join(f"(?:{m})" for m in markers)
+    found = [F.when(any_of(part, p) | near(t, "|".join(f"(?:{x})" for x in p), demand, chars), F.lit(label)) for label, p in rules.items()]
+    return F.array_compact(F.array(*found))
+
+
+def mismatch(title: Column, text: Column, generic: str, exempt: str, duties: Sequence[str], exempting: int, signals: Rules, least: int) -> Column:
+    """struct<mismatch, reason>: a generic title, not exempted by its own words or by so many duties of the text, whose text
+    shows at least so many signals of another kind of work. reason names them, comma-joined."""
+    found = matched_labels(text, signals)
+    wrong = title.rlike(generic) & ~title.rlike(exempt) & (hits(text, duties) < exempting) & (F.size(found) >= least)
+    return F.struct(wrong.alias("mismatch"), F.when(wrong, F.array_join(found, ",")).otherwise("").alias("reason"))
+
+
+def staged(current: Column, steps: Sequence[tuple[Column, Sequence[str] | None, str]]) -> Column:
+    """Promotions and demotions in order: (condition, from which values, or None for any, to which). Each step sees what the
+    one before it made; the value is bound once a step, so long chains stay small."""
+
+    def step(held: Column, of: Sequence[str] | None, to: str):
+        return lambda c: F.when(held & (F.lit(True) if of is None else c.isin(*of)), to).otherwise(c)
+
+    for condition, of, to in steps:
+        current = once(current, step(F.coalesce(condition, F.lit(False)), of, to))
+    return current
+
+
+def unscored(detail_ok: Column, score: Column, recommendation: Column) -> Column:
+    """struct<score, recommendation>: records without a resolved detail are not scored but wait for a review."""
+    ok = F.coalesce(detail_ok, F.lit(False))
+    return F.struct(F.when(ok, score).alias("score"), F.when(ok, recommendation).otherwise("NEEDS_DETAIL_REVIEW").alias("recommendation"))

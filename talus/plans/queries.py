@@ -631,3 +631,5 @@ def stream_seen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_seen_history"] = stream_seen_history
 ORACLE_SQL["stream_seen_history"] = "SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS times_seen FROM events GROUP BY user_id"
+
+from . import collection  # noqa: E402, F401  (registers its queries here)
