@@ -102,6 +102,13 @@ def availability(text: Column, as_of: Column, board_date: Column | None = None,
     return F.get(F.transform(F.array(found), of), F.lit(0))
 
 
+def four_digit_year(c: Column) -> Column:
+    """A date like 1/2/26 with two digits a part and a year of four; anything else stays as it is, without blanks around."""
+    t, p = F.trim(F.regexp_replace(blank(c), r"\s+", " ")), r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2}|[0-9]{4})$"
+    d, m, y = (F.regexp_extract(t, p, k) for k in (1, 2, 3))
+    return F.when(t.rlike(p), F.concat_ws("/", F.lpad(d, 2, "0"), F.lpad(m, 2, "0"), F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y))).otherwise(t)
+
+
 def override_unknown(status: Column, source_status: Column) -> Column:
     """The source's own word counts only where nothing else is known."""
     return F.when(status == "UNKNOWN", F.coalesce(source_status, status)).otherwise(status)

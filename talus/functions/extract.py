@@ -122,6 +122,26 @@ def detail_status(kind: Column, failed: Column, text: Column, matches: Column, a
     )
 
 
+#: Statuses of a detail that can be relied on.
+RESOLVED = ("OK_HTML", "OK_PDF", "OK_PDF_ATTACHMENT", "OK_ATTACHMENT", "OK_API", "CACHE", "OK")
+
+
+def detail_ok(detail: Column, status: Column) -> Column:
+    """There is a detail, and its status is one of those that can be relied on."""
+    return (clean_text(detail) != "") & F.coalesce(status.isin(*RESOLVED), F.lit(False))
+
+
+def without_detail_of(detail: Column, source: Column, prefix: str) -> Column:
+    """The detail, but empty for sources of this prefix, whose own page is the authority."""
+    return F.when(F.lower(blank(source)).startswith(prefix.lower()), "").otherwise(blank(detail))
+
+
+def first_named(html: Column, classes: Sequence[str], most: int, otherwise: str = "") -> Column:
+    """Text of the first element one of whose classes holds a name, asked name by name, if it is not longer than most."""
+    texts = [clean_text(unescape(F.regexp_replace(F.regexp_extract(blank(html), rf"(?is)<([a-z]+)\b[^>]*\bclass=[\"'][^\"']*{c}[^\"']*[\"'][^>]*>(.*?)</\1>", 2), r"(?s)<[^>]*>", " "))) for c in classes]
+    return F.coalesce(*(F.when((x != "") & (F.length(x) < most), x) for x in texts), F.lit(otherwise))
+
+
 def main_html(html: Column) -> Column:
     """The part of a page that is its content: the first main, else article, else element of that role, else body, else all."""
     h = blank(html)

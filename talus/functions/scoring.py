@@ -32,6 +32,13 @@ def score(components: Sequence[Column], caps: Sequence[tuple[Column, int]] = (),
     return total if blocked is None else F.when(blocked, 0).otherwise(total)
 
 
+def location_points(place: Column, home: Sequence[str], remote: str, elsewhere: str, points: tuple[int, int, int, int, int] = (5, 4, 1, 3, 0)) -> Column:
+    """Points of a normalised text of place, modality and description: home is named; remote within reach, without or with a
+    demand to live elsewhere; remote without a place; none of it."""
+    at_home, far = F.exists(F.array(*map(F.lit, home)), lambda h: F.contains(place, h)), place.rlike(elsewhere)
+    return F.when(at_home, points[0]).when(place.rlike(remote) & ~far, points[1]).when(place.rlike(remote), points[2]).when(place.rlike(r"remote"), points[3]).otherwise(points[4])
+
+
 def bucket(score_: Column, buckets: Sequence[tuple[str, int]] = BUCKETS, otherwise: str = "SKIP") -> Column:
     out = None
     for name, least in buckets:

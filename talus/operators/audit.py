@@ -118,8 +118,12 @@ def deferred(rows: DataFrame, key: Sequence[str], order: str, limited: Column) -
     return rows.withColumn("deferred", F.coalesce(F.max(limited.cast("int")).over(w), F.lit(0)) == 1)
 
 
-def day_spine(days: DataFrame, day: str, first: str, last: str) -> DataFrame:
-    """Each day of the range with its rows n; missing if there are none."""
+def day_spine(days: DataFrame, day: str, first: str, last: str, most: int = 31) -> DataFrame:
+    """Each day of the range, most of them at the utmost, with its rows n; missing if there are none."""
+    import datetime
+
+    if (datetime.date.fromisoformat(last) - datetime.date.fromisoformat(first)).days >= most:
+        raise ValueError(f"more than {most} days")
     spine = days.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
     counts = days.groupBy(F.col(day).alias("day")).agg(F.count("*").alias("n"))
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("missing"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TITLES_ALIKE, title_core, titles_differ
+from ..functions.text import TITLES_ALIKE, normalize, title_core, titles_differ, tokens
 from .lineage import cut
 
 OPEN = ("OPEN", "OPEN_UNTIL_FILLED")
@@ -27,6 +27,19 @@ def aliases(source: Column, id_: Column, url: Column, listing: Column, title: Co
     return F.array_distinct(F.array_compact(found))
 
 
+def snapshot(fields: dict[str, Column], detail: Column, detail_ok: Column, simhash: Column, score: Column | None = None) -> Column:
+    """What a state row keeps of a record: normalised names, deadline and status (UNKNOWN if blank, in capitals), and of a
+    detail that can be relied on its simhash and number of words."""
+    text_ = lambda n: normalize(fields[n]) if n in fields else F.lit("")
+    plain = lambda n: F.trim(F.coalesce(fields[n].cast("string"), F.lit(""))) if n in fields else F.lit("")
+    ok = F.coalesce(detail_ok, F.lit(False))
+    return F.struct(
+        *(text_(n).alias(n) for n in ("title", "company", "location", "modality")), plain("application_deadline").alias("application_deadline"),
+        F.upper(F.coalesce(F.nullif(plain("application_status"), F.lit("")), F.lit("UNKNOWN"))).alias("application_status"), plain("recommendation").alias("recommendation"),
+        F.lit(None).cast("int").alias("score") if score is None else score.try_cast("int").alias("score"), F.when(ok, simhash).alias("simhash"), F.when(ok, F.size(tokens(normalize(detail)))).otherwise(0).alias("detail_words"), ok.alias("resolved"),
+    )
+
+
 def state_id(alias: Column) -> Column:
     return F.concat(F.lit("job_"), F.substring(F.sha1(alias), 1, 20))
 

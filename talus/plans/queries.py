@@ -43,6 +43,7 @@ def text_normalize(t):
     return t("documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"), text.clean_text(F.col("text")).alias("cleaned"))
 
 
+_KEYS = ("id", "page", "job", "ref_id")
 _URL = """
 WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') AS host,
   regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS path, list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^(id|page|job|ref_id)=.'))) AS q FROM pages)
@@ -51,12 +52,12 @@ WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) AS schem
 
 @_query(_URL + "SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM u")
 def url_canonical(t):
-    return t("pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
+    return t("pages").select("page_id", text.canonical_url(F.col("url"), _KEYS).alias("canonical"))
 
 
 @_query(_URL + "SELECT page_id, array_to_string(q, '&') AS params, path = '' OR regexp_matches(path, '(/jobs|/careers|/offers|/search)$') AS listing FROM u")
 def url_identity_params(t):
-    return t("pages").select("page_id", F.array_join(text.identity_params(F.col("url"), ("id", "page", "job", "ref_id")), "&").alias("params"), text.generic_listing_url(F.col("url")).alias("listing"))
+    return t("pages").select("page_id", F.array_join(text.identity_params(F.col("url"), _KEYS), "&").alias("params"), text.generic_listing_url(F.col("url"), ("/jobs", "/careers", "/offers", "/search")).alias("listing"))
 
 
 @_query("WITH d AS (SELECT doc_id, sha1(concat_ws('::', lang, text)) AS fp FROM documents) SELECT fp AS fingerprint, min(doc_id) AS doc_id, count(*) - 1 AS removed FROM d GROUP BY fp")

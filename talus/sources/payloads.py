@@ -50,8 +50,9 @@ def fail_soft_union(parts: Sequence[tuple[str, DataFrame | Exception]]) -> tuple
 
 
 def csv_ready(rows: DataFrame) -> DataFrame:
-    """Lists, maps and structs as JSON, so that a CSV can hold them."""
-    return rows.select(*(F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes))
+    """Lists, maps and structs as JSON, the keys of maps sorted, so that a CSV can hold them."""
+    ordered = lambda c, t: F.map_from_entries(F.array_sort(F.map_entries(c))) if t.startswith("map") else F.col(c)
+    return rows.select(*(F.to_json(ordered(c, t)).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes))
 
 
 def write_views(rows: DataFrame, views: dict[str, Column], folder: str) -> None:

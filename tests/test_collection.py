@@ -219,6 +219,54 @@ def test_contained_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_folds_of_one_character_into_several(spark):
+    assert one(spark, text.normalize(F.lit("ﬁnal ½ Œuvre №5 ﬀ é"))) == "final 1 2 uvre no5 ff e"
+    import unicodedata
+
+    for c in ("ﬁ", "½", "㎏", "Ⅷ", "ǆ"):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x)).lower()
+        want = " ".join("".join(x if x.isascii() and x.isalnum() else " " for x in base).split())
+        assert one(spark, text.normalize(F.lit(c))) == want
+
+
+def test_hashes_dates_places_and_details(spark):
+    import hashlib
+
+    words = [f"w{i % 19}" for i in range(40)]
+    votes = [0] * 64
+    for i in range(38):
+        v = int.from_bytes(hashlib.blake2b(" ".join(words[i : i + 3]).encode(), digest_size=8).digest(), "big")
+        votes = [n + (1 if v >> b & 1 else -1) for b, n in enumerate(votes)]
+    want = f"{sum(1 << b for b, n in enumerate(votes) if n >= 0):016x}"
+    df = spark.createDataFrame([(" ".join(words),), ("few words",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.simhash_blake2b("t")).collect()] == [want, "", ""]
+    from talus.functions import dates, scoring
+
+    assert [one(spark, dates.four_digit_year(F.lit(x))) for x in (" 1/2/26", "01/02/2026", "soon")] == ["01/02/2026", "01/02/2026", "soon"]
+    place = lambda t: one(spark, scoring.location_points(F.lit(t), ["spain", "madrid"], r"remote.{0,30}(?:europe|eu)", r"must.{0,50}reside.{0,50}france"))
+    assert [place(t) for t in ("madrid", "remote europe", "remote eu must reside in france", "remote", "paris")] == [5, 4, 1, 3, 0]
+    assert one(spark, extract.detail_ok(F.lit(" x "), F.lit("CACHE"))) is True and one(spark, extract.detail_ok(F.lit("x"), F.lit(None).cast("string"))) is False
+    assert one(spark, extract.without_detail_of(F.lit("d"), F.lit("Board A x"), "board a")) == ""
+    card = "<div><span class='job-location x'>Here <b>&amp; there</b></span><p class=\"company\">Acme</p></div>"
+    assert one(spark, extract.first_named(F.lit(card), ["organization", "company"], 220)) == "Acme" and one(spark, extract.first_named(F.lit(card), ["location"], 120)) == "Here & there"
+    assert one(spark, text.query_relevant(F.lit("project officer"), "Officer of a Project", {})) is True and one(spark, text.query_relevant(F.lit("x"), "q", {"q": ["^x$"]})) is True
+    snap = one(spark, state.snapshot({"title": F.lit("Ñ A"), "application_status": F.lit(" ")}, F.lit("a b c"), F.lit(True), F.lit(7), F.lit("oops")))
+    assert (snap["title"], snap["application_status"], snap["score"], snap["simhash"], snap["detail_words"], snap["resolved"]) == ("n a", "UNKNOWN", None, 7, 3, True)
+    with pytest.raises(ValueError):
+        audit.day_spine(spark.createDataFrame([(date(2026, 1, 1),)], "d date"), "d", "2026-01-01", "2026-02-15")
+
+
+def test_pdf_text(spark):
+    import zlib
+
+    from talus.functions import pdf
+
+    content = b"BT /F1 12 Tf (Call \\(2026\\)) Tj T* [(Dead) 20 (line) -300 (soon)] TJ <E9> Tj ET"
+    file = b"%PDF-1.4\n1 0 obj << /Length 9 /Filter /FlateDecode >>\nstream\n" + zlib.compress(content) + b"\nendstream endobj\n2 0 obj << /Length 9 >>\nstream\nBT (plain) Tj ET\nendstream endobj\n"
+    rows = spark.createDataFrame([(bytearray(file),), (bytearray(b"no pdf"),), (None,), (bytearray(b"%PDF-1.4 cut stream\nBT (x"),)], "b binary")
+    assert [r[0] for r in rows.select(pdf.pdf_text("b")).collect()] == ["Call (2026) Deadline soon\u00e9 plain", "", "", ""]
+
+
 def test_reference_codes_in_titles(spark):
     got = one(spark, text.reference_tokens(F.lit("hrer2026/329-159 and Ref. ab-12 x")))
     assert "HRER2026/329-159" in got and "REF.AB-12" in got

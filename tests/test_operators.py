@@ -16,9 +16,10 @@ def one(spark, column, **values):
 
 
 @pytest.mark.parametrize("raw,expected", [
-    ("HTTP://WWW.Example.com:8080//a//b/?utm=1&Page=2&id=7#top", "http://example.com:8080/a/b?id=7&page=2"),
+    ("HTTP://WWW.Example.com:8080//a//b/?utm=1&Page=2&id=7#top", "http://example.com:8080/a/b?id=7"),
     ("example.com/x/", "https://example.com/x"),
-    ("https://e.org/o#offer/12", "https://e.org/o#offer/12"),
+    ("https://e.org/o/#/ver-oferta/12", "https://e.org/o/ver-oferta/12"),
+    ("https://e.org/o?Offer_ID=A9&x=1", "https://e.org/o?offer_id=a9"),
     ("https://e.org?x=1", "https://e.org"),
     ("", ""),
     (None, ""),
