@@ -399,6 +399,25 @@ def test_op7_texts_that_training_holds_score_better(spark):
     assert all(x["score"] > x["base_score"] for i, x in got.items() if 1000 <= i < 2000)
 
 
+def test_op7_blocks_and_partitions_do_not_matter(spark, tmp_path):
+    """Texts of several blocks, cut by batches and partitions in two ways, score the same; so do texts without training."""
+    r = random.Random(10)
+    lines = [prose(r, 12) for _ in range(400)]
+    rows = [(i, "\n".join(r.choices(lines, k=60)) if i % 50 else [None, "", "  "][i // 50 % 3]) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/five")
+    held = lm_score.held_out(F.col("doc_id"))
+    one = {x["doc_id"]: x["score"] for x in lm_score.score(spark.read.parquet(f"{tmp_path}/one"), held).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        five = {x["doc_id"]: x["score"] for x in lm_score.score(spark.read.parquet(f"{tmp_path}/five"), held).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(one) == 900 and five == pytest.approx(one, rel=1e-6)
+    untrained = lm_score.score(spark.read.parquet(f"{tmp_path}/one").limit(60), F.lit(True)).collect()
+    assert len(untrained) == 60 and all(x["train_tokens"] == 0 and math.isfinite(x["score"]) and math.isfinite(x["base_score"]) for x in untrained)
+
+
 def test_op8_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 2, None, None), (None, 0, "x", "y"), (2, None, "a", "late"), (2, 300, "a", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("own", F.lit("clash")).withColumn("segment", F.lit("clash"))
