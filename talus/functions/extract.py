@@ -210,6 +210,15 @@ def body_kind(body: Column) -> Column:
     return F.when(F.length(head) == 0, "EMPTY").when(text.startswith("%pdf-"), "PDF").when(text.rlike("^(<!doctype html|<html|<head|<body|<\\?xml[^>]*>\\s*<html)") | text.rlike("<(html|body|div|p)\\b"), "HTML").otherwise("OTHER")
 
 
+def absolute(href: Column, base: Column) -> Column:
+    """A link's target as seen from the page at base: with a scheme it stays; without a host it is of base's site, without a
+    leading slash of base's folder, and a mere query is one of base's page."""
+    page, site = F.regexp_extract(base, "^([^?#]*)", 1), F.regexp_extract(base, "^([A-Za-z]+://[^/?#]+)", 1)
+    folder = F.regexp_replace(page, "(?<=[^/:])/[^/]*$", "")
+    near = F.when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?") | href.startswith("#"), F.concat(page, href)).otherwise(F.concat(folder, F.lit("/"), href))
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), href)).otherwise(near)
+
+
 def next_page(html: Column, base: Column) -> Column:
     """The link to the next page, absolute: on the same host, and on the listing's own path if one is; null if none.
 
@@ -221,12 +230,8 @@ def next_page(html: Column, base: Column) -> Column:
     site = F.regexp_extract(base, "^([A-Za-z]+://[^/?#]+)", 1)
     path = lambda u: F.regexp_replace(F.regexp_extract(u, "^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/$", "")
 
-    def absolute(a):
-        href = unescape(F.regexp_extract(a, r"(?is)\bhref=[\"']([^\"']*)", 1))
-        folder = F.regexp_replace(F.regexp_extract(base, "^([^?#]*)", 1), "(?<=[^/:])/[^/]*$", "")
-        return F.when(href.rlike("^[A-Za-z]+://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href)).otherwise(F.concat(folder, F.lit("/"), href))
-
-    urls = F.filter(F.transform(F.filter(anchors, lambda a: a.rlike(word) & ~a.rlike(off)), absolute), lambda u: F.regexp_extract(u, "^([A-Za-z]+://[^/?#]+)", 1) == site)
+    target = lambda a: absolute(unescape(F.regexp_extract(a, r"(?is)\bhref=[\"']([^\"']*)", 1)), base)
+    urls = F.filter(F.transform(F.filter(anchors, lambda a: a.rlike(word) & ~a.rlike(off)), target), lambda u: F.regexp_extract(u, "^([A-Za-z]+://[^/?#]+)", 1) == site)
     return F.coalesce(F.try_element_at(F.filter(urls, lambda u: path(u) == path(base)), F.lit(1)), F.try_element_at(urls, F.lit(1)))
 
 

@@ -45,6 +45,11 @@ def overlap(rows: DataFrame, sources: str, act: Column) -> DataFrame:
     return rows.select(F.explode(pairs).alias("p"), act.alias("act")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.count_if("act").alias("actionable"))
 
 
+def largest_overlaps(overlaps: DataFrame, most: int) -> DataFrame:
+    """The pairs of overlap() that share most records, most of them at the utmost; ties by names."""
+    return overlaps.orderBy(F.desc("n"), "a", "b").limit(most)
+
+
 def totals(rows: DataFrame, sources: str) -> DataFrame:
     """One row: records with one source, several and none."""
     n = F.size(sources)

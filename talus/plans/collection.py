@@ -245,6 +245,13 @@ def source_measures(t):
     return audit.measured(t("documents"), "source", {"english": english, "long": long_, "both": english & long_})
 
 
+@_query("WITH e AS (SELECT DISTINCT sha1(text) AS k, source FROM documents) SELECT a.source AS a, b.source AS b, count(*) AS n, 0 AS actionable FROM e a JOIN e b ON a.k = b.k AND a.source < b.source GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 5")
+def overlap_top(t):
+    """The five pairs of sources that share most texts."""
+    rows = t("documents").groupBy(F.sha1("text").alias("k")).agg(F.collect_set("source").alias("sources"))
+    return audit.largest_overlaps(audit.overlap(rows, "sources", F.lit(False)), 5)
+
+
 _REPORT = "SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS closed, max(o_totalprice) AS dearest FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' GROUP BY o_orderpriority"
 
 

@@ -40,12 +40,13 @@ class Collector:
 
 
 def links(pattern: str, site: str = "") -> Callable[[Column], Column]:
-    """Items (href, title): anchors whose target matches; relative targets are made absolute; markup in titles goes."""
+    """Items (href, title): anchors whose target matches; targets are made absolute where the page is given; markup in
+    titles goes."""
 
     def of(body: Column) -> Column:
         anchors = F.regexp_extract_all(blank(body), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
         item = lambda a: F.struct(extract.unescape(F.regexp_extract(a, r"(?is)\bhref\s*=\s*[\"']([^\"']*)", 1)).alias("href"), clean_text(extract.unescape(F.regexp_replace(a, r"(?s)<[^>]*>", " "))).alias("title"))
-        whole = lambda x: F.struct(F.when(x["href"].startswith("/"), F.concat(F.lit(site), x["href"])).otherwise(x["href"]).alias("href"), x["title"].alias("title"))
+        whole = lambda x: F.struct((extract.absolute(x["href"], F.lit(site)) if site else x["href"]).alias("href"), x["title"].alias("title"))
         return F.transform(F.filter(F.transform(anchors, item), lambda x: x["href"].rlike(pattern)), whole)
 
     return of

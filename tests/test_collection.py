@@ -256,6 +256,13 @@ def test_hashes_dates_places_and_details(spark):
         audit.day_spine(spark.createDataFrame([(date(2026, 1, 1),)], "d date"), "d", "2026-01-01", "2026-02-15")
 
 
+@pytest.mark.parametrize("href,want", [
+    ("/x?y=1", "https://e.org/x?y=1"), ("z", "https://e.org/a/z"), ("?p=2", "https://e.org/a/b?p=2"), ("//o.org/q", "https://o.org/q"), ("http://o.org", "http://o.org"), ("mailto:a@b.c", "mailto:a@b.c"), ("#t", "https://e.org/a/b#t"),
+])
+def test_targets_of_links(spark, href, want):
+    assert one(spark, extract.absolute(F.lit(href), F.lit("https://e.org/a/b?c#d"))) == want
+
+
 def test_pdf_text(spark):
     import zlib
 
