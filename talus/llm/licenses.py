@@ -88,6 +88,34 @@ NOTICES = (
     *((x, f"{verb} under {name}.") for x in _CREATIVE for verb in ("Licensed", "This work is licensed") for name in (x.replace("CC-", "CC ", 1).replace("-4.0", " 4.0"),)),
     *((x, f"SPDX-License-Identifier: {x}") for x in sorted({n for n, _, _ in WHOLE} | {"Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", *_CREATIVE})),
 )
+#: Digests of the canonical form of whole licences as their stewards publish them; texts of this length are
+#: known by their digests alone. "-only" names the text itself, which does not say whether later versions are allowed.
+DIGESTS = (
+    ("Apache-2.0", "ddf43cd7a85299d69287a7733f7cb2411b29224841fa5ab96578b44e87028064"),
+    ("Apache-2.0", "a1bf2c5babe6eb167b63d03df676e64aa96db265aac065b06be8ecc6b17121db"),  # appendix with its copyright line filled in
+    ("Apache-2.0", "37eb2635c89a4b4799c1112082eb0435e60f1e98fc3501d716eccffd756c15c7"),  # without the appendix
+    ("Artistic-1.0-Perl", "ab9e0a4960f3366c6e09c86510fe9dd469d242185a905b440792fcc4a45b46ef"),
+    ("BSD-3-Clause", "c174f115026f799e8a770b4fb7c8f42bc8ca555dc4db723ce746c1be80888878"),  # of the Regents
+    ("CC0-1.0", "3e6e368fd02abd67188d1bf25b196ac79f5782b2079e9579134c5e3f71f9ab74"),
+    ("GFDL-1.2-only", "8aeaf5e8e3488d7c9d65e8416c911f7fe37b3bd88429feabc64ec6283117b8eb"),
+    ("GFDL-1.2-only", "2acb0667facdf10c3ff6172f1a2e993ae122fe820a8b033da3e2c4158a2574dc"),  # without the addendum
+    ("GFDL-1.3-only", "fb286966d28cff8aa94a7303127495846303801d66ef183d841d5971038d2aa0"),
+    ("GFDL-1.3-only", "93e853bc37989d49f1fd00ae391db08a02ca7f78b3e31e3aec176839bcdd7879"),  # without the addendum
+    ("GPL-1.0-only", "e648cec4dd2cabc1cd94f480d35d0f2383d6ce10b78bded4aa673f878ac2f7c2"),
+    ("GPL-2.0-only", "4f31cce3bde237c32577480190c27e9fe0beda6c8d1b0e6eb19aca5ed5beb0c3"),
+    ("GPL-2.0-only", "fe1b3b930063faaab3409d916bb4fcf187369c3a9ec04bb58e3ee7363ffc0cd9"),  # without the appendix
+    ("GPL-3.0-only", "6ff3a9a8b11f055a64cb21003d19dbe88dd6a41f7487672c402dfe38b6fe2582"),
+    ("GPL-3.0-only", "5d527914d4539f34149cd198edb1e5de52322047d37781b3bd66403f12dc40e1"),  # without the appendix
+    ("LGPL-2.0-only", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.0-only", "d449b5d838ee652333de62d88304ddcf67663cda782f1c7257ee9c9dae33dfb4"),  # without the appendix
+    ("LGPL-2.1-only", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-2.1-only", "a7bd7bcc6f59de5c915482fc3cacdd5a1b6b27c24354df724c2ef3672dce9475"),  # without the appendix
+    ("LGPL-3.0-only", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "cd5de03902834de96800990f6dd3416470bf9f581eab90fe12aa8f43b6574a9c"),
+    ("MPL-1.1", "79e2392ab67e13ba80beab4bd9c1306713fe27b82250482a1fe72578afc84ce4"),  # without the exhibit
+    ("MPL-2.0", "7b3b2f4ee49d8b1000843c9a54a29fe8c581252dc661717fe67a37c3913f188e"),
+    ("MPL-2.0", "b72aa116ecfb1add9aa289051bc39c372b5c5749e5f990ddb29c1502c18bb2a2"),  # without the exhibits
+)
 #: All known texts; more can be passed to known().
 TEXTS = (*((n, f"{title}\n{t}" if title else t) for n, t, titles in WHOLE for title in ("", *titles)), *NOTICES)
 #: A line that begins like a statement of copyright and has a year or a sign; a licence's own sentences have neither.
@@ -116,10 +144,12 @@ def _spelled(x: Column) -> Column:
     return F.regexp_replace(x, " {2,}", " ")
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS) -> DataFrame:
-    """license and digest of the known texts, brought to canonical form by the same expression; a digest once."""
-    rows = spark.createDataFrame(list(texts), "license string, text string")
-    return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEXTS, digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """license and digest of the known texts, brought to canonical form by the same expression, and of those known by
+    their digests; a digest once."""
+    rows = spark.createDataFrame(list(texts), "license string, text string").select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = rows.union(spark.createDataFrame(list(digests), "license string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def notices(text: Column, known_notices: tuple[tuple[str, str], ...] = NOTICES) -> Column:
@@ -164,9 +194,11 @@ def oracle_sql(table: str = "documents") -> str:
 
     quoted = [(n, t.replace("'", "''")) for n, t in TEXTS]
     values = ", ".join(f"('{n}', '{t}')" for n, t in quoted)
+    digests = ", ".join(f"('{n}', '{d}')" for n, d in DIGESTS)
     single = ", ".join(f"('{n}', '{t}')" for n, t in quoted if "\n" not in t)
     return f"""
-    WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, {form(lines('text'))} AS digest FROM (VALUES {values}) v(license, text)) GROUP BY digest),
+    WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, {form(lines('text'))} AS digest FROM (VALUES {values}) v(license, text)
+                   UNION ALL SELECT license, digest FROM (VALUES {digests}) w(license, digest)) GROUP BY digest),
     single AS (SELECT DISTINCT license, {form(lines('text'))} AS digest FROM (VALUES {single}) v(license, text)),
     d AS (SELECT doc_id, {lines('text')} AS clean FROM {table}),
     n AS (SELECT doc_id, clean, string_agg(DISTINCT single.license, ',' ORDER BY single.license) AS notices

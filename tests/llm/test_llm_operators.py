@@ -261,6 +261,31 @@ def test_op6_customary_layouts_and_neighbouring_spellings(spark):
     assert {r["doc_id"]: r["notices"] for r in found.collect()} == {1: "CC-BY-SA-4.0,MIT", 2: ""}
 
 
+def test_op6_long_licences_known_by_digest(spark, tmp_path):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    files |= {n: f"{n}-only" for n in ("GFDL-1.2", "GFDL-1.3", "LGPL-2.1")} | {n: f"{n}.0-only" for n in ("GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-3")}
+    rows, want = [], {}
+    for name, license in files.items():
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}") as f:
+                text = f.read()
+            for variant in (text, text.upper(), text.replace(" ", "\t  "), text.replace("copyright owner]", "copyright owner] (c) 2021"), text + " more"):
+                want[len(rows)] = None if variant.endswith(" more") else license
+                rows.append((len(rows), variant))
+    if not rows:
+        pytest.skip("needs the system's licence texts")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.find(docs).collect()} == want
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    docs.toPandas().to_parquet(f"{tmp_path}/d.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d.parquet')")
+    assert {r[0]: r[2] for r in con.execute(licenses.oracle_sql()).fetchall()} == want
+
+
 def test_op7_unigrams_and_learning(docs, empty):
     held = lm_score.held_out(F.col("doc_id"))
     got = lm_score.score(docs, held).collect()
