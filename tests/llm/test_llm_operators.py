@@ -516,6 +516,31 @@ def test_op4_other_scripts_are_judged_by_their_letters(spark, letters):
     assert not kept & set(range(120, 126)) and len(kept) >= 115
 
 
+def test_op4_every_language_has_its_own_band(spark, monkeypatch):
+    """Languages without a model of their own, rare ones and a null one are judged by their own medians."""
+    monkeypatch.setattr(quality, "LANGUAGES", 2)
+    r = random.Random(8)
+    rows = []
+    for lang, letters, n in (("a", "etaoinshrdlu", 150), ("b", "bcfgkmpqvwxyz", 60), (None, "aeioubdg", 40), ("d", "klmnopqr", 3)):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(50)]
+        rows += [(" ".join(r.choice(words) for _ in range(80)), lang) for _ in range(n)]
+    rows += [("".join(r.choice("bcfgkmpqvwxyz") if x != " " else x for x in rows[160 + i][0]), "b") for i in range(4)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string")
+    measured = quality.stage(quality.measure(docs), "measured")
+    own = {x["lang"]: (x["middle"], x["spread"]) for x in quality.bands(measured).collect()}
+    bits = {}
+    for x in measured.select("row.lang", "bits").collect():
+        bits.setdefault(x["lang"], []).append(x["bits"])
+    every = sorted(b for v in bits.values() for b in v)
+    at = lambda v, p: sorted(v)[-(-len(v) * p // 4) - 1]
+    assert own.keys() == bits.keys()
+    for lang, v in bits.items():
+        spread = (at(v, 3) - at(v, 1)) / 2
+        assert own[lang] == pytest.approx((at(v, 2), max(spread, (at(every, 3) - at(every, 1)) / 2) if len(v) < quality.FEW else spread))
+    kept = {x["doc_id"] for x in quality.keep(docs).collect()}
+    assert not kept & set(range(253, 257)) and len(kept) >= 240 and {250, 251, 252} <= kept
+
+
 def test_op5_the_method_adds_spans(spark):
     text = "see " + "x" * 50 + "+custom-scheme://host.example/path and account no. 12345678, DE89 3704 0044 0532 0130 00"
     kinds = {x["kind"] for x in pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"]}
