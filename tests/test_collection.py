@@ -1,6 +1,7 @@
 """Collectors, scan control, rule engines, details, stores and reports on small data of their own."""
 
 import json
+import random
 from datetime import date
 
 import pandas as pd
@@ -200,6 +201,36 @@ def test_streams_restart(spark, tmp_path):
     assert sum(r["n"] for r in spark.table("windows").collect()) == 2
 
 
+def test_seen_history_merges_runs_by_level(spark, tmp_path):
+    import os
+
+    r = random.Random(2)
+    batches = [[(r.choice([None, *range(6)]), r.randrange(100)) for _ in range(r.randrange(5))] for _ in range(11)]
+    seen = SeenHistory(spark, f"{tmp_path}/state", "k", "t", fan=2)
+    assert seen.runs(11) == [11, 10, 8] and seen.runs(8) == [8] and seen.runs(0) == []
+    for n, rows in enumerate(batches):
+        for _ in range(2 if n in (3, 7) else 1):  # a batch that is run again
+            seen.batch(spark.createDataFrame(rows, "k int, t int"), n)
+        if n in (0, 3, 6, 10):
+            want = {}
+            for k, t in (x for b in batches[: n + 1] for x in b):
+                first, last, times = want.get(k, (t, t, 0))
+                want[k] = (min(first, t), max(last, t), times + 1)
+            assert {x["k"]: (x["first_seen"], x["last_seen"], x["times_seen"]) for x in seen.version(n).collect()} == want
+    seen.prune()
+    assert {x for x in os.listdir(f"{tmp_path}/state")} == {"v=8", "v=10", "v=11"}
+    assert {x["k"] for x in seen.version(10).collect()} == want.keys()
+
+
+def test_seen_history_of_an_empty_stream(spark, tmp_path):
+    import os
+
+    os.makedirs(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, t timestamp").parquet(f"{tmp_path}/in")
+    got = SeenHistory(spark, f"{tmp_path}/state", "k", "t").run(stream, f"{tmp_path}/check")
+    assert got.count() == 0 and got.columns == ["k", "first_seen", "last_seen", "times_seen"]
+
+
 def test_publishing_again_replaces(spark, tmp_path):
     rows = spark.range(3)
     for _ in range(2):
