@@ -36,6 +36,8 @@ SMALL, TILE = 100, 400
 BINS, ERRORS = 64, 4.0
 #: Bytes of texts handled at a time.
 CHUNK = 1_000_000
+#: Buckets looked at together when a tile's members are asked whether they met before.
+COLUMNS = 4096
 _SIG = "sig binary"
 
 
@@ -181,11 +183,17 @@ def _owned(group: pa.Table) -> np.ndarray:
     of = np.repeat(np.arange(len(side)), np.diff(lists.offsets.to_numpy()))
     value = lists.values.to_numpy()[lists.offsets.to_numpy()[0] : lists.offsets.to_numpy()[-1]]
     before = value < bucket
-    _, code = np.unique(value[before], return_inverse=True)
-    met = np.zeros((len(side), max(1, code.max() + 1 if len(code) else 1)), dtype=np.float32)
-    met[of[before], code] = 1
-    own = (met @ met.T) == 0
-    own &= np.triu(np.ones(own.shape, dtype=bool), 1)
+    _, code, count = np.unique(value[before], return_inverse=True, return_counts=True)
+    # A bucket of one member tells of no pair; the others are taken in runs of COLUMNS.
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
+    order = np.argsort(place, kind="stable")
+    row, place = of[before][order], place[order]
+    own = np.triu(np.ones((len(side), len(side)), dtype=bool), 1)
+    for first in range(0, int((count > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(place, [first, first + COLUMNS])
+        met = np.zeros((len(side), COLUMNS), dtype=np.float32)
+        met[row[a:b], place[a:b] - first] = 1
+        own &= (met @ met.T) == 0
     if (side != 2).any():
         own &= side[:, None] != side  # within a group the pairs belong to the group's own tile
     return own & (np.minimum(size[:, None], size) >= SIMILARITY * np.maximum(size[:, None], size))

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -577,6 +578,18 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
+def test_op9_pairs_of_a_tile_against_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 3)
+    r = random.Random(4)
+    for _ in range(30):
+        n, bucket = r.randint(1, 12), r.randint(-20, 20)
+        lists = [sorted({bucket, *(r.randint(-20, 20) for _ in range(r.randint(0, 4)))}) for _ in range(n)]
+        side, size = [r.choice([0, 1]) if n % 2 else 2 for _ in range(n)], [r.randint(4, 8) for _ in range(n)]
+        group = pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "side": pa.array(side, pa.int32()), "size": pa.array(size, pa.int64()), "all": pa.array(lists, pa.list_(pa.int64()))})
+        want = [[i < j and (side[i] == 2 or side[i] != side[j]) and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and not any(x < bucket for x in set(lists[i]) & set(lists[j])) for j in range(n)] for i in range(n)]
+        assert jaccard_join._owned(group).tolist() == want
+
+
 def test_op9_large_groups_split_and_tile(spark, monkeypatch):
     r = random.Random(6)
     base = [f"w{i}" for i in range(120)]
