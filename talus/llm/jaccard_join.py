@@ -183,16 +183,19 @@ def _owned(group: pa.Table) -> np.ndarray:
     of = np.repeat(np.arange(len(side)), np.diff(lists.offsets.to_numpy()))
     value = lists.values.to_numpy()[lists.offsets.to_numpy()[0] : lists.offsets.to_numpy()[-1]]
     before = value < bucket
-    _, code, count = np.unique(value[before], return_inverse=True, return_counts=True)
-    # A bucket of one member tells of no pair; the others are taken in runs of COLUMNS.
-    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[code]
-    order = np.argsort(place, kind="stable")
-    row, place = of[before][order], place[order]
+    _, code = np.unique(value[before], return_inverse=True)
+    row, n = of[before], int(code.max()) + 1 if len(code) else 0
+    if n > COLUMNS:
+        # A bucket of one member tells of no pair; the others are taken in runs of COLUMNS.
+        shared = np.bincount(code) > 1
+        row, code, n = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]], int(shared.sum())
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
     own = np.triu(np.ones((len(side), len(side)), dtype=bool), 1)
-    for first in range(0, int((count > 1).sum()), COLUMNS):
-        a, b = np.searchsorted(place, [first, first + COLUMNS])
-        met = np.zeros((len(side), COLUMNS), dtype=np.float32)
-        met[row[a:b], place[a:b] - first] = 1
+    for first in range(0, n, COLUMNS):
+        a, b = np.searchsorted(code, [first, first + COLUMNS]) if n > COLUMNS else (0, len(code))
+        met = np.zeros((len(side), min(COLUMNS, n - first)), dtype=np.float32)
+        met[row[a:b], code[a:b] - first] = 1
         own &= (met @ met.T) == 0
     if (side != 2).any():
         own &= side[:, None] != side  # within a group the pairs belong to the group's own tile
