@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard_join, licenses, lm_score, pii, quality, secrets, warc
+from . import bpe, chat, clustered, decontaminate, jaccard_join, licenses, lm_score, mixing, negatives, pii, quality, secrets, warc
 from .common import table
 
 
@@ -73,9 +73,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive by pivot distances."""
+    return negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix takes that meets its sources' targets."""
+    mixed = mixing.document_mix(table(spark, sf_dir, "documents")).withColumn("source", F.col("sources")[0])
+    return mixed.select("doc_id", "size", F.col("source.size").alias("source_size"), F.col("source.target").alias("target"), "taken")
+
+
+def op13_clustered_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a layout along the Morton curve, and the files that its query touches."""
+    placed = clustered.document_layout(table(spark, sf_dir, "documents"))
+    return placed.withColumn("file_bounds", F.concat_ws(",", F.transform("bounds", lambda x: x.cast("string")))).drop("bounds")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_secret_scan, op3_warc_index, op4_quality_perplexity, op5_pii_anchors, op6_license_digest, op7_context_mixing, op8_perspectives, op9_chosen_path_join, op10_byte_bpe)
+    for f in (op1_decontaminate, op2_secret_scan, op3_warc_index, op4_quality_perplexity, op5_pii_anchors, op6_license_digest, op7_context_mixing, op8_perspectives, op9_chosen_path_join, op10_byte_bpe, op11_hard_negatives, op12_source_mix, op13_clustered_layout)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -85,4 +102,4 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d
 """
-ORACLE_SQL: dict[str, str] = {"op3_warc_index": _WARC_SQL, "op6_license_digest": licenses.oracle_sql(), "op8_perspectives": chat.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_warc_index": _WARC_SQL, "op6_license_digest": licenses.oracle_sql(), "op8_perspectives": chat.oracle_sql(), "op11_hard_negatives": negatives.ORACLE_SQL, "op12_source_mix": mixing.oracle_sql(), "op13_clustered_layout": clustered.oracle_sql()}
