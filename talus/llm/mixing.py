@@ -25,7 +25,9 @@ WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 #: Levels of the seeded order, of two hexadecimal digits each.
 LEVELS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-_PLAN = "pattern array<string>, words long, whole long, rest long"
+_PLAN = "pattern array<string>, whole long, prefix string, part long, sources array<struct<source: string, size: long, target: double>>"
+#: Patterns that are broadcast at most.
+BROADCAST = 10_000
 
 
 def fill(sizes: list[int], weights: list[int], total: int, repeats: int = REPEATS) -> list[float]:
@@ -113,10 +115,10 @@ def _mark(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
-def _cutoffs(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def _cutoffs(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(pattern, prefix, rest): in the seeded order documents before the prefix are taken once more, after it none, and of
     those of the prefix so many words as rest says."""
-    at = plan.filter("rest > 0").select("pattern", "rest", F.lit("").alias("prefix"))
+    at = asked.withColumn("prefix", F.lit(""))
     for level in range(LEVELS):
         inside = rows.select("pattern", "size", F.substring("order", 1, 2 * level).alias("prefix"), F.substring("order", 2 * level + 1, 2).alias("digit")).join(at, ["pattern", "prefix"])
         sums = inside.groupBy("pattern", "prefix", "digit").agg(F.sum("size").alias("own"), F.first("rest").alias("rest"))
@@ -152,9 +154,13 @@ def mix(docs: DataFrame, key: str, sources: Column, size: Column, weights: tuple
     for (p, _), n in flow({p: n for p, n in sums.items() if p}, {s: math.floor(t + 0.5) for s, t in targets.items()}, repeats).items():
         given[p] += n
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(list(p), n, given[p] // n if n else 0, given[p] % n if n else 0) for p, n in sums.items()], _PLAN)
-    info = spark.createDataFrame([(list(p), [(None if s == "~" else s[1:], of[s], targets[s]) for s in p]) for p in sums], "pattern array<string>, sources array<struct<source: string, size: long, target: double>>")
-    rows = rows.join(plan.join(_cutoffs(rows, plan).withColumnRenamed("rest", "part"), "pattern", "left").join(info, "pattern"), "pattern")
+    plan = {p: (given[p] // n, given[p] % n) if n else (0, 0) for p, n in sums.items()}
+    asked = spark.createDataFrame([(list(p), rest) for p, (_, rest) in plan.items() if rest], "pattern array<string>, rest long")
+    cut = {tuple(r["pattern"]): (r["prefix"], r["rest"]) for r in _cutoffs(rows, asked).collect()}
+    info = {p: [(None if s == "~" else s[1:], of[s], targets[s]) for s in p] for p in sums}
+    whole = spark.createDataFrame([(list(p), times, *cut.get(p, (None, None)), info[p]) for p, (times, _) in plan.items()], _PLAN)
+    # a row for each pattern, so its size is known; where they are too many, skewed ones are split by adaptive execution
+    rows = rows.join(F.broadcast(whole) if len(plan) <= BROADCAST else whole, "pattern")
     at = F.substring("order", 1, 2 * LEVELS)
     last = at.eqNullSafe(F.col("prefix"))
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
