@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, nested, rules, scoring, text
-from ..operators import audit, cache, dedup, state, views
+from ..operators import audit, cache, canonical, dedup, state, views
 from ..operators.lineage import cut, shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,8 +145,59 @@ def _listings(t) -> DataFrame:
 @_query()
 def greedy_resolution(t):
     """Representative of each document by the greedy fold within components of candidate edges."""
-    rows = _listings(t)
-    return dedup.greedy_resolution(rows, dedup.connected(dedup.candidate_edges(rows)))
+    return dedup.greedy_resolution(_listings(t))
+
+
+#: Clients as records of one person: the master is the person, the client a listing of them.
+_CLIENTS = """c AS (SELECT master_id, client_id, nullif(trim(segment), '') AS company, nullif(trim(city), '') AS location, nation_id::VARCHAR AS date, coalesce(source, '') AS source, coalesce(email, '') AS url, coalesce(name, '') AS detail,
+  CASE segment WHEN 'public' THEN 'OK_HTML' WHEN 'retail' THEN 'OK' WHEN 'online' THEN 'CACHE' ELSE 'FAILED' END AS status FROM clients),
+"""
+
+
+def _clients(t) -> DataFrame:
+    status = F.when(F.col("segment") == "public", "OK_HTML").when(F.col("segment") == "retail", "OK").when(F.col("segment") == "online", "CACHE").otherwise("FAILED")
+    return t("clients").select("master_id", F.col("client_id").alias("ord"), F.col("client_id").alias("id"), "source", F.col("email").alias("url"), F.col("name").alias("full_detail"), status.alias("detail_status"), F.col("segment").alias("company"), F.col("city").alias("location"), F.col("nation_id").cast("string").alias("date"))
+
+
+@_query("WITH " + _CLIENTS + """
+s AS (SELECT master_id, client_id, {'rank': ((status <> 'FAILED' AND trim(detail) <> '')::INT * 1000000 + length(trim(detail))) * 10, 'company': company, 'location': location, 'date': date, 'lead': client_id} AS r FROM c),
+f AS (SELECT master_id, list_reduce(list(r ORDER BY client_id), lambda a, b: CASE
+    WHEN b.rank + (b.company IS NOT NULL)::INT + (b.location IS NOT NULL)::INT + (b.date IS NOT NULL)::INT > a.rank + (a.company IS NOT NULL)::INT + (a.location IS NOT NULL)::INT + (a.date IS NOT NULL)::INT
+    THEN {'rank': b.rank, 'company': coalesce(b.company, a.company), 'location': coalesce(b.location, a.location), 'date': coalesce(b.date, a.date), 'lead': b.lead}
+    ELSE {'rank': a.rank, 'company': coalesce(a.company, b.company), 'location': coalesce(a.location, b.location), 'date': coalesce(a.date, b.date), 'lead': a.lead} END) AS m, count(*) - 1 AS removed FROM s GROUP BY master_id),
+o AS (SELECT master_id, source, min(client_id) AS first FROM c WHERE source <> '' GROUP BY ALL),
+n AS (SELECT master_id, string_agg(source, '+' ORDER BY first) AS sources FROM o GROUP BY master_id),
+u AS (SELECT master_id, count(DISTINCT nullif(trim(url), '')) AS n_urls, count(DISTINCT (source, client_id, url, status)) AS n_entries FROM c GROUP BY master_id)
+SELECT f.master_id, f.m.lead AS id, f.m.company AS company, f.m.location AS location, f.m.date AS date, sources, n_urls, n_entries, removed,
+  CASE WHEN removed > 0 AND f.m.rank >= 10000000 THEN l.source END AS trusted_source, CASE WHEN removed > 0 AND f.m.rank >= 10000000 THEN l.email END AS trusted_url
+FROM f JOIN n USING (master_id) JOIN u USING (master_id) JOIN clients l ON l.client_id = f.m.lead
+""")
+def canonical_records(t):
+    """One record of each master out of its clients, blanks filled, with its sources and the origin of the trusted detail."""
+    out = canonical.canonical(_clients(t), ["master_id"], "ord")
+    return out.select("master_id", "id", "company", "location", "date", F.array_join("sources", "+").alias("sources"), "n_urls", "n_entries", "removed", "trusted_source", "trusted_url")
+
+
+@_query("WITH " + _CLIENTS + "e AS (SELECT master_id, source, client_id::VARCHAR AS id, url, status AS detail_status, min(client_id) AS o FROM c GROUP BY ALL) SELECT master_id, row_number() OVER (PARTITION BY master_id ORDER BY o) - 1 AS position, source, id, url, detail_status FROM e")
+def canonical_provenance(t):
+    """Where each master's record comes from, entry by entry."""
+    return canonical.provenance(_clients(t), ["master_id"], "ord")
+
+
+@_query("WITH " + _CLIENTS + "u AS (SELECT master_id, trim(url) AS url, min(client_id) AS o FROM c WHERE trim(url) <> '' GROUP BY ALL) SELECT master_id, row_number() OVER (PARTITION BY master_id ORDER BY o) - 1 AS position, url FROM u QUALIFY count(*) OVER (PARTITION BY master_id) > 1")
+def canonical_urls(t):
+    """The addresses of each master that has several."""
+    return canonical.alternate_urls(_clients(t), ["master_id"], "ord")
+
+
+@_query()
+def greedy_canonical(t):
+    """The canonical record of each group of documents that the greedy resolution finds to be one."""
+    rows = _listings(t).withColumn("date", F.lit(""))
+    fields = canonical.Fields(detail="detail", status="status", filled=("company", "location", "date"))
+    whole = rows.withColumn("status", F.lit("OK")).join(dedup.greedy_resolution(rows), "ord")
+    out = canonical.canonical(whole, ["rep"], "ord", fields)
+    return out.select("rep", "ord", "company", "source", "n_entries", "removed", "trusted_source", F.sha1("detail").alias("detail_sha1"))
 
 
 @_query()

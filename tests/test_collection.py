@@ -180,9 +180,13 @@ def test_reports_registry_and_config(spark):
 def test_merge_against_the_written_out_rule():
     a = {"ord": 1, "source": "A", "id": "1", "title": "t", "company": "", "location": "x", "date": "", "url": "u", "detail": "long detail", "refs": []}
     b = a | {"ord": 2, "source": "B", "company": "c", "date": "d", "detail": "longer detail", "location": ""}
-    got = dedup.merged(a, b)
+    standing = dedup.Standing(1, a)
+    standing.take(b)
+    got = standing.record
     assert (got["detail"], got["company"], got["location"], got["date"], got["source"]) == ("longer detail", "c", "x", "d", "A+B")
-    assert dedup.merged(got, a)["source"] == "A+B+A"
+    again = dedup.Standing(1, got)
+    again.take(a)
+    assert again.record["source"] == "A+B+A"
     same = a | {"source": "A", "id": "2", "url": ""}
     assert not dedup.same_record(a, same)
     # Once merged with B the record is no longer of the same source, so another id of A is no veto by itself.

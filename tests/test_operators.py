@@ -5,6 +5,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from plain import one_fold
+
 from talus.functions import dates, extract, nested, rules, scoring, text
 from talus.operators import audit, cache, dedup, state, views
 from talus.sources import payloads
@@ -110,8 +112,10 @@ def test_greedy_resolution_equals_one_fold_over_all(spark):
         title += r.choice(["", "s", ""])
         rows.append({"ord": i, "source": r.choice("ab"), "id": r.choice(["", str(i % 7)]), "title": title, "company": r.choice(["", "acme", "acmes"]), "location": r.choice(["", "madrid"]), "url": r.choice(["", "", f"https://e.org/{i % 9}"]), "detail": r.choice(["", *long_]), "refs": r.choice([[], ["AB12"], ["CD34"]])})
     df = spark.createDataFrame(rows, "ord long, source string, id string, title string, company string, location string, url string, detail string, refs array<string>")
-    got = {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df, dedup.connected(dedup.candidate_edges(df))).collect()}
-    assert got == dedup.greedy_fold(rows)
+    got = {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df).collect()}
+    assert got == one_fold(rows)
+    small = {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df, block=7).collect()}
+    assert small == got  # components of several blocks are decided in rounds
 
 
 def test_state_over_days(spark):
@@ -298,6 +302,6 @@ def test_candidate_edges_lose_no_close_title(spark):
     body = " ".join(f"body{i}" for i in range(300))
     rows = [(1, "s", "", " ".join(words), "c", "", "", " ".join(words) + " " + body, []), (2, "t", "", " ".join(changed), "d", "", "", " ".join(changed) + " " + body, []), (3, "t", "", " ".join(changed), "d", "", "", "different " * 50, [])]
     df = spark.createDataFrame(rows, "ord long, source string, id string, title string, company string, location string, url string, detail string, refs array<string>")
-    whole = dedup.greedy_fold([r.asDict() for r in df.collect()])
+    whole = one_fold([r.asDict() for r in df.collect()])
     assert whole == {1: 1, 2: 1, 3: 3}
-    assert {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df, dedup.connected(dedup.candidate_edges(df))).collect()} == whole
+    assert {x["ord"]: x["rep"] for x in dedup.greedy_resolution(df).collect()} == whole

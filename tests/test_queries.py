@@ -52,8 +52,9 @@ def test_fuzzy_title_ratio_loses_no_pair(spark):
 
 
 def test_greedy_resolution_equals_one_fold_over_all(spark):
-    from talus.operators import dedup
+    from plain import one_fold
+
     from talus.plans.queries import _listings, _table
 
     rows = [r.asDict() for r in _listings(lambda name: _table(spark, SF, name)).collect()]
-    assert {x["ord"]: x["rep"] for x in QUERIES["greedy_resolution"](spark, SF).collect()} == dedup.greedy_fold(rows)
+    assert {x["ord"]: x["rep"] for x in QUERIES["greedy_resolution"](spark, SF).collect()} == one_fold(rows)
