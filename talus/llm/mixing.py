@@ -115,12 +115,18 @@ def _mark(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
 
 
-def _cutoffs(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def _few(df: DataFrame, patterns: int) -> DataFrame:
+    """df has a row for each pattern at most, so its size is known; where they are too many to be broadcast, adaptive execution
+    splits the skewed ones."""
+    return F.broadcast(df) if patterns <= BROADCAST else df
+
+
+def _cutoffs(rows: DataFrame, asked: DataFrame, patterns: int) -> DataFrame:
     """(pattern, prefix, rest): in the seeded order documents before the prefix are taken once more, after it none, and of
     those of the prefix so many words as rest says."""
     at = asked.withColumn("prefix", F.lit(""))
     for level in range(LEVELS):
-        inside = rows.select("pattern", "size", F.substring("order", 1, 2 * level).alias("prefix"), F.substring("order", 2 * level + 1, 2).alias("digit")).join(at, ["pattern", "prefix"])
+        inside = rows.select("pattern", "size", F.substring("order", 1, 2 * level).alias("prefix"), F.substring("order", 2 * level + 1, 2).alias("digit")).join(_few(at, patterns), ["pattern", "prefix"])
         sums = inside.groupBy("pattern", "prefix", "digit").agg(F.sum("size").alias("own"), F.first("rest").alias("rest"))
         up = F.sum("own").over(Window.partitionBy("pattern").orderBy("digit"))
         sums = sums.withColumn("upto", up).filter("upto >= rest AND upto - own < rest")
@@ -156,11 +162,10 @@ def mix(docs: DataFrame, key: str, sources: Column, size: Column, weights: tuple
     spark = docs.sparkSession
     plan = {p: (given[p] // n, given[p] % n) if n else (0, 0) for p, n in sums.items()}
     asked = spark.createDataFrame([(list(p), rest) for p, (_, rest) in plan.items() if rest], "pattern array<string>, rest long")
-    cut = {tuple(r["pattern"]): (r["prefix"], r["rest"]) for r in _cutoffs(rows, asked).collect()}
+    cut = {tuple(r["pattern"]): (r["prefix"], r["rest"]) for r in _cutoffs(rows, asked, len(plan)).collect()}
     info = {p: [(None if s == "~" else s[1:], of[s], targets[s]) for s in p] for p in sums}
     whole = spark.createDataFrame([(list(p), times, *cut.get(p, (None, None)), info[p]) for p, (times, _) in plan.items()], _PLAN)
-    # a row for each pattern, so its size is known; where they are too many, skewed ones are split by adaptive execution
-    rows = rows.join(F.broadcast(whole) if len(plan) <= BROADCAST else whole, "pattern")
+    rows = rows.join(_few(whole, len(plan)), "pattern")
     at = F.substring("order", 1, 2 * LEVELS)
     last = at.eqNullSafe(F.col("prefix"))
     before = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
