@@ -1,48 +1,46 @@
-"""Fields from HTML, JSON and labelled text, in built-in functions; a DOM walk where position in the tree matters."""
+"""Fields from HTML, JSON and labelled text, in built-in functions; those from HTML over the nodes of a page (tree)."""
 
 from __future__ import annotations
 
+import html
 import re
-from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from . import tree
 from .text import blank, clean_text, fold_accents
 
-_DROP = "script|style|nav|header|footer|aside|form|button"
+_NOT_TEXT = tree.bits(*tree.GONE, *tree.CONTROLS)
 
 
-def unescape(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+@F.pandas_udf(StringType())
+def unescape(c: pd.Series) -> pd.Series:
+    """Character references as the characters that they stand for, by the full table of the standard."""
+    return c.map(html.unescape, na_action="ignore")
 
 
-def html_title(html: Column) -> Column:
-    return clean_text(unescape(F.regexp_extract(blank(html), "(?is)<title[^>]*>(.*?)</title>", 1)))
+def html_title(page: Column) -> Column:
+    return tree.over(page, lambda n: F.coalesce(tree.text_of(n, tree.first(n, tree.named("title"))["at"]), F.lit("")))
 
 
-def html_text(html: Column) -> Column:
+def html_text(page: Column) -> Column:
     """Text without comments, tags, and the parts that are not content."""
-    x = F.regexp_replace(blank(html), "(?s)<!--.*?-->", " ")
-    for tag in _DROP.split("|"):
-        x = F.regexp_replace(x, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
-    return clean_text(unescape(F.regexp_replace(x, "(?s)<[^>]*>", " ")))
+    return tree.over(page, lambda n: tree.text_of(n, F.lit(0), _NOT_TEXT))
 
 
-def html_links(html: Column) -> Column:
+def html_links(page: Column) -> Column:
     """Targets of links in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(blank(html), F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"), F.lit(1)))
+    anchors = lambda n: F.filter(n, lambda x: (x["tag"] == "a") & tree.attr(x, "href").isNotNull())
+    return tree.over(page, lambda n: F.array_distinct(F.transform(anchors(n), lambda x: tree.attr(x, "href"))))
 
 
-def table_rows(html: Column) -> Column:
+def table_rows(page: Column) -> Column:
     """Cells of each table row, as array<array<string>>."""
-    rows = F.regexp_extract_all(blank(html), F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = lambda r: F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(cells(r), lambda x: clean_text(unescape(F.regexp_replace(x, "<[^>]*>", " ")))))
+    return tree.over(page, tree.rows_of)
 
 
 def labelled(text: Column, label: str, following: Sequence[str]) -> Column:
@@ -58,8 +56,9 @@ def first_nonempty(json: Column, *paths: str) -> Column:
 
 def json_ld(html: Column, kind: str) -> Column:
     """The first JSON-LD script that names the kind."""
-    scripts = F.regexp_extract_all(blank(html), F.lit('(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>'), F.lit(1))
-    return F.try_element_at(F.filter(scripts, lambda s: s.rlike(f'"@type"\\s*:\\s*"{kind}"')), F.lit(1))
+    is_one = lambda x: (x["tag"] == "script") & (F.lower(F.trim(tree.attr(x, "type"))) == "application/ld+json")
+    raw = lambda n, x: F.array_join(F.transform(tree.below(n, x["at"]), lambda y: y["text"]), "")
+    return tree.over(html, lambda n: F.get(F.filter(F.transform(F.filter(n, is_one), lambda x: raw(n, x)), lambda s: s.rlike(f'"@type"\\s*:\\s*"{kind}"')), F.lit(0)))
 
 
 def urls_in(text: Column) -> Column:
@@ -138,51 +137,23 @@ def without_detail_of(detail: Column, source: Column, prefix: str) -> Column:
 
 def first_named(html: Column, classes: Sequence[str], most: int, otherwise: str = "") -> Column:
     """Text of the first element one of whose classes holds a name, asked name by name, if it is not longer than most."""
-    texts = [clean_text(unescape(F.regexp_replace(F.regexp_extract(blank(html), rf"(?is)<([a-z]+)\b[^>]*\bclass=[\"'][^\"']*{c}[^\"']*[\"'][^>]*>(.*?)</\1>", 2), r"(?s)<[^>]*>", " "))) for c in classes]
-    return F.coalesce(*(F.when((x != "") & (F.length(x) < most), x) for x in texts), F.lit(otherwise))
-
-
-def main_html(html: Column) -> Column:
-    """The part of a page that is its content: the first main, else article, else element of that role, else body, else all."""
-    h = blank(html)
-    of = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
-    return F.coalesce(of(r"(?is)<main\b[^>]*>(.*?)</main>"), of(r"(?is)<article\b[^>]*>(.*?)</article>"), of(r"(?is)<[a-z]+\b[^>]*\brole=[\"']main[\"'][^>]*>(.*)"), of(r"(?is)<body\b[^>]*>(.*?)</body>"), h)
-
-
-def main_text(html: Column) -> Column:
-    """html_text() of main_html()."""
-    return html_text(main_html(html))
-
-
-def title_block(pages: DataFrame, key: str, html: str, title: str, least: int = 500, most: int = 30_000, levels: int = 5) -> DataFrame:
-    """(key, block): the text of the smallest container around the title, within levels, of least to most characters; the
-    whole content where the title is not found in such a one."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, page, name in zip(frame[key], frame["_main"], frame[title]):
-                tree = _Tree()
-                tree.feed(page or "")
-                nodes, wanted, block = tree.nodes, " ".join((name or "").lower().split()), None
-                texts = [" ".join(" ".join(n[2]).split()) for n in nodes] if wanted else []
-                for i, n in enumerate(nodes if wanted else ()):
-                    if block is None and n[0] in ("h1", "h2", "h3", "div", "section") and wanted in texts[i].lower():
-                        up = i
-                        for _ in range(levels):
-                            if up < 0:
-                                break
-                            if least <= len(texts[up]) <= most:
-                                block = texts[up]
-                                break
-                            up = nodes[up][1]
-                out.append((k, " ".join(" ".join(nodes[0][2]).split()) if block is None else block))
-            yield pd.DataFrame(out, columns=[key, "block"])
-
-    cleaned = main_html(F.col(html))
-    for tag in _DROP.split("|"):
-        cleaned = F.regexp_replace(cleaned, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
-    return pages.select(key, cleaned.alias("_main"), title).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, block string")
+    def ask(n: Column) -> Column:
+        of_class = lambda c: tree.first(n, lambda x: F.contains(F.lower(tree.attr(x, "class")), F.lit(c.lower())))
+        texts = [tree.text_of(n, of_class(c)["at"]) for c in classes]
+        return F.coalesce(*(F.when((x != "") & (F.length(x) < most), x) for x in texts), F.lit(otherwise))
+
+    return tree.over(html, ask)
+
+
+def main_text(page: Column) -> Column:
+    """The text of a page's content: the first main, else article, else element of that role, else body, else all."""
+    return tree.over(page, lambda n: tree.text_of(n, tree.content(n), _NOT_TEXT))
+
+
+def title_block(page: Column, title: Column, least: int = 500, most: int = 30_000, levels: int = 5) -> Column:
+    """The text of the smallest container around the title, within levels, of least to most characters; that of the whole
+    content where the title is not found in such a one."""
+    return tree.over(page, lambda n: tree.text_of(n, F.coalesce(tree.around(n, tree.content(n), title, least, most, levels), tree.content(n)), _NOT_TEXT))
 
 
 def header_split(text: Column, names: Sequence[str]) -> Column:
@@ -224,14 +195,15 @@ def next_page(html: Column, base: Column) -> Column:
 
     A link is one to the next page by rel="next" or by its words; one that is disabled is none.
     """
-    anchors = F.regexp_extract_all(blank(html), F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
-    word = r"(?is)^<a\s[^>]*\brel=[\"'][^\"']*\bnext\b|(?:>|\b(?:aria-label|title)=[\"'])\s*(?:(?:next|more|suivant|siguiente|weiter)\b|[\u203a\u00bb](?=\s*<))"
-    off = r"(?is)^<a\s[^>]*(?:aria-disabled=[\"']true|class=[\"'][^\"']*\bdisabled\b|href=[\"'](?:#|javascript:))"
+    word = r"(?i)^(?:(?:next|more|suivant|siguiente|weiter)\b|[\u203a\u00bb]$)"
+    has = lambda x, name, p: F.coalesce(tree.attr(x, name).rlike(p), F.lit(False))
+    off = lambda x: has(x, "aria-disabled", "(?i)^true$") | has(x, "class", r"(?i)\bdisabled\b") | has(x, "href", "(?i)^(#|javascript:)")
+    on = lambda n, x: has(x, "rel", r"(?i)\bnext\b") | has(x, "aria-label", word) | has(x, "title", word) | tree.text_of(n, x["at"]).rlike(word)
+    hrefs = tree.over(html, lambda n: F.transform(F.filter(n, lambda x: (x["tag"] == "a") & tree.attr(x, "href").isNotNull() & on(n, x) & ~off(x)), lambda x: tree.attr(x, "href")))
     site = F.regexp_extract(base, "^([A-Za-z]+://[^/?#]+)", 1)
     path = lambda u: F.regexp_replace(F.regexp_extract(u, "^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/$", "")
 
-    target = lambda a: absolute(unescape(F.regexp_extract(a, r"(?is)\bhref=[\"']([^\"']*)", 1)), base)
-    urls = F.filter(F.transform(F.filter(anchors, lambda a: a.rlike(word) & ~a.rlike(off)), target), lambda u: F.regexp_extract(u, "^([A-Za-z]+://[^/?#]+)", 1) == site)
+    urls = F.filter(F.transform(hrefs, lambda h: absolute(h, base)), lambda u: F.regexp_extract(u, "^([A-Za-z]+://[^/?#]+)", 1) == site)
     return F.coalesce(F.try_element_at(F.filter(urls, lambda u: path(u) == path(base)), F.lit(1)), F.try_element_at(urls, F.lit(1)))
 
 
@@ -251,67 +223,28 @@ def identity_match(title_words: Column, company_words: Column, text: Column, cue
     return (F.length(blank(text)) >= shortest) & F.when(F.size(sig) > 0, own).otherwise(general)
 
 
-def rank_links(links: DataFrame, key: Sequence[str], href: str, cues: Sequence[tuple[str, int]], most: int, excluded: str | None = None) -> DataFrame:
-    """The most relevant links of each key: weights of the cues they match; ties by href; each link once."""
-    points = sum((F.when(F.lower(F.col(href)).rlike(p), w).otherwise(0) for p, w in cues), F.lit(0))
+def rank_links(links: DataFrame, key: Sequence[str], href: str, cues: Sequence[tuple[str, int]], most: int, excluded: str | None = None, label: str | None = None, title_words: str | None = None, base: str | None = None) -> DataFrame:
+    """The most relevant links of each key: weights of the cues they match; ties by href; each link once, by its best points.
+
+    Where they are given, a link's label is looked at with its target, each of the title's words that stands there is a point,
+    and so is to be of the same host as base.
+    """
+    seen = F.lower(F.concat_ws(" ", *([label] if label else []), href))
+    points = sum((F.when(seen.rlike(p), w).otherwise(0) for p, w in cues), F.lit(0))
+    if title_words:
+        points += F.size(F.filter(F.array_distinct(F.coalesce(title_words, F.array().cast("array<string>"))), lambda w: F.contains(seen, F.lower(w))))
+    if base:
+        host = lambda c: F.lower(F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+        points += (host(href) == host(base)).cast("int")
     if excluded:
-        links = links.where(~F.lower(F.col(href)).rlike(excluded))
-    scored = links.select(*key, href).distinct().withColumn("points", points)
+        links = links.where(~seen.rlike(excluded))
+    scored = links.groupBy(*key, href).agg(F.max(points).alias("points"))
     best = Window.partitionBy(*key).orderBy(F.desc("points"), href)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
 
 
-class _Tree(HTMLParser):
-    """Elements as [tag, parent, text, attributes], in order."""
-
-    def __init__(self):
-        super().__init__()
-        self.nodes, self.open = [["", -1, [], {}]], [0]
-
-    def handle_starttag(self, tag, attrs):
-        self.nodes.append([tag, self.open[-1], [], dict(attrs)])
-        if tag not in ("br", "img", "hr", "input", "meta", "link"):
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[i]][0] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        for i in self.open:
-            self.nodes[i][2].append(data)
-
-
 def scoped_blocks(pages: DataFrame, key: str, html: str, marker: str, entity: str, levels: int = 6) -> DataFrame:
     """For each link whose target matches entity, the text of its smallest ancestor within levels that holds the marker and
-    no other entity. Position in the tree has no form in built-in functions, so this is a vectorised walk of each page."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, page in zip(frame[key], frame[html]):
-                tree = _Tree()
-                tree.feed(page or "")
-                nodes = tree.nodes
-                links = [i for i, n in enumerate(nodes) if n[0] == "a" and re.search(entity, n[3].get("href") or "")]
-                held: dict[int, set[str]] = {}
-                for i in links:
-                    up = i
-                    while up >= 0:
-                        held.setdefault(up, set()).add(nodes[i][3]["href"])
-                        up = nodes[up][1]
-                for i in links:
-                    up, block = nodes[i][1], ""
-                    for _ in range(levels):
-                        if up < 0 or len(held[up]) > 1:
-                            break
-                        text = " ".join("".join(nodes[up][2]).split())
-                        if re.search(marker, text):
-                            block = text
-                            break
-                        up = nodes[up][1]
-                    out.append((k, nodes[i][3]["href"], block))
-            yield pd.DataFrame(out, columns=[key, "href", "block"])
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, href string, block string")
+    no other entity."""
+    found = tree.over(F.col(html), lambda n: tree.scoped(n, entity, marker, levels))
+    return pages.select(key, F.explode(found).alias("_x")).select(key, "_x.href", "_x.block")

@@ -13,16 +13,17 @@ from ..sources import collect
 from .queries import _NORM, _SIGNALS, _any, _query, _title
 
 
-def _bodies(rows: DataFrame, source: str, by: str, item, before: str = "", after: str = "", between: str = "") -> DataFrame:
-    """Payloads of a source: the items of each group of rows, in order of their text."""
+def _bodies(rows: DataFrame, source: str, by: str, item, before: str = "", after: str = "", between: str = "", most: int = 200) -> DataFrame:
+    """Payloads of a source: pages of the items of most keys each, in order of their text."""
+    rows = rows.withColumn(by, F.floor(F.col(by) / most))
     body = F.concat(F.lit(before), F.array_join(F.array_sort(F.collect_list(item)), between), F.lit(after))
     return rows.groupBy(by).agg(body.alias("body"), F.count("*").alias("n")).select(F.lit(source).alias("source"), F.concat(F.lit("https://e.org/"), F.col(by).cast("string")).alias("url"), F.replace("body", F.lit("{n}"), F.col("n").cast("string")).alias("body"))
 
 
 def _part_links(t) -> tuple[DataFrame, collect.Collector]:
-    """Parts as a page of links for each brand, some of them twice or beside links of the site."""
+    """Parts as pages of links, some of them twice or beside links of the site."""
     link = F.concat(F.lit('<li><a class=x href="/part/'), F.col("p_partkey").cast("string"), F.lit('"><b>'), "p_name", F.lit("</b></a> <a href='/help'>Help</a> <a href=\"/part/"), F.col("p_partkey").cast("string"), F.lit('">again</a></li>'))
-    payloads = _bodies(t("part"), "links", "p_brand", link, "<p>{n} offers</p><ul>", "</ul>")
+    payloads = _bodies(t("part").withColumn("_page", F.col("p_partkey")), "links", "_page", link, "<p>{n} offers</p><ul>", "</ul>")
     return payloads, collect.Collector("links", collect.links(r"^/part/[0-9]+$", "https://e.org"), {"url": lambda x: x["href"], "title": lambda x: x["title"]}, prefer=lambda: (F.col("title") != "again").cast("int"))
 
 
@@ -33,7 +34,7 @@ def collect_links(t):
 
 def _customer_table(t) -> tuple[DataFrame, collect.Collector]:
     row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td> "), "c_name", F.lit("</td><td>"), "c_mktsegment", F.lit("</td></tr>"))
-    payloads = _bodies(t("customer"), "table", "c_nationkey", row, "<table><tr></tr>", "</table>")
+    payloads = _bodies(t("customer").withColumn("_page", F.col("c_custkey")), "table", "_page", row, "<table><tr></tr>", "</table>")
     return payloads, collect.Collector("table", collect.table, {"id": collect.cell(0), "title": collect.cell(1), "company": collect.cell(2), "location": collect.cell(7)}, keep=lambda: F.col("company") != "BUILDING", key=("id",))
 
 
@@ -44,7 +45,7 @@ def collect_table(t):
 
 def _supplier_json(t) -> tuple[DataFrame, collect.Collector]:
     item = F.to_json(F.struct(F.struct(F.col("s_suppkey").alias("key")).alias("ref"), F.col("s_name").alias("name"), F.array(F.lit(""), F.lit("A"), F.lit("A"), F.lit("B")).alias("places")))
-    payloads = _bodies(t("supplier"), "json", "s_nationkey", item, '{"total": {n}, "hits": [', "]}", ",")
+    payloads = _bodies(t("supplier").withColumn("_page", F.col("s_suppkey")), "json", "_page", item, '{"total": {n}, "hits": [', "]}", ",")
     places = lambda x: F.array_join(F.array_distinct(F.filter(x["places"], lambda p: p != "")), "; ")
     schema = "struct<ref:struct<key:string>,name:string,title:string,places:array<string>>"
     fields = {"id": lambda x: x["ref"]["key"], "title": lambda x: F.coalesce(F.nullif(x["title"], F.lit("")), x["name"]), "location": places}
@@ -58,7 +59,7 @@ def collect_json(t):
 
 def _nation_blocks(t) -> tuple[DataFrame, collect.Collector]:
     block = F.concat(F.lit("Title: "), "n_name", F.lit("\nRef. "), F.col("n_nationkey").cast("string"), F.lit("\nPlace:  "), F.col("n_regionkey").cast("string"))
-    payloads = _bodies(t("nation"), "blocks", "n_regionkey", block, "Open calls\n----\n", "\n----\n", "\n----\n")
+    payloads = _bodies(t("nation").withColumn("_page", F.col("n_nationkey")), "blocks", "_page", block, "Open calls\n----\n", "\n----\n", "\n----\n", 5)
     fields = {"title": collect.value("Title:"), "id": collect.value(r"Ref\."), "location": collect.value("Place:")}
     return payloads, collect.Collector("blocks", collect.blocks("(?m)^----$", ("Title:", r"Ref\.", "Place:")), fields, key=("title", "location"))
 
@@ -70,7 +71,7 @@ def collect_blocks(t):
 
 def _region_feed(t) -> tuple[DataFrame, collect.Collector]:
     item = F.concat(F.lit("<position><id>"), F.col("r_regionkey").cast("string"), F.lit("</id><name><![CDATA["), "r_name", F.lit("]]></name></position>"))
-    payloads = _bodies(t("region").withColumn("k", F.lit(1)), "feed", "k", item, "<feed><position><id></id></position>", "</feed>")
+    payloads = _bodies(t("region").withColumn("_page", F.col("r_regionkey")), "feed", "_page", item, "<feed><position><id></id></position>", "</feed>")
     return payloads, collect.Collector("feed", collect.elements("position", ("id", "name")), {"id": lambda x: x["id"], "title": lambda x: x["name"]}, keep=lambda: F.col("id") != "", key=("id",), most=3)
 
 
@@ -79,10 +80,10 @@ def collect_feed(t):
     return collect.collect(*_region_feed(t))[0].select("id", "title")
 
 
-@_query("""SELECT 'links' AS source, (SELECT count(DISTINCT p_brand) FROM part) AS bodies, NULL::BIGINT AS declared, 2 * count(*) AS parsed, 2 * count(*) AS kept, count(*) AS "unique", 0 AS truncated, true AS complete FROM part
-UNION ALL SELECT 'table', count(DISTINCT c_nationkey), NULL, count(*), count(*) FILTER (c_mktsegment <> 'BUILDING'), count(*) FILTER (c_mktsegment <> 'BUILDING'), 0, true FROM customer
-UNION ALL SELECT 'json', count(DISTINCT s_nationkey), (SELECT max(n) FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey)), count(*), count(*), count(*), 0, true FROM supplier
-UNION ALL SELECT 'blocks', count(DISTINCT n_regionkey), NULL, count(*), count(*), count(*), 0, true FROM nation UNION ALL SELECT 'feed', 1, NULL, count(*) + 1, count(*), count(*), count(*) - 3, false FROM region""")
+@_query("""SELECT 'links' AS source, (SELECT count(DISTINCT p_partkey // 200) FROM part) AS bodies, NULL::BIGINT AS declared, 2 * count(*) AS parsed, 2 * count(*) AS kept, count(*) AS "unique", 0 AS truncated, true AS complete FROM part
+UNION ALL SELECT 'table', count(DISTINCT c_custkey // 200), NULL, count(*), count(*) FILTER (c_mktsegment <> 'BUILDING'), count(*) FILTER (c_mktsegment <> 'BUILDING'), 0, true FROM customer
+UNION ALL SELECT 'json', count(DISTINCT s_suppkey // 200), (SELECT max(n) FROM (SELECT count(*) AS n FROM supplier GROUP BY s_suppkey // 200)), count(*), count(*), count(*), 0, true FROM supplier
+UNION ALL SELECT 'blocks', count(DISTINCT n_nationkey // 5), NULL, count(*), count(*), count(*), 0, true FROM nation UNION ALL SELECT 'feed', count(DISTINCT r_regionkey // 200), NULL, count(*) + 1, count(*), count(*), count(*) - 3, false FROM region""")
 def collect_diagnostics(t):
     """What five collectors of different shapes say about their scans."""
     made = [f(t) for f in (_part_links, _customer_table, _supplier_json, _nation_blocks, _region_feed)]

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import extract
-from ..functions.text import blank, clean_text
+from ..functions import extract, tree
+from ..functions.text import blank, once
 from .payloads import FIELDS
 
 
@@ -44,10 +44,9 @@ def links(pattern: str, site: str = "") -> Callable[[Column], Column]:
     titles goes."""
 
     def of(body: Column) -> Column:
-        anchors = F.regexp_extract_all(blank(body), F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), F.lit(1))
-        item = lambda a: F.struct(extract.unescape(F.regexp_extract(a, r"(?is)\bhref\s*=\s*[\"']([^\"']*)", 1)).alias("href"), clean_text(extract.unescape(F.regexp_replace(a, r"(?s)<[^>]*>", " "))).alias("title"))
-        whole = lambda x: F.struct((extract.absolute(x["href"], F.lit(site)) if site else x["href"]).alias("href"), x["title"].alias("title"))
-        return F.transform(F.filter(F.transform(anchors, item), lambda x: x["href"].rlike(pattern)), whole)
+        own = lambda n: F.filter(n, lambda x: (x["tag"] == "a") & F.coalesce(tree.attr(x, "href").rlike(pattern), F.lit(False)))
+        target = lambda x: extract.absolute(tree.attr(x, "href"), F.lit(site)) if site else tree.attr(x, "href")
+        return tree.over(body, lambda n: F.transform(own(n), lambda x: F.struct(target(x).alias("href"), tree.text_of(n, x["at"]).alias("title"))))
 
     return of
 
@@ -85,8 +84,9 @@ def objects(root: str, schema: str) -> Callable[[Column], Column]:
 
 def elements(tag: str, names: Sequence[str]) -> Callable[[Column], Column]:
     """Items: the elements of an XML body with the texts of the children named."""
-    text = lambda e, n: F.trim(extract.unescape(F.regexp_replace(F.regexp_extract(e, rf"(?is)<{n}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1), r"(?s)<[^>]*>", " ")))
-    return lambda body: F.transform(F.regexp_extract_all(blank(body), F.lit(rf"(?is)(<{tag}\b.*?</{tag}>)"), F.lit(1)), lambda e: F.struct(*(text(e, n).alias(n) for n in names)))
+    text = lambda n, e, name: F.coalesce(tree.text_of(n, tree.first(tree.below(n, e["at"]), lambda x: F.lower(x["tag"]) == name.lower())["at"]), F.lit(""))
+    each = lambda n: F.filter(n, lambda x: F.lower(x["tag"]) == tag.lower())
+    return lambda body: once(tree.xml_nodes(body), lambda n: F.transform(each(n), lambda e: F.struct(*(text(n, e, name).alias(name) for name in names))))
 
 
 def section(heading: str, inner: Callable[[Column], Column], level: str = "h2") -> Callable[[Column], Column]:

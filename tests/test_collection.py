@@ -98,7 +98,7 @@ def test_rule_engines(spark):
 
 def test_details(spark):
     pages = spark.createDataFrame([(1, f"<body><div><nav>menu</nav><div><h1>The Title</h1><p>{'word ' * 150}</p></div></div><div>{'other ' * 50}</div></body>", "The  title"), (2, "<main>x</main>", "absent"), (3, None, None)], "id int, html string, title string")
-    got = {r["id"]: r["block"] for r in extract.title_block(pages, "id", "html", "title").collect()}
+    got = {r["id"]: r["block"] for r in pages.select("id", extract.title_block(F.col("html"), F.col("title")).alias("block")).collect()}
     assert got[1].startswith("The Title word") and "other" not in got[1] and got[2] == "x" and got[3] == ""
     assert one(spark, extract.urls_in(F.lit("see https://a.org/x, https://a.org/x and http://b.org)."))) == ["https://a.org/x", "http://b.org"]
     assert one(spark, extract.has_marker(F.lit("Access DENIED"), ["captcha", "access denied"])) is True
