@@ -23,6 +23,8 @@ def one(spark, column, **values):
     ("https://e.org/o/#/ver-oferta/12", "https://e.org/o/ver-oferta/12"),
     ("https://e.org/o?Offer_ID=A9&x=1", "https://e.org/o?offer_id=a9"),
     ("https://e.org?x=1", "https://e.org"),
+    ("https://u:p@www.E.org/a?ID=A%2FB", "https://e.org/a?id=a%2Fb"), ("https://e.org/a?id=É", "https://e.org/a?id=%C3%A9"), ("https://e.org/a?id=%C3%a9", "https://e.org/a?id=%C3%A9"),
+    ("https://e.org/a?id=x%20y", "https://e.org/a?id=x+y"), ("https://e.org/a?id=x+y", "https://e.org/a?id=x+y"), ("https://e.org/a?id=100%", "https://e.org/a?id=100%25"), ("https://e.org/a?id=%20&job_id=*~2", "https://e.org/a?job_id=%2A~2"),
     ("", ""),
     (None, ""),
 ])
@@ -68,6 +70,8 @@ def test_sequence_ratio_depends_on_order_and_is_bounded(spark):
     ("Application Deadline 15 Sep 2026. Submission and deadline: candidates submit applications by September 3, 2026.", "OPEN", "2026-09-03", True),
     ("Application Deadline 30 Sep 2026 - 23:59 STATUS: EXPIRED", "OPEN", "2026-09-30", False), ("Deadline: Please send all papers by 30/09/2026", "OPEN", "2026-09-30", False),
     ("Deadline: 30.09-2026", "UNKNOWN", "", False), ("Research role in Spain.", "UNKNOWN", "", False),
+    ("Applications open. Closes: 1 May 2026; extended until 3 June 2026", "CLOSED", "2026-05-01", True), ("Applications open until 1 July 2026. Interviews until 3 June 2026", "OPEN", "2026-07-01", False),
+    ("Estado : Cerrado", "CLOSED", "", False), ("Receipt of applications on a rolling basis", "OPEN_UNTIL_FILLED", "", False), ("Fecha limite 30/09/2026, inicio 01/07/2026", "OPEN", "2026-09-30", False),
     (None, "UNKNOWN", "", False),
 ])
 def test_availability(spark, notice, status, deadline, conflict):
@@ -75,6 +79,11 @@ def test_availability(spark, notice, status, deadline, conflict):
     assert (got["status"], got["deadline"], got["conflict"]) == (status, deadline, conflict)
 
 
+def test_evidence_is_told_once_whatever_its_case(spark):
+    got = one(spark, dates.deadline_candidates(F.lit("DEADLINE: 3 May 2026\nDeadline: 3 May 2026 Deadline - 3 May 2026"), F.lit(date(2026, 6, 1))))
+    assert [x["evidence"] for x in got] == ["DEADLINE: 3 May 2026", "Deadline - 3 May 2026"]
+
+
 @pytest.mark.parametrize("points,name", [(49, "SKIP"), (50, "LOW_PRIORITY"), (64, "LOW_PRIORITY"), (65, "REVIEW"), (79, "REVIEW"), (80, "APPLY"), (89, "APPLY"), (90, "STRONG_APPLY")])
 def test_buckets(spark, points, name):
     assert one(spark, scoring.bucket(F.lit(points))) == name
