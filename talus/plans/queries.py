@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, nested, rules, scoring, text
-from ..operators import audit, cache, canonical, dedup, state, views
+from ..operators import asof, audit, cache, canonical, dedup, state, views
 from ..operators.lineage import cut, shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,6 +452,25 @@ def view_routing(t):
     return views.route(o, views.standard_views(F.col("r"), F.col("a"), F.col("s"), F.col("e"), F.col("d")), ["o_orderkey"])
 
 
+@_query("""WITH c AS (SELECT client_id, valid_at, arg_max(change_id, change_id) AS change_id, arg_max(op, change_id) AS op, arg_max(segment, change_id) AS segment FROM client_changes WHERE valid_at IS NOT NULL GROUP BY ALL)
+SELECT s.sale_id, s.sold_at::VARCHAR AS sold_at, CASE WHEN epoch_us(s.sold_at) - epoch_us(c.valid_at) <= 10 * 86400000000 THEN c.change_id END AS change_id, CASE WHEN epoch_us(s.sold_at) - epoch_us(c.valid_at) <= 10 * 86400000000 THEN c.op END AS op FROM sales s ASOF LEFT JOIN c ON s.client_id = c.client_id AND s.sold_at >= c.valid_at""")
+def asof_changes(t):
+    """What was known of each sale's client when it was sold, if the last word on it was no older than ten days."""
+    out = asof.asof_join(t("sales"), t("client_changes"), ["client_id"], "sold_at", "valid_at", ["change_id", "op"], ["change_id"], oldest=10 * 86_400)
+    return out.select("sale_id", F.col("sold_at").cast("string").alias("sold_at"), "change_id", "op")
+
+
+@_query("""WITH s AS (SELECT DISTINCT sale_id, client_id, sold_at FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL), c AS (SELECT client_id, change_id, valid_at, valid_at - INTERVAL 1 DAY * (seq % 6) AS origin FROM client_changes WHERE valid_at IS NOT NULL),
+m AS (SELECT sale_id, client_id, sold_at, max((origin, change_id)) AS best FROM s JOIN c USING (client_id) WHERE valid_at < sold_at AND valid_at >= sold_at - INTERVAL 200 DAY GROUP BY ALL)
+SELECT sale_id, client_id, sold_at::VARCHAR AS sold_at, best[2] AS change_id, (epoch_us(sold_at) - epoch_us(best[1])) / 1e6 AS age_seconds FROM m WHERE epoch_us(sold_at) - epoch_us(best[1]) <= 20 * 86400000000""")
+def asof_carried_age(t):
+    """Sales against copies of older words: ages count from where a word came from, and 20 days are too old."""
+    sales = t("sales").select("sale_id", "client_id", "sold_at").where("client_id is not null and sold_at is not null").distinct()
+    origin = F.expr("valid_at - make_dt_interval(cast(seq % 6 as int))")
+    out = asof.asof_join(sales, t("client_changes"), ["client_id"], "sold_at", "valid_at", ["change_id"], ["change_id"], origin=origin, oldest=20 * 86_400, before=True)
+    return out.where("age_seconds is not null").select("sale_id", "client_id", F.col("sold_at").cast("string").alias("sold_at"), "change_id", "age_seconds")
+
+
 _LAST = "2024-01-30"
 
 
