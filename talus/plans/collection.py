@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import call, register_views
 from ..functions import extract, rules, text
 from ..operators import audit, cache, report, scan
-from ..operators.lineage import cut
-from ..sources import collect
+from ..operators.lineage import cut, shared_base
+from ..sources import collect, pages
 from .queries import _NORM, _SIGNALS, _any, _query, _title
 
 
@@ -93,6 +95,19 @@ def collect_diagnostics(t):
     return collect.collect_all(cut(payloads), [c for _, c in made])[1]
 
 
+@_query("SELECT source, (1 + doc_id // 200)::BIGINT AS day, doc_id + 1 AS page, sha1(text) AS body_sha1 FROM documents WHERE doc_id + 1 BETWEEN 1 AND 150 OR source IN ('src0', 'src7')")
+def captured_pages(t):
+    """Documents left as captured pages and read again: two sources, and the first pages of all, each by the files they need."""
+    docs = t("documents").where("doc_id is not null and source is not null")
+    folder = f"{shared_base(docs.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    day = F.expr("1 + doc_id div 200").cast("string")
+    pages.store(docs.select("source", day.alias("day"), (F.col("doc_id") + 1).alias("page"), F.lit("").alias("url"), F.lit("").alias("fetched_at"), F.col("text").alias("body")), folder)
+    pages.register(docs.sparkSession)
+    read = lambda rule: docs.sparkSession.read.format("captured_pages").load(folder).where(rule)
+    two, low = read("source IN ('src0', 'src7')"), read("page <= 150").where("source NOT IN ('src0', 'src7')")
+    return two.unionByName(low).select("source", F.col("day").cast("long").alias("day"), "page", F.sha1("body").alias("body_sha1"))
+
+
 _PAGES = """WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS page, event_type, value, ts::DATE AS d, event_type || '|' || floor(value)::INT AS sig FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, sig ORDER BY page) > 1 AS rep FROM p), s AS (SELECT *, CASE WHEN event_type = 'error' THEN 'error' WHEN value < 5 THEN 'empty_page' WHEN rep THEN 'repeat' WHEN d < DATE '2024-01-20' THEN 'cutoff_reached' WHEN event_type = 'purchase' THEN 'last_page' WHEN page >= 12 THEN 'configured_page_limit' END AS reason FROM r),
 x AS (SELECT user_id, coalesce(min(page) FILTER (reason IS NOT NULL), max(page)) AS stop_page, arg_min(reason, page) FILTER (reason IS NOT NULL) AS stop_reason, bool_or(rep) AS repeated FROM s GROUP BY user_id) """
