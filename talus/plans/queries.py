@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, nested, rules, scoring, text
-from ..operators import asof, audit, cache, canonical, dedup, state, views
+from ..operators import archive, asof, audit, buckets, cache, canonical, dedup, state, views
 from ..operators.lineage import cut, shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,6 +686,44 @@ def actionable_ranked(t):
     return d.orderBy(scoring.rank(F.col("recommendation")), F.desc("score"), "doc_id")
 
 
+_MONTHLY = """m AS (SELECT client_id, month(valid_at) AS month, max((valid_at, change_id)) AS last FROM client_changes WHERE valid_at IS NOT NULL AND client_id IS NOT NULL GROUP BY ALL),
+c AS (SELECT m.client_id, arg_max(last, month) AS last FROM m GROUP BY m.client_id)
+SELECT DISTINCT c.client_id, x.change_id, x.segment, x.city FROM c JOIN client_changes x ON x.client_id = c.client_id AND x.change_id = c.last[2] AND x.valid_at = c.last[1] WHERE x.op IS DISTINCT FROM 'D'"""
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("WITH " + _MONTHLY)
+def bucketed_upserts(t):
+    """Changes of clients, month by month, into a table that takes each month at its own cost; clients that were deleted go."""
+    changes = t("client_changes").where("valid_at IS NOT NULL AND client_id IS NOT NULL")
+    table = buckets.BucketedTable(changes.sparkSession, _fresh(changes.sparkSession, "clients"), ["client_id"], "client_id long, change_id long, op string, segment string, city string", buckets=8, fan=3)
+    for month in range(1, 6):
+        last = F.max(F.struct("valid_at", "change_id", "op", "segment", "city")).alias("x")
+        rows = changes.where(F.month("valid_at") == month).groupBy("client_id").agg(last).select("client_id", "x.change_id", "x.op", "x.segment", "x.city")
+        table.upsert(rows, F.col("op") == "D")
+    return table.load().select("client_id", "change_id", "segment", "city")
+
+
+@_query("""WITH d AS (SELECT sold_at::DATE AS day, count(*) AS n, count(DISTINCT client_id) AS clients FROM sales WHERE sold_at >= TIMESTAMP '2024-03-01' AND sold_at < TIMESTAMP '2024-03-06' GROUP BY 1), g AS (SELECT range::DATE AS day FROM range(DATE '2024-03-01', DATE '2024-03-08', INTERVAL 1 DAY))
+SELECT g.day::VARCHAR AS day, n IS NOT NULL AS ok, n AS canonical, clients AS sources, CASE WHEN n IS NULL THEN 'no run was published' ELSE '' END AS error FROM g LEFT JOIN d USING (day)""")
+def archive_audit(t):
+    """Five days of sales published as runs, and an audit of a week."""
+    sales = t("sales").where("sold_at >= '2024-03-01' AND sold_at < '2024-03-06'").withColumn("day", F.to_date("sold_at").cast("string"))
+    runs = archive.RunArchive(sales.sparkSession, _fresh(sales.sparkSession, "archive"))
+    for day in [f"2024-03-0{n}" for n in range(1, 6)]:
+        own = sales.where(F.col("day") == day)
+        known = own.groupBy("client_id").count().where("client_id IS NOT NULL")
+        n = known.count()
+        runs.publish(day, "run-1", {"canonical": own.select("sale_id", "client_id", "total"), "sources": known}, n, n)
+    rows = F.col("rows")
+    return runs.audit("2024-03-07", 7).select("day", "ok", rows["canonical"].alias("canonical"), rows["sources"].alias("sources"), "error")
+
+
 def stream_seen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, folded into a versioned seen history batch by batch."""
     import uuid
