@@ -22,23 +22,27 @@ class BucketedTable:
     once for fan changes of its bucket, and a read takes at most fan runs of it. The manifest has a line for each bucket,
     whatever the rows. Of a key the row of the latest run counts. Versions stay readable until vacuum().
 
-    Key columns must be orderable; null is a key like others. fan and buckets are fixed when the table is made.
+    Key columns must be orderable; null is a key like others. buckets are fixed when the table is made. Versions count from
+    start, that of the empty table.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], schema: str, buckets: int = 64, fan: int = 8):
-        self.spark, self.folder, self.key, self.schema, self.n, self.fan = spark, folder.rstrip("/"), list(key), schema, buckets, fan
+    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], schema: str, buckets: int = 64, fan: int = 8, start: int = 0):
+        self.spark, self.folder, self.key, self.schema, self.n, self.fan, self.start = spark, folder.rstrip("/"), list(key), schema, buckets, fan, start
         self.files = Folder(spark, folder)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.n)).cast("int")
 
     def version(self) -> int:
-        """The latest version; 0 before the first."""
-        return max((int(n.removesuffix(".json")) for n in self.files.names("commits") if n.endswith(".json")), default=0)
+        """The latest version; start before the first."""
+        return max(self.versions(), default=self.start)
+
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names("commits") if n.endswith(".json"))
 
     def manifest(self, version: int) -> dict:
-        if not version:
-            return {"version": 0, "buckets": {}, "rows": 0}
+        if version == self.start:
+            return {"version": version, "buckets": {}}
         found = self.files.read(f"commits/{version}.json")
         if (found["key"], found["n"]) != (self.key, self.n):
             raise ValueError(f"the table has the key {found['key']} and {found['n']} buckets")
@@ -106,7 +110,7 @@ class BucketedTable:
                 for b in full:
                     buckets[b] = [whole] if b in there else []
             try:
-                self.files.commit(f"commits/{at + 1}.json", {"version": at + 1, "key": self.key, "n": self.n, "buckets": buckets})
+                self.files.commit(f"commits/{at + 1}.json", {"version": at + 1, "key": self.key, "n": self.n, "schema": self.schema, "buckets": buckets})
                 return at + 1
             except Conflict:
                 if base is not None:
@@ -116,7 +120,7 @@ class BucketedTable:
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete all but the latest versions, and runs that none of these names. No writer may be at work."""
         newest = self.version()
-        kept = [self.manifest(v) for v in range(max(1, newest - keep + 1), newest + 1)]
+        kept = [self.manifest(v) for v in self.versions()[-keep:]]
         named = {run for m in kept for runs in m["buckets"].values() for run in runs}
         for n in self.files.names("commits"):
             if n.endswith(".json") and int(n.removesuffix(".json")) <= newest - keep:

@@ -724,6 +724,25 @@ def archive_audit(t):
     return runs.audit("2024-03-07", 7).select("day", "ok", rows["canonical"].alias("canonical"), rows["sources"].alias("sources"), "error")
 
 
+@_query("""WITH c AS (SELECT client_id, change_id, valid_at, segment, city, CASE WHEN op = 'D' THEN 'CLOSED' ELSE 'OPEN' END AS status FROM client_changes WHERE valid_at IS NOT NULL),
+l AS (SELECT *, row_number() OVER w AS times_seen, lag({'segment': segment, 'city': city, 'status': status}) OVER w AS old FROM c WINDOW w AS (PARTITION BY client_id ORDER BY valid_at, change_id, coalesce(segment, ''), coalesce(city, ''), status))
+SELECT client_id, change_id, CASE WHEN old IS NULL THEN 'NEW' WHEN old.status = 'CLOSED' AND status = 'OPEN' THEN 'REOPENED' WHEN segment IS DISTINCT FROM old.segment OR city IS DISTINCT FROM old.city OR status <> old.status THEN 'MATERIALLY_CHANGED' ELSE 'SEEN' END AS seen_status,
+  CASE WHEN old IS NULL THEN '' ELSE concat_ws(',', CASE WHEN segment IS DISTINCT FROM old.segment THEN 'segment' END, CASE WHEN city IS DISTINCT FROM old.city THEN 'city' END, CASE WHEN status <> old.status THEN 'status' END) END AS reasons, times_seen::INTEGER AS times_seen FROM l""")
+def stream_lifecycle(t):
+    """Changes of clients as a stream that is started once a month and goes on where it stopped."""
+    from ..streaming import lifecycle
+
+    changes = t("client_changes").where("valid_at IS NOT NULL")
+    spark, folder = changes.sparkSession, _fresh(changes.sparkSession, "lifecycle")
+    rows = changes.select("client_id", "change_id", F.col("valid_at").cast("timestamp").alias("valid_at"), "segment", "city", F.when(F.col("op") == "D", "CLOSED").otherwise("OPEN").alias("status"))
+    out = rows
+    for month in range(1, 6):
+        rows.where(F.month("valid_at") == month).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        out = lifecycle.run(spark, lifecycle.lifecycle(stream, "client_id", "valid_at", "change_id", ["segment", "city", "status"], "status"), folder)
+    return out.select("client_id", "change_id", "seen_status", F.array_join("change_reasons", ",").alias("reasons"), "times_seen")
+
+
 def stream_seen_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream, folded into a versioned seen history batch by batch."""
     import uuid

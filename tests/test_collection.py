@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talus import engine
 from talus.functions import extract, nested, rules, text
+from talus.operators.commits import Conflict
 from talus.operators import audit, cache, dedup, report, scan, state, store
 from talus.sources import collect, payloads
 from talus.streaming.seen import SeenHistory, windowed_counts
@@ -153,12 +154,18 @@ def test_state_store(spark, tmp_path):
         at().load()
     up = at(upgrades={1: lambda s: s.withColumn("times_seen", F.col("times_seen") + 1)})
     assert up.load().first()["times_seen"] == 2 and up.save(up.load()) == 2
-    (tmp_path / "state" / "v=3.layout=2").mkdir()
+    (tmp_path / "state" / "layout=2" / "data" / "dead").mkdir()
     assert at().load().count() == 1 and [v for v, _ in at().versions()] == [1, 2]
     with pytest.raises(ValueError):
         at().save(rows.limit(0))
+    # the rows of one day alone are written, and a writer that has read an older version is told so
+    day = spark.createDataFrame([("job_2", ["b"], "3", "3", 1, ("u",)), ("job_1", ["a"], "1", "2", 9, ("not today",))], f"{store.STATE}, last_snapshot {snap}")
+    assert at().save(day, "3") == 3 and {r["state_id"]: r["times_seen"] for r in at().load().collect()} == {"job_1": 2, "job_2": 1}
+    with pytest.raises(Conflict):
+        at().save(day, "3", base=2)
+    assert at().save(day.limit(1)) == 4 and [r["state_id"] for r in at().load().collect()] == ["job_2"]
     at().prune(1)
-    assert [v for v, _ in at().versions()] == [2]
+    assert [v for v, _ in at().versions()] == [4] and at().load().count() == 1
     assert store.newest([("a", rows), ("b", rows.withColumn("last_seen", F.lit("9"))), ("c", rows.limit(0))])[0] == "b" and store.newest([]) is None
 
 
