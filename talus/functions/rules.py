@@ -125,3 +125,62 @@ def unscored(detail_ok: Column, score: Column, recommendation: Column) -> Column
     """struct<score, recommendation>: records without a resolved detail are not scored but wait for a review."""
     ok = F.coalesce(detail_ok, F.lit(False))
     return F.struct(F.when(ok, score).alias("score"), F.when(ok, recommendation).otherwise("NEEDS_DETAIL_REVIEW").alias("recommendation"))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>>: where a pattern matches, from 0, the end left out; matches do not overlap."""
+
+    def of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        between = F.split(t, pattern, -1)
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + F.length(x["between"])
+            end = start + F.length(x["found"])
+            return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
+
+        pairs = F.zip_with(found, between, lambda f, b: F.struct(f.alias("found"), b.alias("between")))
+        return F.aggregate(F.filter(pairs, lambda x: x["found"].isNotNull()), state, step, lambda a: a["out"])
+
+    return once(F.coalesce(text, F.lit("")), of)
+
+
+def near_exact(text: Column, patterns: Sequence[str], marker: str, chars: int = 160) -> Column:
+    """Around some match of one of the patterns, so many characters to either side, the marker matches as a whole.
+
+    Every match is looked at, and the marker sees its window alone, as if that were the text.
+    """
+
+    def around(t: Column, p: str) -> Column:
+        first = lambda s: F.greatest(s["start"] - chars, F.lit(0))
+        return F.exists(spans(t, p), lambda s: F.substring(t, first(s) + 1, s["end"] + chars - first(s)).rlike(marker))
+
+    def of(t: Column) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | around(t, p)
+        return out
+
+    return once(F.coalesce(text, F.lit("")), of)
+
+
+def clustered_gaps(text: Column, groups: Rules, thresholds: Mapping[str, int], least: int = 3, context: Column | None = None, demand: str = "", chars: int = 160, defining: Mapping[str, str] | None = None) -> Column:
+    """Labels of groups of which at least so many patterns match (thresholds by label, else least), in the order of groups.
+
+    Where context holds (a kind of record that mentions such things in passing), a group counts only if the marker of demand
+    stands near one of its matches. A label in defining also needs that pattern.
+    """
+
+    def of(t: Column) -> Column:
+        found = []
+        for label, patterns in groups.items():
+            ok = hits(t, patterns) >= thresholds.get(label, least)
+            if context is not None:
+                ok = ok & (~F.coalesce(context, F.lit(False)) | near_exact(t, patterns, demand, chars))
+            if label in (defining or {}):
+                ok = ok & t.rlike(defining[label])
+            found.append(F.when(ok, F.lit(label)))
+        return F.array_compact(F.array(*found).cast("array<string>"))
+
+    return once(F.coalesce(text, F.lit("")), of)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..engine import call, register_views
 from ..functions import extract, rules, text
-from ..operators import audit, cache, report, scan
+from ..operators import audit, cache, report, rule_table, scan
 from ..operators.lineage import cut, shared_base
 from ..sources import collect, pages
 from .queries import _NORM, _SIGNALS, _any, _query, _title
@@ -108,6 +108,27 @@ def captured_pages(t):
     return two.unionByName(low).select("source", F.col("day").cast("long").alias("day"), "page", F.sha1("body").alias("body_sha1"))
 
 
+_RULES = """WITH w AS (SELECT DISTINCT name AS rule, regexp_replace(name, ' ', '[^a-z]+') AS pattern FROM items WHERE name IS NOT NULL),
+t AS (SELECT DISTINCT sha1(text) AS k, lower(text) AS low FROM documents WHERE text IS NOT NULL UNION SELECT sha1(name), lower(name) FROM items WHERE name IS NOT NULL)"""
+
+
+@_query(_RULES + " SELECT t.k, string_agg(w.rule, ',' ORDER BY w.rule) AS rules FROM t JOIN w ON regexp_matches(t.low, w.pattern) GROUP BY t.k")
+def rule_table_match(t):
+    """Names of items as rules, asked of all documents and of the names themselves."""
+    items = t("items").where("name IS NOT NULL").select("name").distinct()
+    rules_ = items.select(F.col("name").alias("rule"), F.replace("name", F.lit(" "), F.lit("[^a-z]+")).alias("pattern"))
+    texts = t("documents").where("text IS NOT NULL").select("text").unionByName(items.select(F.col("name").alias("text"))).select(F.sha1("text").alias("k"), "text").dropDuplicates(["k"])
+    return rule_table.match_rules(texts, "k", "text", rules_).where("size(rules) > 0").select("k", F.array_join(F.array_sort("rules"), ",").alias("rules"))
+
+
+@_query("""SELECT doc_id, regexp_matches(text, '(?s)(^|[^a-z])the([0-9]{2}|[^a-z].{0,38}[0-9]{2})') OR regexp_matches(text, '(?s)([0-9]{2}|[0-9]{2}.{0,37}[^a-z])the[^a-z]') AS near, (length(text) - length(replace(text, ',', '')))::BIGINT AS commas FROM documents WHERE text IS NOT NULL""")
+def exact_windows(t):
+    """Whether a word stands near a number, by exact windows around each of its matches; and the matches of a sign."""
+    docs = t("documents").where("text IS NOT NULL")
+    near = rules.near_exact(F.col("text"), ["(?<![a-z])the[^a-z]"], "[0-9]{2}", 40)
+    return docs.select("doc_id", near.alias("near"), F.size(rules.spans(F.col("text"), ",")).cast("long").alias("commas"))
+
+
 _PAGES = """WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS page, event_type, value, ts::DATE AS d, event_type || '|' || floor(value)::INT AS sig FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, sig ORDER BY page) > 1 AS rep FROM p), s AS (SELECT *, CASE WHEN event_type = 'error' THEN 'error' WHEN value < 5 THEN 'empty_page' WHEN rep THEN 'repeat' WHEN d < DATE '2024-01-20' THEN 'cutoff_reached' WHEN event_type = 'purchase' THEN 'last_page' WHEN page >= 12 THEN 'configured_page_limit' END AS reason FROM r),
 x AS (SELECT user_id, coalesce(min(page) FILTER (reason IS NOT NULL), max(page)) AS stop_page, arg_min(reason, page) FILTER (reason IS NOT NULL) AS stop_reason, bool_or(rep) AS repeated FROM s GROUP BY user_id) """
