@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, computed once as compressed Parquet in the same folder: for frames that are large, and read as often as a plan likes."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
+    out = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
