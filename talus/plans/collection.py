@@ -11,7 +11,7 @@ from ..engine import call, register_views
 from ..functions import extract, rules, text
 from ..operators import audit, cache, report, rule_table, scan
 from ..operators.lineage import cut, shared_base
-from ..sources import collect, pages
+from ..sources import boards, collect, pages
 from .queries import _NORM, _SIGNALS, _any, _query, _title
 
 
@@ -108,6 +108,40 @@ def captured_pages(t):
     return two.unionByName(low).select("source", F.col("day").cast("long").alias("day"), "page", F.sha1("body").alias("body_sha1"))
 
 
+def _board_parts(t) -> tuple[DataFrame, boards.BoardSet]:
+    """Parts on two boards: one whose first endpoint is silent, one with longer titles; and details of every fifth part."""
+    part, k = t("part"), F.col("p_partkey")
+    address = F.concat(F.lit("/part/"), k.cast("string"))
+    link = lambda title: F.concat(F.lit('<li><a href="'), address, F.lit('">'), title, F.lit("</a></li>"))
+    even, third = (part.where(k % n == 0).withColumn("_page", k) for n in (2, 3))
+    single = F.to_json(F.struct(F.concat(F.lit("https://e.org"), address).alias("url"), F.col("p_brand").alias("place")))
+    payloads = _bodies(even, "even", "_page", link(F.col("p_name")), "<ul>", "</ul>").unionByName(_bodies(third, "third", "_page", link(F.concat("p_name", F.lit(" again"))), "<ul>", "</ul>"))
+    payloads = payloads.unionByName(_bodies(part.where(k % 5 == 0).withColumn("_page", k), "single", "_page", single, '{"all": [', "]}", ","))
+    fields = {"url": lambda x: x["href"], "title": lambda x: x["title"], "search_query": lambda x: F.substring_index(x["title"], " ", -1)}
+    of = lambda name: collect.Collector(name, collect.links("^/part/", "https://e.org"), fields)
+    details = collect.Collector("single", collect.objects("$.all", "struct<url:string,place:string>"), {"url": lambda x: x["url"], "location": lambda x: x["place"]})
+    both = (boards.Board("first", (of("silent"), of("even"))), boards.Board("second", (of("third"),), required=False), boards.Board("third", (of("nothing"),), required=False))
+    return cut(payloads), boards.BoardSet("parts", both, details=details, watch=lambda: F.col("url").endswith("7"), prefix="p_")
+
+
+_BOARDS = """WITH p AS (SELECT p_partkey AS k, 'https://e.org/part/' || p_partkey AS url, p_partkey % 2 = 0 AS one, p_partkey % 3 = 0 AS two, p_name, regexp_extract(p_name, '[^ ]*$') AS word, p_brand FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
+"""
+
+
+@_query(_BOARDS + """SELECT url, CASE WHEN two THEN p_name || ' again' ELSE p_name END AS title, CASE WHEN k % 5 = 0 THEN p_brand ELSE '' END AS location, concat_ws('; ', CASE WHEN one THEN word END, CASE WHEN two THEN 'again' END) AS search_query, 'p_' || substr(sha1(url), 1, 16) AS id, k % 10 = 7 AS watched FROM p""")
+def collect_boards(t):
+    """Records of two boards, the longer title of both, with what their details add; some are only watched."""
+    records, watched, _ = boards.collect_boards(*_board_parts(t))
+    return records.withColumn("watched", F.lit(False)).unionByName(watched.withColumn("watched", F.lit(True))).select("url", "title", "location", "search_query", "id", "watched")
+
+
+@_query(_BOARDS + """SELECT 'first' AS board, true AS required, 2 AS endpoint, count(*) FILTER (one) AS records, count(*) FILTER (one) AS new, true AS complete, true AS source_complete FROM p
+UNION ALL SELECT 'second', false, 1, count(*) FILTER (two), count(*) FILTER (two AND NOT one), true, true FROM p UNION ALL SELECT 'third', false, 0, 0, 0, false, true""")
+def boards_diagnostics(t):
+    """What each board gave, and whether the required ones are whole."""
+    return boards.collect_boards(*_board_parts(t))[2].select("board", "required", "endpoint", "records", "new", "complete", "source_complete")
+
+
 _RULES = """WITH w AS (SELECT DISTINCT name AS rule, regexp_replace(name, ' ', '[^a-z]+') AS pattern FROM items WHERE name IS NOT NULL),
 t AS (SELECT DISTINCT sha1(text) AS k, lower(text) AS low FROM documents WHERE text IS NOT NULL UNION SELECT sha1(name), lower(name) FROM items WHERE name IS NOT NULL)"""
 
