@@ -324,8 +324,8 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte of every row.
 
     bits_per_byte spreads the whole score, white space and end included, over the text's bytes; it is null for an empty
-    text. The rows are read three times and must come in the same order each time, as they do from files; stage others
-    first (a difference raises an error).
+    text. The rows are read four times and must come in the same order each time, as they do from files; stage others
+    first (a block with another number of distinct entries raises an error; another order of as many does not show).
     The models learn from the rows where held is false. A null text counts as empty: one token, its end. Rows with equal
     ids are scored each for itself. Without training rows train_tokens is 0 and the scores are those of untrained models.
     An empty table gives an empty result; other columns are ignored. Texts are scored whole.
