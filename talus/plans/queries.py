@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, nested, rules, scoring, text
-from ..operators import archive, asof, audit, buckets, cache, canonical, dedup, state, views
+from ..operators import archive, asof, audit, buckets, cache, canonical, dedup, prefix, rule_table, state, views
 from ..operators.lineage import cut, shared_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +132,8 @@ def simhash_md5(t):
 @_query(_SIMHASH + "SELECT doc_id, coalesce(bit_count(xor(simhash, lag(simhash) OVER (PARTITION BY lang ORDER BY doc_id))), 0)::INT AS distance FROM documents LEFT JOIN s USING (doc_id)")
 def simhash_distance(t):
     """Bits in which a document's simhash differs from that of the one before it in its language."""
-    d = cut(t("documents").select("doc_id", "lang").join(_simhashes(t), "doc_id"))
-    return d.select("doc_id", text.hamming(F.col("simhash"), F.lag("simhash").over(Window.partitionBy("lang").orderBy("doc_id"))).alias("distance"))
+    d = prefix.previous(t("documents").select("doc_id", "lang").join(_simhashes(t), "doc_id"), ["lang"], "doc_id", "simhash", "before")
+    return d.select("doc_id", text.hamming(F.col("simhash"), F.col("before")).alias("distance"))
 
 
 def _listings(t) -> DataFrame:
@@ -588,13 +588,21 @@ def marker_cut(t):
 
 @_query(f"WITH b AS (SELECT item_id, list_distinct(string_split({_TEXT}, ' ')) AS w FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, {_TEXT} AS n FROM documents), x AS (SELECT doc_id, item_id, len(list_filter(w, lambda z: contains(n, z))) / len(w) AS c, n FROM d, b) SELECT doc_id, item_id, round(c, 4) AS coverage FROM x WHERE length(n) >= 400 AND c >= 0.9".replace(" WHERE item_id < 10", ""))
 def title_token_integrity(t):
-    """Documents that hold nine tenths of a passage's words; the passages are a query set of a few hundred rows at most."""
-    b = t("benchmark").select("item_id", F.array_distinct(text.tokens(text.normalize(F.col("text")))).alias("w"))
-    d = t("documents").select("doc_id", text.normalize(F.col("text")).alias("n")).where(F.length("n") >= 400)
-    items = [(r["item_id"], r["w"]) for r in b.toLocalIterator()]
-    each = F.array(*(F.struct(F.lit(i).cast("long").alias("item_id"), extract.content_integrity(F.array(*map(F.lit, w)), F.col("n"), 400, 0.9).alias("c")) for i, w in items))
-    x = d.select("doc_id", F.explode(F.filter(each, lambda e: e["c"]["ok"])).alias("e"))
-    return x.select("doc_id", "e.item_id", F.round("e.c.coverage", 4).alias("coverage"))
+    """Documents that hold nine tenths of a passage's words, as words or within words.
+
+    A document that may lack so many words of a passage holds one of its rarest ones, as many and one more; only pairs that
+    meet by such a word are looked at.
+    """
+    b = cut(t("benchmark").select("item_id", F.array_distinct(text.tokens(text.normalize(F.col("text")))).alias("w")).where("size(w) > 0"))
+    d = cut(t("documents").select("doc_id", text.normalize(F.col("text")).alias("n")).where(F.length("n") >= 400))
+    words = b.select("item_id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    common = d.select(F.explode(F.array_distinct(text.tokens(F.col("n")))).alias("word")).join(F.broadcast(words.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
+    rare = cut(words.join(common, "word", "left").withColumn("r", rank).where("r <= floor(size * 0.1 + 1e-6) + 1").select("item_id", "word"))
+    held = rule_table.match_rules(d, "doc_id", "n", rare.select(F.col("word").alias("rule"), F.col("word").alias("pattern")).distinct())
+    met = held.select("doc_id", F.explode("rules").alias("word")).join(rare, "word").select("doc_id", "item_id").distinct()
+    c = extract.content_integrity(F.col("w"), F.col("n"), 400, 0.9)
+    return met.join(d, "doc_id").join(b, "item_id").select("doc_id", "item_id", c.alias("c")).where("c.ok").select("doc_id", "item_id", F.round("c.coverage", 4).alias("coverage"))
 
 
 _NESTED = lambda: F.concat(F.lit('{"type": "'), "event_type", F.lit('", "inner": {"idUser": '), F.col("user_id").cast("string"), F.lit(', "p": '), "props", F.lit('}, "tags": ["x", "", "X"], "live": true}'))

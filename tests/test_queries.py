@@ -8,7 +8,7 @@ from talus.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-SLOW = {"title_token_integrity"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
