@@ -6,7 +6,7 @@ Depth is not bounded, so the walk itself is a vectorised function; all that foll
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,3 +116,13 @@ def places(obj: Column, field: str = "jobLocation", parts: tuple[str, ...] = ("a
     text = lambda v: clean_text(F.when(v.startswith("{"), F.get_json_object(v, "$.name")).otherwise(v))
     each = F.transform(listed, lambda x: F.array_join(F.array_distinct(F.filter(F.array(*(text(x["address"][p]) for p in parts)), lambda v: v != "")), ", "))
     return F.coalesce(F.array_join(F.array_distinct(F.filter(each, lambda v: v != "")), "; "), F.lit(""))
+
+
+def looks_partial(rendered: Column, external: Column, cues: Sequence[str], least: int = 650) -> Column:
+    """A rendered record that is no detail of its own: shorter than least characters, or it points to a page outside."""
+    low = F.lower(clean_text(rendered))
+    outside = F.size(F.coalesce(external, F.array().cast("array<string>"))) > 0
+    cue = F.lit(False)
+    for c in cues:
+        cue = cue | F.contains(low, F.lit(c.lower()))
+    return (outside & cue) | (F.length(low) < least)

@@ -107,14 +107,27 @@ def page_signatures(rows: DataFrame, scan: str, page: str, item: str) -> DataFra
     return pages.withColumn("repeated", F.row_number().over(w) > 1)
 
 
-def cutoff(rows: DataFrame, page: str, day: str, oldest: Column) -> DataFrame:
-    """Rows not older than the cutoff, undated ones included, of the pages before the scan stops.
+def cutoff(rows: DataFrame, page: str, day: str, oldest: Column, scan: Sequence[str] = ()) -> DataFrame:
+    """Rows not older than the cutoff, undated ones included, of the pages before their scan stops.
 
-    A scan stops after the first page whose newest date is older than the cutoff.
+    A scan stops after the first page whose newest date is older than the cutoff; pages of one number belong together only
+    within a scan. Without scan all rows are one.
     """
-    stop = rows.groupBy(page).agg((F.max(day) < oldest).alias("old")).where("old").agg(F.min(page)).scalar()
+    old = rows.groupBy(*scan, page).agg((F.max(day) < oldest).alias("old")).where("old")
     kept = rows.where(F.col(day).isNull() | (F.col(day) >= oldest))
-    return kept.where(F.col(page) <= F.coalesce(stop, F.col(page)))
+    if not scan:
+        return kept.where(F.col(page) <= F.coalesce(old.agg(F.min(page)).scalar(), F.col(page)))
+    stop = old.groupBy(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(scan))).agg(F.min(page).alias("_stop"))
+    met = F.lit(True)
+    for i, c in enumerate(scan):
+        met &= F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    return kept.join(stop, met, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).select(*rows.columns)
+
+
+def dated(rows: DataFrame, by: Sequence[str], day: str) -> DataFrame:
+    """(by, first_day, last_day, dated, undated): how many rows have a date, and the range of those that have one."""
+    there = F.col(day).isNotNull()
+    return rows.groupBy(*by).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_if(there).alias("dated"), F.count_if(~there).alias("undated"))
 
 
 def deferred(rows: DataFrame, key: Sequence[str], order: str, limited: Column) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rank
+from ..functions.text import normalize
 
 PRIMARY = ("STRONG_APPLY", "APPLY", "REVIEW")
 
@@ -62,3 +64,11 @@ def triage(text: Column, reject: str, role: str, domain: str, distant: str, prot
 
 def actionable(recommendation: Column, status: Column) -> Column:
     return (F.coalesce(recommendation, F.lit("")) != "SKIP") & (F.coalesce(status, F.lit("")) != "CLOSED")
+
+
+def in_country(names: Sequence[str], *texts: Column) -> Column:
+    """Whether one of the texts names the country, as a word of its own, accents and case aside; names are words in lower case."""
+    if not names:
+        return F.lit(False)
+    whole = F.concat(F.lit(" "), normalize(F.concat_ws(" ", *texts)), F.lit(" "))
+    return whole.rlike(f" (?:{'|'.join(map(re.escape, names))}) ")

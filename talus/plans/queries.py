@@ -526,6 +526,27 @@ def cutoff_scan(t):
     return audit.cutoff(o, "page", "o_orderdate", F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey")
 
 
+@_query("""WITH p AS (SELECT *, o_orderkey // 500 AS page FROM orders), s AS (SELECT o_orderpriority, min(page) AS stop FROM (SELECT o_orderpriority, page FROM p GROUP BY ALL HAVING max(o_orderdate) < TIMESTAMP '1998-06-01') GROUP BY 1)
+SELECT o_orderkey FROM p LEFT JOIN s USING (o_orderpriority) WHERE o_orderdate >= TIMESTAMP '1998-06-01' AND (stop IS NULL OR page <= stop)""")
+def cutoff_scans(t):
+    """Orders of several scans with pages of the same numbers, each up to its own cutoff."""
+    o = t("orders").withColumn("page", F.floor(F.col("o_orderkey") / 500))
+    return audit.cutoff(o, "page", "o_orderdate", F.lit("1998-06-01").cast("timestamp_ntz"), ["o_orderpriority"]).select("o_orderkey")
+
+
+@_query("SELECT source, min(updated_at)::VARCHAR AS first_day, max(updated_at)::VARCHAR AS last_day, count(updated_at) AS dated, count(*) - count(updated_at) AS undated FROM clients GROUP BY source")
+def dated_counts(t):
+    x = audit.dated(t("clients"), ["source"], "updated_at")
+    return x.select("source", F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "dated", "undated")
+
+
+@_query("SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_12', 'NATION_20')")
+def country_scope(t):
+    """Suppliers whose name and nation, put in words, are of some countries."""
+    x = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return x.where(views.in_country(["nation 1", "nation 12", "nation 20"], F.col("s_name"), F.concat(F.lit("("), F.initcap("n_name"), F.lit(")")))).select("s_suppkey")
+
+
 def _strip_sql(c: str) -> str:
     x = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "button"):

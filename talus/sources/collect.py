@@ -26,7 +26,8 @@ class Collector:
 
     items: the array<struct> of raw items of a body; fields: each record field of an item (others are empty); keep: which
     records count; key: fields that make two records the same; prefer: which of them stays (the first on a tie); declared: a
-    pattern whose first group is the number of records that a body says there are in all; most: records kept of a source.
+    pattern whose first group is the number of records that a body says there are in all; most: records kept of a source, or
+    with per of each value of that field (an employer).
     """
 
     source: str
@@ -37,6 +38,7 @@ class Collector:
     prefer: Callable[[], Column] = field(default=lambda: F.lit(0))
     declared: str | None = None
     most: int | None = None
+    per: str | None = None
 
 
 def links(pattern: str, site: str = "") -> Callable[[Column], Column]:
@@ -127,14 +129,20 @@ def collect(payloads: DataFrame, collector: Collector) -> tuple[DataFrame, DataF
     best = Window.partitionBy("_keep", *collector.key).orderBy(collector.prefer().desc(), "_url", "_at")
     rows = rows.withColumn("_first", F.col("_keep") & (F.row_number().over(best) == 1))
     kept = rows.where("_first")
-    if collector.most is not None:
+    if collector.most is not None and collector.per is not None:
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(collector.per).orderBy("_url", "_at"))).where(F.col("_n") <= collector.most)
+    elif collector.most is not None:
         kept = kept.orderBy("_url", "_at").limit(collector.most)
     bodies = own.agg(F.count("*").alias("bodies"), F.max(total).alias("declared"))
     counts = rows.agg(F.count("*").alias("parsed"), F.count_if("_keep").alias("kept"), F.count_if("_first").alias("unique"))
     found = bodies.join(counts, F.lit(True))
-    over = F.lit(0).cast("long") if collector.most is None else F.greatest(F.lit(0), F.col("unique") - collector.most)
+    if collector.per is not None and collector.most is not None:
+        cut = rows.where("_first").groupBy(collector.per).agg(F.greatest(F.lit(0), F.count("*") - collector.most).alias("_over")).agg(F.sum("_over").alias("_over"))
+        found, over = found.join(cut, F.lit(True)), F.coalesce("_over", F.lit(0))
+    else:
+        over = F.lit(0).cast("long") if collector.most is None else F.greatest(F.lit(0), F.col("unique") - collector.most)
     found = found.withColumn("truncated", over).withColumn("complete", (F.col("bodies") > 0) & F.coalesce(F.col("parsed") >= F.col("declared"), F.lit(True)) & (F.col("truncated") == 0))
-    return kept.select(*FIELDS), found.select(F.lit(collector.source).alias("source"), "*")
+    return kept.select(*FIELDS), found.select(F.lit(collector.source).alias("source"), "bodies", "declared", "parsed", "kept", "unique", "truncated", "complete")
 
 
 def collect_all(payloads: DataFrame, collectors: Sequence[Collector]) -> tuple[DataFrame, DataFrame]:

@@ -75,7 +75,13 @@ def lifecycle(rows: DataFrame, key: str, ts: str, place: str, fields: Sequence[s
 
 
 def run(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
-    """Take in all that the stream has now, behind what earlier runs with this folder took; all that came out so far."""
+    """Take in all that the stream has now, behind what earlier runs with this folder took; all that came out so far.
+
+    Between its batches a task lets go of its part of the state, and commits what changed in it: a run that takes in what is
+    there and ends would otherwise leave an open database for each part on its executors' disks.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

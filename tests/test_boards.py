@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from talus.functions import nested
+from talus.operators import audit, views
 from talus.sources import boards, collect
 
 LINKS = {"url": lambda x: x["href"], "title": lambda x: x["title"], "search_query": lambda x: F.lit("q")}
@@ -36,3 +38,32 @@ def test_boards_details_and_watch(spark):
     assert {r["board"]: (r["endpoint"], r["complete"], r["source_complete"]) for r in silent}["main"] == (0, False, False)
     none = boards.collect_boards(payloads.limit(0), spec)
     assert none[0].count() == 0 and none[2].count() == 3
+
+
+def test_caps_for_each_employer(spark):
+    cells = "".join(f"<tr><td>{i}</td><td>{c}</td></tr>" for i, c in enumerate("aababcc"))
+    payloads = spark.createDataFrame([("t", "u", f"<table>{cells}</table>")], "source string, url string, body string")
+    c = collect.Collector("t", collect.table, {"id": collect.cell(0), "company": collect.cell(1)}, key=("id",), most=2, per="company")
+    got, said = collect.collect(payloads, c)
+    assert sorted((r["id"], r["company"]) for r in got.collect()) == [("0", "a"), ("1", "a"), ("2", "b"), ("4", "b"), ("5", "c"), ("6", "c")]
+    assert (said.first()["truncated"], said.first()["complete"]) == (1, False)
+    assert collect.collect(payloads.limit(0), c)[1].first()["truncated"] == 0
+
+
+def test_scans_stop_each_for_itself(spark):
+    rows = [("A", 1, 1), ("A", 2, 2), ("A", 3, 9), ("B", 1, 9), ("B", 2, 8), ("B", 3, None), (None, 1, 1), (None, 2, 9)]
+    df = spark.createDataFrame(rows, "scan string, page int, day int")
+    kept = lambda **more: sorted((r["scan"] or "", r["page"]) for r in audit.cutoff(df, "page", "day", F.lit(5), **more).collect())
+    assert kept(scan=["scan"]) == [("B", 1), ("B", 2), ("B", 3)]
+    found = {r["scan"]: (r["first_day"], r["last_day"], r["dated"], r["undated"]) for r in audit.dated(df, ["scan"], "day").collect()}
+    assert found == {"A": (1, 9, 3, 0), "B": (8, 9, 2, 1), None: (1, 9, 2, 0)}
+
+
+def test_countries_and_partial_details(spark):
+    rows = [("Madrid, España.", None), ("Spanish fly", "x"), ("", "in SPAIN"), (None, None), ("Spain-based", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(views.in_country(["spain", "espana"], F.col("a"), F.col("b"))).collect()] == [True, False, True, False, True]
+    assert not df.select(views.in_country([], F.col("a")).alias("x")).where("x").count()
+    texts = [("x" * 650, []), ("x" * 649, []), ("see the Full Offer " + "x" * 700, ["https://e.org"]), ("see the full offer " + "x" * 700, None), (None, None)]
+    df = spark.createDataFrame(texts, "t string, u array<string>")
+    assert [r[0] for r in df.select(nested.looks_partial(F.col("t"), F.col("u"), ["full offer"])).collect()] == [False, True, True, False, True]
