@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,13 +22,11 @@ class _Lifecycle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("record", _STATE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         """In the order of time, then of place; ties by the row's fields, so the order within a batch does not matter."""
-        plain = lambda x: None if x is None or x != x else str(x)
         seen = []
-        for frame in rows:
-            for x in frame.to_dict("records"):
-                seen.append((int(x["us"]), int(x["place"]), [plain(x[f"f{i}"]) for i in range(len(self.fields))]))
+        for x in rows:
+            seen.append((x["us"], x["place"], [x[f"f{i}"] for i in range(len(self.fields))]))
         seen.sort(key=lambda r: (r[0], r[1], [x or "" for x in r[2]]))
         held = self.state.get() if self.state.exists() else None
         first, last, times, old = (held[0], held[1], held[2], list(held[3])) if held is not None else (None, None, 0, None)
@@ -48,9 +45,9 @@ class _Lifecycle(StatefulProcessor):
             if told != "LATE":
                 last, old = us, new
             first = min(first, us)
-            out.append((*key, us, place, told, changed, times, first))
+            out.append(Row(key=key[0], us=us, place=place, seen_status=told, change_reasons=changed, times_seen=times, first_us=first))
         self.state.update((first, last, times, old))
-        yield pd.DataFrame(out, columns=["key", "us", "place", "seen_status", "change_reasons", "times_seen", "first_us"])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -70,7 +67,7 @@ def lifecycle(rows: DataFrame, key: str, ts: str, place: str, fields: Sequence[s
     named = rows.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), us.alias("us"), F.col(place).cast("long").alias("place"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields)))
     kind = "key string, us long, place long, seen_status string, change_reasons array<string>, times_seen int, first_us long"
     machine = _Lifecycle(fields, status, None if ttl_days is None else int(ttl_days * 86_400_000))
-    out = named.groupBy("key").transformWithStateInPandas(machine, kind, "append", "none")
+    out = named.groupBy("key").transformWithState(machine, kind, "append", "none")
     return out.select(F.col("key").cast(rows.schema[key].dataType).alias(key), F.timestamp_micros("us").alias(ts), F.col("place").alias(place), "seen_status", "change_reasons", "times_seen", F.timestamp_micros("first_us").alias("first_seen"))
 
 
