@@ -23,6 +23,11 @@ def unescape(c: pd.Series) -> pd.Series:
     return c.map(html.unescape, na_action="ignore")
 
 
+def only_references(page: Column, names: Sequence[str]) -> Column:
+    """A page whose other character references, and those without a semicolon, are plain text."""
+    return F.regexp_replace(page, f"&(?!(?:{'|'.join(map(re.escape, names))});)", "&amp;")
+
+
 def html_title(page: Column) -> Column:
     return tree.over(page, lambda n: F.coalesce(tree.text_of(n, tree.first(n, tree.named("title"))["at"]), F.lit("")))
 

@@ -58,3 +58,12 @@ def test_greedy_resolution_equals_one_fold_over_all(spark):
 
     rows = [r.asDict() for r in _listings(lambda name: _table(spark, SF, name)).collect()]
     assert {x["ord"]: x["rep"] for x in QUERIES["greedy_resolution"](spark, SF).collect()} == one_fold(rows)
+
+
+@pytest.mark.parametrize("name", ["html_text"])
+def test_pages_read_the_references_of_their_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    titles = ["a&&& b&amp", "&amp;lt; &lt;b&gt; &quot;q&quot; &#39;s&#39;", "&eacute; &copy &nbsp;x&", "&amp;amp", "&bogus; &#233;"]
+    spark.createDataFrame([(i, f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(ORACLE_SQL[name].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
