@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import xml.parsers.expat
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -149,15 +149,24 @@ def _xml(page: str, nodes: _Nodes) -> None:
         pass  # what stands before the fault counts
 
 
+#: Nodes that a task holds at a time; a page is not divided.
+HELD = 20_000
+
+
 def _parser(read: Callable[[str, _Nodes], None]) -> Callable[[Column], Column]:
     @F.arrow_udf(NODES)
-    def parse(pages: pa.Array) -> pa.Array:
-        nodes = _Nodes()
-        for page in pages:
-            nodes.begin()
-            read(page.as_py() or "", nodes)
-            nodes.end()
-        return nodes.array()
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            nodes = _Nodes()
+            for page in pages:
+                nodes.begin()
+                read(page.as_py() or "", nodes)
+                nodes.end()
+                if len(nodes.at) >= HELD:
+                    yield nodes.array()
+                    nodes = _Nodes()
+            if len(nodes.pages) > 1:
+                yield nodes.array()
 
     return parse
 

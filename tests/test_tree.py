@@ -119,3 +119,12 @@ def test_ranked_links(spark):
     df = spark.createDataFrame(rows, "k string, href string, label string, words array<string>, base string")
     got = extract.rank_links(df, ["k"], "href", [(r"\.pdf", 4)], 5, "privacy", "label", "words", "base").orderBy("place").collect()
     assert [(x["href"], x["points"]) for x in got] == [("https://a.org/x.pdf", 6), ("https://b.org/data-role.pdf", 6)]
+
+
+def test_pages_of_a_batch_are_handed_on_in_pieces():
+    import pyarrow as pa
+
+    pages = pa.array(["<p>a</p>" * 5000] * 9 + [None])
+    pieces = list(tree.html_nodes.func(iter([pages, pages.slice(0, 0), pages])))
+    assert [len(x) for x in pieces] == [2] * 4 + [2] + [2] * 4 + [2]
+    assert max(len(x.flatten()) for x in pieces) <= tree.HELD + 5000 * 2 + 1
