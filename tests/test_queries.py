@@ -67,3 +67,66 @@ def test_pages_read_the_references_of_their_sql(spark, tmp_path, name):
     spark.createDataFrame([(i, f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = duckdb.sql(ORACLE_SQL[name].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")).fetchall()
     assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_alike_loses_no_pair_and_meets_few(spark):
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    from talus.functions import text
+
+    r = random.Random(5)
+    names = ["", "a", "aa"]
+    for n in (3, 10, 15, 18, 19, 20, 22, 40, 44):
+        for _ in range(4):
+            x = "".join(r.choices("abc", k=n))
+            names.append(x)
+            for _ in range(4):
+                y = list(x)
+                for _ in range(r.randint(1, 4)):
+                    y[r.randrange(len(y)) : r.randrange(len(y)) + 1] = r.choice(["", "a", "bc"])
+                    y = y or ["c"]
+                names.append("".join(y))
+    names = list(dict.fromkeys(names))
+    rows = [(i, 1, x) for i, x in enumerate(names)]
+    got = {(p.a, p.b) for p in text.alike(spark.createDataFrame(rows, "k long, g int, s string"), "k", ["g"], "s", 0.9).collect()}
+    want = {(i, j) for (i, _, x), (j, _, y) in combinations(rows, 2) if SequenceMatcher(None, x, y).ratio() >= 0.9}
+    assert len(want) > 50 and want <= got
+    numbered = spark.range(3000).selectExpr("id AS k", "1 AS g", "concat('Customer#', lpad(id * 331 % 999983, 9, '0')) AS s")
+    assert text.alike(numbered, "k", ["g"], "s", 0.9).count() < 30 * 3000
+
+
+def test_fuzzy_title_ratio_takes_equal_names_once(spark, tmp_path):
+    rows = [(i, "abcdefghijklmnopqrs" + "xy"[i % 2], 1, "S") for i in range(20)] + [(20, "abcdefghijklmnopqrsx", 2, "S"), (21, None, 1, "S")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted((x.a, x.b, round(x.ratio, 6)) for x in QUERIES["fuzzy_title_ratio"](spark, str(tmp_path)).collect())
+    assert got == sorted([(0, 1, 0.95), *((i % 2, i, 1.0) for i in range(2, 20))])
+
+
+def test_batches_of_the_seen_history_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from talus.streaming.seen import SeenHistory
+
+    spark.range(250_000).selectExpr("id % 100 AS user_id", "timestamp_seconds(id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    numbers, batch = [], SeenHistory.batch
+    monkeypatch.setattr(SeenHistory, "batch", lambda self, rows, n: (numbers.append(n), batch(self, rows, n))[1])
+    got = QUERIES["stream_seen_history"](spark, str(tmp_path)).collect()
+    assert len(got) == 100 and sum(x.times_seen for x in got) == 250_000
+    assert 8 < len(numbers) <= 16
+
+
+def test_simhash_is_one_pass_and_equals_a_loop(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from talus.functions import text
+
+    def plain(w):
+        h = [int(hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[:15], 16) for i in range(len(w) - 2)]
+        return sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) >= len(h)) if len(w) >= 25 else None
+
+    texts = [["é\u4e2d", "b c"] * 20, list("abcdefghijklmnopqrstuvwxy"), list("abcdefghijklmnopqrstuvwx"), [], ["x"] * 500]
+    out = text.simhash(spark.createDataFrame(list(enumerate(texts)), "k int, w array<string>"), ["k"], "w")
+    assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert dict(out.collect()) == {i: plain(w) for i, w in enumerate(texts)}
