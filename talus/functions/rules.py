@@ -43,8 +43,8 @@ def cluster(text: Column, patterns: Sequence[str], least: int) -> Column:
 
 
 def near(text: Column, pattern: str, marker: str, chars: int = 160) -> Column:
-    """Pattern and marker within so many characters, in either order."""
-    return text.rlike(f"(?:{pattern}).{{0,{chars}}}(?:{marker})|(?:{marker}).{{0,{chars}}}(?:{pattern})")
+    """Pattern and marker within so many characters, in either order. Texts without the marker are not looked at further."""
+    return text.rlike(f"(?:{marker})") & text.rlike(f"(?:{pattern}).{{0,{chars}}}(?:{marker})|(?:{marker}).{{0,{chars}}}(?:{pattern})")
 
 
 def in_one_sentence(text: Column, *patterns: str) -> Column:
@@ -95,10 +95,14 @@ def section(text: Column, headings: Sequence[str], ends: Sequence[str], most: in
 
 def qualification_gaps(text: Column, rules: Rules, negations: Sequence[str], headings: Sequence[str], ends: Sequence[str], markers: Sequence[str], chars: int = 160) -> Column:
     """Labels whose patterns stand in the section of what is demanded, or near a marker of demand, negated demands aside."""
-    t = without_negated(text, negations)
-    part, demand = section(t, headings, ends), "|".join(f"(?:{m})" for m in markers)
-    found = [F.when(any_of(part, p) | near(t, "|".join(f"(?:{x})" for x in p), demand, chars), F.lit(label)) for label, p in rules.items()]
-    return F.array_compact(F.array(*found))
+    return once(without_negated(text, negations), lambda t: demanded_gaps(t, rules, headings, ends, markers, chars))
+
+
+def demanded_gaps(text: Column, rules: Rules, headings: Sequence[str], ends: Sequence[str], markers: Sequence[str], chars: int = 160) -> Column:
+    """qualification_gaps() of a text that is without negated demands."""
+    demand = "|".join(f"(?:{m})" for m in markers)
+    found = lambda part, label, p: F.when(any_of(part, p) | near(text, "|".join(f"(?:{x})" for x in p), demand, chars), F.lit(label))
+    return once(section(text, headings, ends), lambda part: F.array_compact(F.array(*(found(part, label, p) for label, p in rules.items()))))
 
 
 def mismatch(title: Column, text: Column, generic: str, exempt: str, duties: Sequence[str], exempting: int, signals: Rules, least: int) -> Column:

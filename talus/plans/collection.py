@@ -217,12 +217,12 @@ _PART = "regexp_extract(t, '(?:" + "|".join(f"(?:{h})" for h in _HEADS) + ")(.{0
 @_query(_NORM + ", t AS (SELECT doc_id, regexp_replace(n, '" + "|".join(f"(?:{x})" for x in _NEGATED) + f"', ' optional ', 'g') AS t FROM n), p AS (SELECT doc_id, t, {_PART} AS part FROM t) SELECT doc_id, part, concat_ws(',', " + ", ".join(f"CASE WHEN {_any('part', p)} OR {_near_sql('t', f'(?:{p[0]})', '(?:thereof)', 60)} THEN '{k}' END" for k, p in _SOUGHT.items()) + ") AS gaps FROM p")
 def qualification_gap(t):
     """What a text demands in its section of demands, denied demands aside."""
-    n = _n(t)
-    gaps = rules.qualification_gaps(F.col("n"), _SOUGHT, _NEGATED, _HEADS, _ENDS, ["thereof"], 60)
+    n = _n(t).select("doc_id", rules.without_negated(F.col("n"), _NEGATED).alias("t"))
+    gaps = rules.demanded_gaps(F.col("t"), _SOUGHT, _HEADS, _ENDS, ["thereof"], 60)
     # The section is cut to 400 characters, since the counterpart's engine counts no further than 1,000.
-    cut_ = rules.section(rules.without_negated(F.col("n"), _NEGATED), _HEADS, _ENDS, 400)
+    cut_ = rules.section(F.col("t"), _HEADS, _ENDS, 400)
     short = F.array_compact(F.array(*(F.when(rules.any_of(F.col("part"), p) | F.array_contains("gaps", k) & rules.near(F.col("t"), "|".join(f"(?:{x})" for x in p), "(?:thereof)", 60), k) for k, p in _SOUGHT.items())))
-    x = n.select("doc_id", gaps.alias("gaps"), cut_.alias("part"), rules.without_negated(F.col("n"), _NEGATED).alias("t"))
+    x = n.select("doc_id", gaps.alias("gaps"), cut_.alias("part"), "t")
     return x.select("doc_id", "part", F.array_join(short, ",").alias("gaps"))
 
 

@@ -130,3 +130,16 @@ def test_simhash_is_one_pass_and_equals_a_loop(spark):
     out = text.simhash(spark.createDataFrame(list(enumerate(texts)), "k int, w array<string>"), ["k"], "w")
     assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString()
     assert dict(out.collect()) == {i: plain(w) for i, w in enumerate(texts)}
+
+
+def test_gaps_replace_negated_demands_once(spark):
+    from pyspark.sql import functions as F
+
+    from talus.functions import rules
+
+    sought = {"by": [r"\bby\b"], "with": [r"\bwith\b"], "que": [r"\bque\b"]}
+    rows = ["it is by hand and with que", "with a b c thereof", "thereof " + "x " * 40 + "que", "it is of the by", "", None]
+    gaps = rules.qualification_gaps(F.col("t"), sought, [r"\bof the\b"], [r"\bit is\b"], [r"\band\b"], ["thereof"], 60)
+    out = spark.createDataFrame([(x,) for x in rows], "t string").select(gaps.alias("g"))
+    assert [x.g for x in out.collect()] == [["by"], ["with"], [], ["by"], [], []]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("optional") == 1
