@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLES_ALIKE, normalize, title_core, titles_differ, tokens
-from .lineage import cut
+from .lineage import staged
 
 OPEN = ("OPEN", "OPEN_UNTIL_FILLED")
 SIMHASH_DISTANCE = 14
@@ -196,8 +196,8 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     x = match(rows, alias_index(state), state) if titled else match(rows, alias_index(state)).withColumn("reused", F.lit(False))
     x = x.join(state.select("state_id", "first_seen", "times_seen", F.col("last_snapshot").alias("old"), F.col("aliases").alias("old_aliases")), "state_id", "left")
     core = title_core(F.col("snapshot.title")) if titled else F.lit("")
-    x = cut(x.withColumn("strong", _ranked(0, 1)).withColumn("core", core))
-    found = cut(splits(x.select("state_id", "ord", "strong", _ranked(0, 0).alias("ids"), _ranked(1, 1).alias("urls"), F.array_intersect("strong", F.coalesce("old_aliases", none)).alias("held"), "core")))
+    x = staged(x.withColumn("strong", _ranked(0, 1)).withColumn("core", core))
+    found = staged(splits(x.select("state_id", "ord", "strong", _ranked(0, 0).alias("ids"), _ranked(1, 1).alias("urls"), F.array_intersect("strong", F.coalesce("old_aliases", none)).alias("held"), "core")))
     gone = found.where("gone IS NOT NULL").groupBy("state_id", F.col("parent").alias("part")).agg(F.flatten(F.collect_list("gone")).alias("gone"))
     x = x.join(found.select(*_CLAIM, "part", "seed"), list(_CLAIM), "left").withColumn("part", F.coalesce("part", F.lit(0))).join(gone, ["state_id", "part"], "left")
 
@@ -227,7 +227,7 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     x = x.join(taken, "base", "left").withColumn("nth", F.dense_rank().over(Window.partitionBy("base", "fresh").orderBy("head")) - 1 + F.coalesce("taken", F.lit(0)))
     new_id = F.when(~F.col("fresh") | (F.col("nth") == 0), F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("nth").cast("string")))
     status = transition(F.col("known"), F.col("old.application_status"), F.col("snapshot.application_status"), F.col("change_reasons"), F.col("degraded"))
-    seen = cut(x.withColumn("state_id", new_id).withColumn("seen_status", status))
+    seen = staged(x.withColumn("state_id", new_id).withColumn("seen_status", status))
     own = F.transform("aliases", lambda a: a["alias"])
     before = F.when(F.col("part") == 0, F.col("old_aliases"))
     now = seen.groupBy("state_id").agg(

@@ -143,3 +143,13 @@ def test_gaps_replace_negated_demands_once(spark):
     out = spark.createDataFrame([(x,) for x in rows], "t string").select(gaps.alias("g"))
     assert [x.g for x in out.collect()] == [["by"], ["with"], [], ["by"], [], []]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("optional") == 1
+
+
+def test_state_advance_stages_compressed(spark):
+    from pathlib import Path
+
+    QUERIES["state_advance"](spark, SF).count()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("rdd-*"))
+    QUERIES["state_advance"](spark, SF).count()
+    assert set(folder.glob("rdd-*")) == before
