@@ -319,3 +319,19 @@ def test_pdf_text(spark):
 def test_reference_codes_in_titles(spark):
     got = one(spark, text.reference_tokens(F.lit("hrer2026/329-159 and Ref. ab-12 x")))
     assert "HRER2026/329-159" in got and "REF.AB-12" in got
+
+
+def test_contained_pairs_read_their_rows_once(spark):
+    """Sets are made where rows are read; only elements that several rows have are kept to count what pairs share."""
+    made = spark.sparkContext.accumulator(0)
+
+    def some(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    sets = [(i, [100 * (i // 3) + j for j in range(20)] + [10_000 + i]) for i in range(30)]
+    df = spark.createDataFrame(sets, "k long, e array<long>").mapInArrow(some, "k long, e array<long>")
+    got = {(x["a"], x["b"]): x["shared"] for x in dedup.contained_pairs(df, "k", "e", 0.78).collect()}
+    assert got == {(3 * i + a, 3 * i + b): 20 for i in range(10) for a, b in ((0, 1), (0, 2), (1, 2))}
+    assert made.value == len(sets)
