@@ -34,7 +34,7 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document, and the verdict of the perplexity bands."""
-    return quality.check(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
+    return quality.check(table(spark, sf_dir, "documents"), carry=["doc_id", "lang"]).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
 def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,90 @@ def test_op4_other_scripts_are_judged_by_their_letters(spark, letters):
     assert not kept & set(range(120, 126)) and len(kept) >= 115
 
 
+def test_op4_all_characters_of_all_languages_against_plain_kneser_ney(spark):
+    """Bits of every text under the other texts of its language, gram by gram, in dictionaries. Characters that differ are
+    never one symbol, and seventeen languages and more have a model each."""
+    r = random.Random(9)
+    rows = [("", "a"), (None, "a"), ("漢字 😀 Ab1 " * 9, "a"), ("x", "alone"), ("x y " * 40, None), ("x y z " * 30, "")]
+    for i in range(24):
+        letters = [chr(c) for c in r.sample(range(0x4E00, 0x9FA5), 9)] + ["A", "a", "1", "2", "&", "%", " "]
+        rows += [("".join(r.choice(letters) for _ in range(r.randint(20, 300))), f"l{i % 20}") for _ in range(3)]
+    rows += rows[-2:]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    docs = quality.stage(docs, "docs")
+    got = {x["doc_id"]: x for x in quality.measure(docs).select("row.doc_id", "bits", "n_grams").collect()}
+    assert got.keys() == set(range(len(rows)))
+
+    def of(text):
+        raw = (text or "").encode("utf-16-le")
+        units = (32, 32, 32, *(raw[i] | raw[i + 1] << 8 for i in range(0, len(raw), 2)), 32)
+        return [units[i : i + 4] for i in range(len(units) - 3)]
+
+    def levels(grams):
+        counts = {4: Counter(grams)}
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        return counts
+
+    def discounts(c):
+        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
+        if not (n1 and n2 and n3):
+            return [0.5, 0.75, 0.9]
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+    for i, (text, lang) in enumerate(rows):
+        cut = {k: discounts(c) for k, c in levels([g for t, x in rows if x == lang for g in of(t)]).items()}
+        counts, followers = levels([g for j, (t, x) in enumerate(rows) if x == lang and j != i for g in of(t)]), defaultdict(list)
+        for c in counts.values():
+            for g, v in c.items():
+                followers[g[:-1]].append(v)
+
+        def p(g):
+            after, lower = followers.get(g[:-1]) if g else None, p(g[1:]) if g else 2**-16
+            if not after:
+                return lower
+            d = lambda v: cut[len(g)][min(v, 3) - 1] if v else 0
+            v = counts[len(g)].get(g, 0)
+            return (v - d(v) + sum(map(d, after)) * lower) / sum(after)
+
+        grams = of(text)
+        assert got[i]["n_grams"] == len(grams)
+        if not (text or "").split():
+            assert got[i]["bits"] is None
+            continue
+        n = max(1, len(grams) // 64)
+        windows = [grams[64 * w : 64 * (w + 1) if w + 1 < n else None] for w in range(n)]
+        bits = sorted(sum(-math.log2(p(g)) for g in w) / max(1, sum(g[3] != g[2] for g in w)) for w in windows)
+        assert got[i]["bits"] == pytest.approx((bits[(n - 1) // 2] + bits[n // 2]) / 2, rel=1e-9), (i, lang)
+
+
+def test_op4_ideographs_that_shared_a_class_are_told_apart(spark):
+    """Noise in which each ideograph is replaced by one 26 code points on, as all were one symbol before."""
+    r = random.Random(10)
+    letters = [chr(0x4E00 + i) for i in r.sample(range(5000), 300)]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 3))) for _ in range(150)]
+    clean = [" ".join(r.choice(words) for _ in range(120)) for _ in range(120)]
+    noise = ["".join(chr(ord(x) + 26 * r.randint(1, 400)) if x != " " else x for x in clean[i]) for i in range(6)]
+    docs = spark.createDataFrame([(i, x, "zh") for i, x in enumerate([*clean, *noise])], "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in quality.keep(docs).collect()}
+    assert not kept & set(range(120, 126)) and len(kept) >= 115
+
+
+def test_op4_blocks_of_any_size_give_the_same(spark, docs, monkeypatch):
+    """Many blocks and runs of rows against one; carry names the columns that row holds."""
+    rows = quality.stage(docs.coalesce(1), "rows")
+    key = lambda x: (x["doc_id"] is None, x["doc_id"], x["n_grams"], x["bits"] or 0)
+    whole = sorted(quality.measure(rows).select("row.doc_id", "n_grams", "bits").collect(), key=key)
+    monkeypatch.setattr(quality, "BLOCK", 3000)
+    monkeypatch.setattr(quality, "CHUNK", 1000)
+    cut = quality.measure(rows, carry=["doc_id", "lang"])
+    assert cut.select("row.*").columns == ["doc_id", "lang"]
+    cut = sorted(cut.select("row.doc_id", "n_grams", "bits").collect(), key=key)
+    assert [(x["doc_id"], x["n_grams"]) for x in cut] == [(x["doc_id"], x["n_grams"]) for x in whole]
+    assert [x["bits"] or 0 for x in cut] == pytest.approx([x["bits"] or 0 for x in whole], rel=1e-9)
+
+
 def test_op4_every_language_has_its_own_band(spark, monkeypatch):
     """Languages without a model of their own, rare ones and a null one are judged by their own medians."""
     monkeypatch.setattr(quality, "LANGUAGES", 2)
