@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_chunks
+from .common import released, text_chunks
 
 #: Bytes of the longest piece that is encoded in a numpy lane.
 LANES = 64
@@ -197,6 +197,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
         for batch in batches:
@@ -214,6 +215,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()

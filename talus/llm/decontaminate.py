@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_chunks
+from .common import byte_chunks, released
 from .shingles import mix, words
 
 #: Edits a word of the item that still count as a leak; shortest item that is walked (shorter ones allow no edit).
@@ -218,6 +218,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     for index in _blocks(items, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, part in byte_chunks(batch.column(1), CHUNK):
@@ -240,6 +241,7 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_
     for index in _blocks(items.select(F.lit(0).alias("_id"), item_text_col), "_id", item_text_col):
         shared = spark.sparkContext.broadcast(index)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)

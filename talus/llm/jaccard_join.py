@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, stage
+from .common import byte_chunks, released, stage
 from .shingles import mix, shingle_sets
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -110,6 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) ->
     """id, text, sig, size, sketch, k1 (paths), k2, k3 (position p of the parent in the list above, and path q) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in byte_chunks(batch.column(1), CHUNK):
@@ -306,11 +307,11 @@ def _classes(rows: DataFrame) -> DataFrame:
     met = buckets(sets).groupBy("sig").agg(F.collect_list(F.struct("bucket", "n")).alias("b"))
     members = met.join(sets.select("sig", "size", "sketch"), "sig").select("sig", "size", "sketch", F.col("b.bucket").alias("all"), F.explode("b").alias("e")).select("sig", "size", "sketch", "all", "e.bucket", "e.n")
     members = _dealt(_tiled(members).drop("n"))
-    kept = stage(members.mapInArrow(_screen, members.drop("sketch").schema), "jaccard-screened")
+    kept = stage(members.mapInArrow(released(_screen), members.drop("sketch").schema), "jaccard-screened")
     wanted = kept.select("sig").distinct()
     text = rows.select("sig", "text").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))
     pairs = _dealt(kept.join(text, "sig"))
-    found = stage(pairs.mapInArrow(_compare, "sig binary, other binary, links long"), "jaccard-links")
+    found = stage(pairs.mapInArrow(released(_compare), "sig binary, other binary, links long"), "jaccard-links")
     links = found.where("other is null").groupBy("sig").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("sig").alias("a"), F.col("other").alias("b")))
     classes = sets.select("sig", "first_id", "copies").join(roots.withColumnRenamed("node", "sig"), "sig", "left").join(links, "sig", "left")

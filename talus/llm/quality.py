@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stage, text_chunks
+from .common import release, released, stage, text_chunks
 
 #: Symbols of a gram, and bits of a symbol. NARROW bits tell apart a to z and the space; GRAMS is the number of such grams.
 ORDER, BITS, NARROW = 4, 16, 5
@@ -245,6 +245,7 @@ def _ask(rows: DataFrame, at: int) -> DataFrame:
     them (k from 0), and the discounts of each length (k below 0)."""
     sizes = CHUNK, BLOCK
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, kept = 0, {}
         for block_, piece, part, new in _blocks(batches, at, *sizes):
@@ -298,6 +299,7 @@ def _pack(rows: DataFrame, at: int) -> DataFrame:
     """block, rows: the same blocks, each run of rows as one compressed Arrow stream."""
     sizes = CHUNK, BLOCK
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for block, piece, _, _ in _blocks(batches, at, *sizes):
@@ -322,7 +324,7 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", car
     answers = asked.select("block", "lang", "k", "key").join(_nodes(asked), NODES[:3])
     n_blocks = asked.where("k = 0").select("block").distinct().count()
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             raise ValueError(_ORDER_CHANGED)
         models, out = {}, []
@@ -347,6 +349,11 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", car
                 out.append(pa.RecordBatch.from_arrays(columns, names=_MEASURED))
         return pa.Table.from_batches(out)
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = measured(left, right)
+        release()
+        return out
+
     schema = StructType(docs.select(F.struct(*carry).alias("row")).schema.fields)
     for c in _MEASURED[1:]:
         schema = schema.add(c, "double" if c == "bits" else "long")

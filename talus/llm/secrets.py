@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import released, text_chunks
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = BASE_KINDS + ("crf",)
@@ -313,6 +313,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     kind, field = docs.schema[id_col].dataType.simpleString(), trained()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, part in text_chunks(batch.column(1), CHUNK):
@@ -330,6 +331,7 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     field, names, schema = trained(), docs.columns, docs.schema
     at = names.index(text_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[str | None] = []
