@@ -35,3 +35,12 @@ def staged(df: DataFrame) -> DataFrame:
     out = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(out)
     return spark.read.schema(df.schema).parquet(out)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """The files of staged() frames go: for frames that no frame that is still to be computed reads."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

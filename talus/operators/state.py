@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLES_ALIKE, normalize, title_core, titles_differ, tokens
-from .lineage import staged
+from .lineage import dropped, staged
 
 OPEN = ("OPEN", "OPEN_UNTIL_FILLED")
 SIMHASH_DISTANCE = 14
@@ -54,8 +54,8 @@ def checked(state: DataFrame, version: int, known: Sequence[int]) -> DataFrame:
 
 def alias_index(state: DataFrame) -> DataFrame:
     """(alias, state_id) of the aliases that name one state row only."""
-    each = state.select("state_id", F.explode("aliases").alias("alias")).distinct()
-    return each.groupBy("alias").agg(F.count("*").alias("n"), F.first("state_id").alias("state_id")).where("n = 1").drop("n")
+    each = state.select("state_id", F.explode("aliases").alias("alias"))
+    return each.groupBy("alias").agg(F.min("state_id").alias("state_id"), F.max("state_id").alias("_last"), F.count_if(F.col("state_id").isNull()).alias("_none")).where("state_id = _last AND _none = 0").drop("_last", "_none")
 
 
 def _ranked(least: int, most: int) -> Column:
@@ -69,13 +69,16 @@ def match(rows: DataFrame, index: DataFrame, state: DataFrame | None = None) ->
     whose state row has other URLs and a clearly different title. reused tells of such a row.
     """
     strong = F.exists("aliases", lambda x: x["rank"] <= 1)
-    each = rows.select("ord", F.explode(F.filter("aliases", lambda x: (x["rank"] <= 1) | ~strong)).alias("x")).select("ord", "x.rank", "x.alias")
+    # Only what may be compared travels with an alias: the URLs and title of a record that has URLs, beside its id.
+    own = F.when(F.size(_ranked(1, 1)) > 0, F.struct(_ranked(1, 1).alias("urls"), F.coalesce("snapshot.title", F.lit("")).alias("title"))) if state is not None else F.lit(None)
+    each = rows.select("ord", own.alias("own"), F.explode(F.filter("aliases", lambda x: (x["rank"] <= 1) | ~strong)).alias("x"))
+    each = each.select("ord", "x.rank", "x.alias", F.when(F.col("x.rank") == 0, F.col("own")).alias("own"))
     hits = each.join(index, "alias")
     if state is not None:
+        hits = staged(hits)
         was = state.select("state_id", F.filter("aliases", lambda x: x.startswith("url|")).alias("old_urls"), F.coalesce("last_snapshot.title", F.lit("")).alias("old_title"))
-        own = rows.select("ord", _ranked(1, 1).alias("urls"), F.coalesce("snapshot.title", F.lit("")).alias("title"))
-        other = hits.where("rank = 0").join(was, "state_id").join(own, "ord").where("size(urls) > 0 AND size(old_urls) > 0 AND NOT arrays_overlap(urls, old_urls)")
-        other = other.where(titles_differ(F.col("old_title"), F.col("title"))).select("ord", "alias").distinct()
+        claimed = hits.where("own IS NOT NULL").join(was.where("size(old_urls) > 0"), "state_id").where("NOT arrays_overlap(own.urls, old_urls)")
+        other = staged(claimed.where(titles_differ(F.col("old_title"), F.col("own.title"))).select("ord", "alias").distinct())
         hits = hits.join(other, ["ord", "alias"], "left_anti")
         rows = rows.join(other.select("ord", F.lit(True).alias("reused")).distinct(), "ord", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
     best = hits.groupBy("ord").agg(F.min_by("state_id", F.struct("rank", "alias")).alias("state_id"))
@@ -195,20 +198,27 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     none = F.array().cast("array<string>")
     x = match(rows, alias_index(state), state) if titled else match(rows, alias_index(state)).withColumn("reused", F.lit(False))
     x = x.join(state.select("state_id", "first_seen", "times_seen", F.col("last_snapshot").alias("old"), F.col("aliases").alias("old_aliases")), "state_id", "left")
-    core = title_core(F.col("snapshot.title")) if titled else F.lit("")
-    x = staged(x.withColumn("strong", _ranked(0, 1)).withColumn("core", core))
+    claim = {"strong": _ranked(0, 1), "core": title_core(F.col("snapshot.title")) if titled else F.lit("")}
+    matched = staged(x)
+    x = matched.withColumns(claim)
     found = staged(splits(x.select("state_id", "ord", "strong", _ranked(0, 0).alias("ids"), _ranked(1, 1).alias("urls"), F.array_intersect("strong", F.coalesce("old_aliases", none)).alias("held"), "core")))
     gone = found.where("gone IS NOT NULL").groupBy("state_id", F.col("parent").alias("part")).agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    x = x.join(found.select(*_CLAIM, "part", "seed"), list(_CLAIM), "left").withColumn("part", F.coalesce("part", F.lit(0))).join(gone, ["state_id", "part"], "left")
+    # Only records that share a state row have others before them and may be split; the rest, most of them, need not be moved.
+    several = staged(matched.where("state_id IS NOT NULL").groupBy("state_id").agg(F.count("*").alias("n")).where("n > 1").select("state_id"))
+    names = rows.schema["snapshot"].dataType.names
+    nothing = F.lit(None).cast(rows.schema["snapshot"].dataType)
+    run = Window.partitionBy("state_id", "part").orderBy("ord")
+    earlier = F.last(F.when(F.col("snapshot.resolved"), F.col("snapshot")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)) if "resolved" in names else nothing
+    many = x.join(several, "state_id", "left_semi").join(found.select(*_CLAIM, "part", "seed"), list(_CLAIM), "left").withColumn("part", F.coalesce("part", F.lit(0))).join(gone, ["state_id", "part"], "left").drop(*claim)
+    many = many.withColumns({"was": F.lag("snapshot").over(run), "head": F.min("ord").over(run), "earlier": earlier})
+    alone = matched.join(several, "state_id", "left_anti").withColumns({"part": F.lit(0), "seed": F.lit(None).cast("string"), "gone": F.lit(None).cast("array<string>"), "was": nothing, "head": F.col("ord"), "earlier": nothing})
+    x = alone.unionByName(many)
 
     known = F.col("first_seen").isNotNull()
-    run = Window.partitionBy(F.coalesce("state_id", F.col("ord").cast("string")), "part").orderBy("ord")
-    names = rows.schema["snapshot"].dataType.names
     mine = F.when(F.col("part") == 0, F.col("old"))
-    x = x.withColumn("known", known).withColumn("was", F.coalesce(F.when(known, F.lag("snapshot").over(run)), mine)).withColumn("head", F.min("ord").over(run))
+    x = x.withColumn("known", known).withColumn("was", F.coalesce(F.when(known, F.col("was")), mine))
     if "resolved" in names:
-        earlier = F.last(F.when(F.col("snapshot.resolved"), F.col("snapshot")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
-        x = x.withColumn("trusted", F.coalesce(F.when(known, earlier), F.when(mine["resolved"], mine)))
+        x = x.withColumn("trusted", F.coalesce(F.when(known, F.col("earlier")), F.when(mine["resolved"], mine)))
         x = x.withColumn("old", F.when(F.col("was").isNotNull(), stored(F.col("was"), F.col("trusted"), names)))
         x = x.withColumn("stored", stored(F.col("snapshot"), F.when(F.col("old.resolved"), F.col("old")), names))
         found_before, found_now = (F.coalesce(F.col(f"{c}.resolved"), F.lit(False)) for c in ("old", "snapshot"))
@@ -223,11 +233,16 @@ def advance(state: DataFrame, rows: DataFrame, day: Column, fields: Sequence[str
     first = F.when(F.col("reused") & url.isNotNull(), url).otherwise(F.coalesce(F.try_element_at(F.transform("aliases", lambda a: a["alias"]), F.lit(1)), F.to_json("snapshot")))
     base = F.when(known & (F.col("part") == 0), F.col("state_id")).otherwise(state_id(F.coalesce("seed", first)))
     x = x.withColumn("change_reasons", reasons).withColumn("fresh", ~known | (F.col("part") > 0)).withColumn("base", base)
-    taken = state.groupBy(F.regexp_replace("state_id", "^(job_[0-9a-f]{20})_[0-9]+$", "$1").alias("base")).agg(F.count("*").alias("taken"))
-    x = x.join(taken, "base", "left").withColumn("nth", F.dense_rank().over(Window.partitionBy("base", "fresh").orderBy("head")) - 1 + F.coalesce("taken", F.lit(0)))
-    new_id = F.when(~F.col("fresh") | (F.col("nth") == 0), F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("nth").cast("string")))
     status = transition(F.col("known"), F.col("old.application_status"), F.col("snapshot.application_status"), F.col("change_reasons"), F.col("degraded"))
-    seen = staged(x.withColumn("state_id", new_id).withColumn("seen_status", status))
+    seen = staged(x.withColumn("seen_status", status).select(*rows.columns, "seen_status", "change_reasons", "state_events", "base", "fresh", "head", "part", "old_aliases", "gone", "first_seen", "times_seen", "stored"))
+    dropped(matched, found, several)
+    # An id that is taken or given twice is numbered; only those are kept, by their record.
+    new = seen.where("fresh").groupBy("base", "head").agg(F.lit(1).alias("_one"))
+    taken = state.groupBy(F.regexp_replace("state_id", "^(job_[0-9a-f]{20})_[0-9]+$", "$1").alias("base")).agg(F.count("*").alias("taken"))
+    nth = F.dense_rank().over(Window.partitionBy("base").orderBy("head")) - 1 + F.coalesce("taken", F.lit(0))
+    numbers = staged(new.join(taken, "base", "left").select("base", "head", F.lit(True).alias("fresh"), nth.alias("nth")).where("nth > 0"))
+    new_id = F.when(F.col("nth").isNull(), F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("nth").cast("string")))
+    seen = seen.join(numbers, ["base", "head", "fresh"], "left").withColumn("state_id", new_id).drop("nth")
     own = F.transform("aliases", lambda a: a["alias"])
     before = F.when(F.col("part") == 0, F.col("old_aliases"))
     now = seen.groupBy("state_id").agg(

@@ -153,3 +153,22 @@ def test_state_advance_stages_compressed(spark):
     before = set(folder.glob("rdd-*"))
     QUERIES["state_advance"](spark, SF).count()
     assert set(folder.glob("rdd-*")) == before
+
+
+def test_state_advance_keeps_and_moves_little(spark):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from talus.operators import state
+
+    QUERIES["state_advance"](spark, SF).count()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("staged-*"))
+    QUERIES["state_advance"](spark, SF).count()
+    left = [set(spark.read.parquet(str(p)).columns) for p in set(folder.glob("staged-*")) - before if list(p.glob("part-*"))]
+    assert left and not any(x & {"strong", "trusted", "old"} for x in left)
+    held = spark.range(9).select(F.col("id").cast("string").alias("state_id"), F.array(F.lit("x"), F.col("id").cast("string")).alias("aliases"))
+    index = state.alias_index(held)
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, index.collect())) == [(str(i), str(i)) for i in range(9)]
